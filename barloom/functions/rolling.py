@@ -166,25 +166,22 @@ class Layout:
         pair = x.isNotNull() & y.isNotNull()
         px, py = F.when(pair, x), F.when(pair, y)
         frame = self.last(w)
-        mx, my = F.avg(px).over(frame), F.avg(py).over(frame)
-        cov = F.avg(px * py).over(frame) - mx * my
-        vx = F.avg(px * px).over(frame) - mx * mx
-        vy = F.avg(py * py).over(frame) - my * my
-        return F.count(px).over(frame) == w, cov, vx, vy
+        full = F.count(px).over(frame) == w
+        return full, F.covar_pop(px, py).over(frame), F.var_pop(px).over(frame), F.var_pop(py).over(frame)
 
     def cov_pop(self, x: Column | str, y: Column | str, w: int) -> Column:
         full, cov, _, _ = self.moments(x, y, w)
         return F.when(full, cov)
 
     def corr(self, x: Column | str, y: Column | str, w: int) -> Column:
+        """Not the built-in ``corr``: that one fails on a constant window."""
         full, cov, vx, vy = self.moments(x, y, w)
-        return F.when(full & (vx > 0) & (vy > 0), sdiv(cov, F.sqrt(vx) * F.sqrt(vy)))
+        return F.when(full, sdiv(cov, F.sqrt(vx) * F.sqrt(vy)))
 
     def residual_std(self, y: Column | str, x: Column | str, w: int) -> Column:
         """Standard deviation of what a straight line in x leaves of y, from window moments."""
         full, cov, vy, vx = self.moments(y, x, w)
-        left = vy - F.when(vx > 0, cov * cov / vx)
-        return F.when(full, safe_sqrt(left))
+        return F.when(full, safe_sqrt(vy - sdiv(cov * cov, vx)))
 
     # ---- derived
     def conditional(self, fn: str, cond: Column, y: Column | str, w: int) -> Column:

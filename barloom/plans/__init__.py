@@ -1,4 +1,4 @@
 """Every registered query. Importing this package fills CATALOG."""
 
 from barloom.plans.registry import CATALOG  # noqa: F401
-from barloom.plans import flagship  # noqa: F401
+from barloom.plans import factory, flagship, windows  # noqa: F401

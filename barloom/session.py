@@ -23,6 +23,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "bar
     return (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
         .getOrCreate()
     )
@@ -49,3 +50,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder. A lost executor re-reads it instead of re-running it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def by_series(df: DataFrame, keys: tuple[str, ...] = ("sym",)) -> DataFrame:
+    """Hash by series with the session's partition count.
+
+    Window work per row is far heavier than its bytes suggest; a plain shuffle would be packed by size into a
+    few tasks. A fixed count keeps every core busy, and all windows and grouped passes by the key reuse it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.rolling import BARS
 from barloom.functions.scalar import finite, rnd, sdiv, to_day
+from barloom.session import by_series
 
 FILL_TIE = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
@@ -119,7 +120,7 @@ def adjust(bars: DataFrame, layout=BARS) -> DataFrame:
     A missing change counts as no change in the chain. ``cf`` doubles as the adjusted close.
     """
     prev = layout.ref("close", 1)
-    step = bars.withColumn("pre_close", prev).withColumn("pos", layout.pos())
+    step = by_series(bars, layout.keys).withColumn("pre_close", prev).withColumn("pos", layout.pos())
     step = step.withColumn("pct", (sdiv("close", "pre_close") - 1.0) * 100.0)
     step = step.withColumn("r", F.col("pct") / 100.0)
     step = step.withColumn("cf", F.product(1.0 + F.coalesce("r", F.lit(0.0))).over(layout.past()))
