@@ -84,7 +84,7 @@ def _register(field: str, windows: tuple[int, ...], name: str, digits: int = 6)
 _register("CLOSE", (5, 20), "generated_adjusted_close")
 _register("HIGH", (10,), "generated_adjusted_high")
 _register("VWAP", (10,), "generated_vwap")
-_register("V", (3, 30), "generated_volume", 7)
+_register("A", (5, 30), "generated_amount")
 _register("LOGV", (10,), "generated_log_volume")
 _register("R", (20, 60), "generated_return")
 _register("RETID", (10,), "generated_intraday_return")
