@@ -319,7 +319,7 @@ def early_events(df: DataFrame, steps: tuple[int, ...] = (1, 2, 3), lift: float
     fires = fires.withColumn("_rn", F.row_number().over(first)).where("_rn = 1")
     own = panel.where("is_low").groupBy("sym", "leg").agg(F.array_sort(F.collect_list(F.struct("pos", "close"))).alias("_own"))
     own = own.select("sym", "leg", _keep_spaced(F.col("_own"), LOW_SPACING, "pos").alias("lows"))
-    ends = df.groupBy("sym").agg(F.max("pos").alias("n"))
+    ends = df.groupBy("sym").agg(F.max("pos").alias("_end"))
     fires = fires.join(own, ["sym", "leg"], "left").join(ends, "sym")
     known = F.filter("lows", lambda p: p["pos"] <= F.col("pos"))
     low = F.array_min(F.transform(known, lambda p: F.struct(p["close"].alias("close"), p["pos"].alias("pos"))))
@@ -331,7 +331,7 @@ def early_events(df: DataFrame, steps: tuple[int, ...] = (1, 2, 3), lift: float
     b1 = fires.select(F.lit("b1").alias("flavor"), *common, F.col("pos").alias("sig_pos"), F.col("cheap.pos").alias("anchor_pos"),
                       F.col("cheap.close").alias("anchor_close"))
     sig2 = F.greatest(F.col("pos"), F.col("anchor2.pos") + RIGHT_ROWS)
-    b2 = fires.where(sig2 <= F.col("n")).select(
+    b2 = fires.where(sig2 <= F.col("_end")).select(
         F.lit("b2").alias("flavor"), *common, sig2.alias("sig_pos"), F.col("anchor2.pos").alias("anchor_pos"),
         F.col("anchor2.close").alias("anchor_close"),
     )

@@ -126,9 +126,10 @@ def nearest_by_position(
         targets.select(key, F.col(target_pos).alias("_p")).distinct().withColumn("_id", F.lit(None).cast(events.schema[event_id].dataType))
     )
     is_target = F.col("_id").isNull()
-    order = Window.partitionBy(key).orderBy("_p")
-    before = F.max(F.when(is_target, F.col("_p"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(is_target, F.col("_p"))).over(order.rangeBetween(0, Window.unboundedFollowing))
+    # Both directions use growing frames (the second over descending rows): linear in the rows of a key.
+    forward, backward = (Window.partitionBy(key).orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("_p"), F.desc("_p")))
+    before = F.max(F.when(is_target, F.col("_p"))).over(forward)
+    after = F.min(F.when(is_target, F.col("_p"))).over(backward)
     found = both.withColumns({"_b": before, "_a": after}).where(F.col("_id").isNotNull())
     take_before = F.col("_a").isNull() | (F.col("_p") - F.col("_b") <= F.col("_a") - F.col("_p"))
     nearest = F.when(take_before, F.col("_b")).otherwise(F.col("_a"))

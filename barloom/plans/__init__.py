@@ -1,4 +1,4 @@
 """Every registered query. Importing this package fills CATALOG."""
 
 from barloom.plans.registry import CATALOG  # noqa: F401
-from barloom.plans import crosssection, factory, flagship, sequential, sources, windows  # noqa: F401
+from barloom.plans import crosssection, events, factory, flagship, labels, sequential, sources, windows  # noqa: F401
