@@ -206,14 +206,14 @@ def outcome_pullback_order(spark, sf_dir):
     S.with_bars(*BASE, *V1_SQL, PRICED_SQL,
                 """br AS (SELECT e.sym, e.sig_pos, any_value(b.close) AS ref, min(x.low) AS wl FROM v1 e JOIN pb b ON b.sym = e.sym AND b.pos = e.sig_pos LEFT JOIN pb x ON x.sym = e.sym AND x.pos BETWEEN e.sig_pos + 1 AND e.sig_pos + 3 GROUP BY 1, 2)""",
                 entry_sql("br", "4", "e0"),
-                "en AS (SELECT * EXCLUDE (status), CASE WHEN status = 'dropped_no_next' THEN status WHEN wl < ref * (1.0 - 0.1) - 0.005 THEN 'skipped_breach' ELSE status END AS status FROM e0)",
+                "en AS (SELECT * EXCLUDE (status), CASE WHEN status = 'dropped_no_next' THEN status WHEN wl < ref * (1.0 - 0.9) - 0.005 THEN 'skipped_breach' ELSE status END AS status FROM e0)",
                 outcome_sql("en", 5)) + f"SELECT {OUT_COLS} FROM oc",
 )
 def outcome_not_breached(spark, sf_dir):
     df = crossed_bars(spark, sf_dir)
     bars = priced(df)
     events = E.cross_divergence_simple(df).select("sym", F.col("sig_pos").cast("long").alias("sig_pos"))
-    return _outcome_cols(L.outcomes(L.not_breached_entries(events, bars, 3, 0.1), bars, L.ExitRule(5, budget=BUDGET)))
+    return _outcome_cols(L.outcomes(L.not_breached_entries(events, bars, 3, 0.9), bars, L.ExitRule(5, budget=BUDGET)))
 
 
 @query(
