@@ -25,12 +25,28 @@ def c(name: str) -> Column:
     return F.col(name)
 
 
-def prepare(adj: DataFrame, index_returns: DataFrame | None = None) -> DataFrame:
-    """Adjusted bars plus shared series. ``index_returns`` is (d, RIDX) with one row per calendar day."""
+# Families that read a recursion (average true range, MACD, RSI, KDJ).
+RECURSIVE = frozenset({"volatility", "indicators"})
+
+
+def prepare(adj: DataFrame, index_returns: DataFrame | None = None, families=None) -> DataFrame:
+    """Adjusted bars plus shared series. ``index_returns`` is (d, RIDX) with one row per calendar day.
+
+    Recursions go first, while rows are narrow, and only when a wanted family reads them; the window columns
+    after them that no wanted feature uses are pruned by the optimizer.
+    """
+    panel = adj
+    if families is None or RECURSIVE & set(families):
+        panel = panel.withColumns({"low9": B.agg("min", "al", 9), "high9": B.agg("max", "ah", 9)})
+        panel = panel.withColumn("rsv9", sdiv(c("ac") - c("low9"), c("high9") - c("low9")))
+        panel = by_series(
+            add_recursions(panel, [atr("ah", "al", "ac", 14, "atr14"), macd("ac"), rsi("ac", 6, "rsi6"), rsi("ac", 14, "rsi14"), kdj("rsv9")])
+        )
+        panel = panel.withColumns({"atrp": sdiv("atr14", "ac"), "hist": 2.0 * (c("dif") - c("dea"))})
     if index_returns is None:
-        panel = adj.withColumn("RIDX", F.lit(None).cast("double"))
+        panel = panel.withColumn("RIDX", F.lit(None).cast("double"))
     else:
-        panel = adj.join(F.broadcast(index_returns), "d", "left")
+        panel = panel.join(F.broadcast(index_returns), "d", "left")
     log_hl, log_co = safe_log(sdiv("high", "low")), safe_log(sdiv("close", "open"))
     gk = 0.5 * log_hl * log_hl - (2.0 * LN2 - 1.0) * log_co * log_co
     r = c("r")
@@ -51,37 +67,28 @@ def prepare(adj: DataFrame, index_returns: DataFrame | None = None) -> DataFrame
             "move": B.delta("ac", 1),
             "rr": r * r,
             "lim": board_limit("sym", "d"),
-            "low9": B.agg("min", "al", 9), "high9": B.agg("max", "ah", 9),
             "mean_c20": B.agg("mean", "ac", 20), "std_c20": B.agg("std", "ac", 20),
             "mv5": B.agg("mean", "vol", 5), "mv20": B.agg("mean", "vol", 20), "mv60": B.agg("mean", "vol", 60),
             "vol5": B.agg("std", "r", 5), "vol60": B.agg("std", "r", 60),
             "ma_amt5": B.agg("mean", "amount", 5),
             "known20": F.count("r").over(B.last(20)) == 20,
             "cpv10": B.corr("ac", "vol", 10),
+            "log_ac": safe_log("ac"),
         }
     )
+    theta = 2.0 * c("vol60")
     panel = panel.withColumns(
         {
-            "rsv9": sdiv(c("ac") - c("low9"), c("high9") - c("low9")),
             "bbw": sdiv(4.0 * c("std_c20"), "mean_c20"),
             "gk20": B.agg("mean", "gk_day", 20),
             "lu": flag(c("pct") >= c("lim") - 0.1), "ld": flag(c("pct") <= -(c("lim") - 0.1)),
             "gap_hit": F.coalesce(B.ref("ret_id", 1) < -0.02, F.lit(False)),
-            "theta": 2.0 * c("vol60"),
-        }
-    )
-    panel = add_recursions(panel, [atr("ah", "al", "ac", 14, "atr14"), macd("ac"), rsi("ac", 6, "rsi6"), rsi("ac", 14, "rsi14"), kdj("rsv9")])
-    panel = by_series(panel)
-    panel = candle_flags(panel)
-    return panel.withColumns(
-        {
-            "atrp": sdiv("atr14", "ac"), "hist": 2.0 * (c("dif") - c("dea")),
-            "jump_up": F.when(c("theta").isNotNull(), F.when(c("r") > c("theta"), c("rr")).otherwise(0.0)),
-            "jump_dn": F.when(c("theta").isNotNull(), F.when(c("r") < -c("theta"), c("rr")).otherwise(0.0)),
-            "jump": flag(F.abs("r") > c("theta")),
-            "log_ac": safe_log("ac"),
+            "jump_up": F.when(theta.isNotNull(), F.when(c("r") > theta, c("rr")).otherwise(0.0)),
+            "jump_dn": F.when(theta.isNotNull(), F.when(c("r") < -theta, c("rr")).otherwise(0.0)),
+            "jump": flag(F.abs("r") > theta),
         }
     )
+    return candle_flags(panel)
 
 
 REGISTRY = FeatureRegistry()
@@ -299,4 +306,4 @@ REGISTRY.family("candles", PRICE, _candles())
 
 
 def symbol_features(adj: DataFrame, index_returns: DataFrame | None = None, families=None) -> DataFrame:
-    return REGISTRY.compute(prepare(adj, index_returns), families=families)
+    return REGISTRY.compute(prepare(adj, index_returns, families), families=families)
