@@ -1,4 +1,4 @@
 """Every registered query. Importing this package fills CATALOG."""
 
 from barloom.plans.registry import CATALOG  # noqa: F401
-from barloom.plans import crosssection, engine, events, factory, flagship, labels, market, sequential, sources, windows  # noqa: F401
+from barloom.plans import crosssection, engine, events, factory, flagship, labels, market, sequential, sources, stats, windows  # noqa: F401
