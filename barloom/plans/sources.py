@@ -179,14 +179,14 @@ def side_table_profile(spark, sf_dir):
 @query(
     "missing_days_and_last_day", "S15 A13",
     S.with_bars(S.USER_DAY, "cal AS (SELECT DISTINCT d FROM bars)", "mx AS (SELECT max(d) AS mx FROM bars)",
-                "pur AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events WHERE event_type = 'signup' AND user_id % 7 = 0)",
+                "pur AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events WHERE event_type = 'signup' AND value > 300)",
                 "k AS (SELECT sym, max(d) AS last_d FROM bars GROUP BY 1)")
     + "SELECT 'missing' AS kind, CAST(cal.d AS VARCHAR) AS d, NULL::DOUBLE AS sym FROM cal WHERE d NOT IN (SELECT d FROM pur) "
       "UNION ALL SELECT 'stopped', CAST(last_d AS VARCHAR), CAST(sym AS DOUBLE) FROM k, mx WHERE last_d < mx",
 )
 def missing_days_and_last_day(spark, sf_dir):
     bars = SRC.bars_user_day(spark, sf_dir)
-    signups = SRC.table(spark, sf_dir, "events").where("event_type = 'signup' and user_id % 7 = 0")
+    signups = SRC.table(spark, sf_dir, "events").where("event_type = 'signup' and value > 300")
     gone = T.missing_days(signups.select(F.col("ts").cast("date").alias("d")), SRC.calendar(bars))
     stopped = T.last_day_coverage(bars).where("not is_current")
     return gone.select(F.lit("missing").alias("kind"), F.col("d").cast("string").alias("d"), F.lit(None).cast("double").alias("sym")).unionByName(

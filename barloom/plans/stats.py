@@ -585,17 +585,16 @@ def permutation_importance_by_day(spark, sf_dir):
     from barloom.operators.controls import shuffled_within
 
     df = scored(spark, sf_dir).where("fwd is not null and mom is not null and vol10 is not null").select("sym", "d", "mom", "vol10", "fwd")
-
-    def mean_ic(frame, mom, vol):
-        one = frame.withColumn("score", F.col(mom) - 0.5 * F.col(vol))
-        return G.rank_ic(one, "score", "fwd").agg(F.avg("ic").alias("ic"))
-
-    base = mean_ic(df, "mom", "vol10").withColumnRenamed("ic", "base")
-    out = None
-    for name in ("mom", "vol10"):
-        for rep in (1, 2):
-            sh = shuffled_within(df, ["d"], name, ["sym"], 100 * rep, "_sh")
-            cols = ("_sh", "vol10") if name == "mom" else ("mom", "_sh")
-            one = mean_ic(sh, *cols).join(F.broadcast(base)).select(F.lit(name).alias("feature"), F.lit(rep).alias("rep"), (F.col("base") - F.col("ic")).alias("drop"))
-            out = one if out is None else out.unionByName(one)
-    return out.groupBy("feature").agg(rnd(F.avg("drop")).alias("mean_drop"))
+    reps = df.withColumn("rep", F.explode(F.array(F.lit(1), F.lit(2))))
+    both = shuffled_within(reps, ["rep", "d"], "mom", ["sym"], 100, "mom_s")
+    both = both.join(shuffled_within(reps, ["rep", "d"], "vol10", ["sym"], 200, "vol_s").select("rep", "sym", "d", "vol_s"), ["rep", "sym", "d"])
+    score = lambda m, v: F.col(m) - 0.5 * F.col(v)
+    variants = F.explode(F.array(
+        F.struct(F.lit("base").alias("feature"), score("mom", "vol10").alias("score")),
+        F.struct(F.lit("mom").alias("feature"), score("mom_s", "vol10").alias("score")),
+        F.struct(F.lit("vol10").alias("feature"), score("mom", "vol_s").alias("score")),
+    ))
+    long = both.select("rep", "d", "fwd", variants.alias("e")).select("rep", "d", "fwd", "e.*").withColumn("day", F.struct("feature", "rep", "d"))
+    ic = G.rank_ic(long, "score", "fwd", "day").groupBy("day.feature").agg(F.avg("ic").alias("ic"))
+    base = ic.where("feature = 'base'").select(F.col("ic").alias("base"))
+    return ic.where("feature <> 'base'").join(F.broadcast(base)).select("feature", rnd(F.col("base") - F.col("ic")).alias("mean_drop"))
