@@ -1,4 +1,4 @@
 """Every registered query. Importing this package fills CATALOG."""
 
 from barloom.plans.registry import CATALOG  # noqa: F401
-from barloom.plans import cross_source, crosssection, engine, events, factory, flagship, joins, labels, market, sequential, sources, stats, windows  # noqa: F401
+from barloom.plans import cross_source, crosssection, engine, events, factory, flagship, joins, labels, legacy, market, sequential, sources, stats, windows  # noqa: F401
