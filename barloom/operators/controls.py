@@ -43,6 +43,28 @@ def same_day_controls(events: DataFrame, bars: DataFrame, seed: int) -> DataFram
     return wanted.join(chosen, ["d", "_at"]).drop("_at", "_n")
 
 
+def random_picks(df: DataFrame, keys: Sequence[str], identity: Sequence[str], k: int, repetitions: int, seed: int) -> DataFrame:
+    """``k`` different random rows of every group, ``repetitions`` times over, tagged ``rep``.
+
+    Only positions are drawn and looked up, so the work is groups x repetitions x k, not rows x repetitions. The
+    i-th pick is drawn from what is left: its place is shifted past the earlier picks in ascending order. Groups with
+    fewer than k rows give all of theirs.
+    """
+    placed = hashed_positions(df, keys, seed, identity, "_at")
+    groups = placed.groupBy(*keys).agg(F.max("_at_n").alias("_n"))
+    draws = groups.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repetitions))))
+    taken = F.expr("cast(array() as array<bigint>)")
+    for i in range(k):
+        left = F.col("_n") - i
+        raw = F.when(left > 0, F.pmod(F.xxhash64(F.lit(seed + 1 + i), "rep", *keys), left))
+        spot = F.aggregate(F.sort_array(taken), raw, lambda a, t: F.when(a >= t, a + 1).otherwise(a))
+        draws = draws.withColumn(f"_t{i}", F.when(spot.isNotNull(), F.concat(taken, F.array(spot))).otherwise(taken))
+        taken = F.col(f"_t{i}")
+    wanted = draws.select(*keys, "rep", F.explode(taken).alias("_at"))
+    rows = placed.withColumn("_at", F.col("_at").cast("long")).drop("_at_n")
+    return wanted.join(rows, [*keys, "_at"]).drop("_at")
+
+
 def random_anchor_coverage(truth: DataFrame, anchors: DataFrame, rows: DataFrame, widths: Sequence[int]) -> DataFrame:
     """Expected share of truth lows within ``width`` rows of a random anchor set of the same size, in closed form.
 

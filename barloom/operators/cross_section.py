@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import sdiv
-from barloom.session import cut_lineage
+from barloom.session import attach_row, cut_lineage
 
 WINDOW_GROUP_ROWS = 1_000_000
 RANGES = 256
@@ -80,7 +80,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     if keys:
         ranged = counted.join(cuts, keys)
     else:
-        ranged = counted.crossJoin(F.broadcast(cuts))  # one row: the cuts of the only group
+        ranged = attach_row(counted, cuts)
     ranged = ranged.withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     ).drop("_cuts")
@@ -236,6 +236,33 @@ def hashed_positions(
     )
 
 
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, group_rows: int | None = None) -> DataFrame:
+    """1-based position of every row in its group by ``order`` (which must be a total order) and ``{out}_n``.
+
+    Large groups: rows are range-partitioned by group and order together, so neither a large group nor a frequent
+    value stays in one task; rows are numbered per partition and shifted by the counts of the partitions before.
+    """
+    keys = list(keys)
+    if _small(df, keys, group_rows):
+        by = Window.partitionBy(*keys)
+        return df.withColumns({out: F.row_number().over(by.orderBy(*order)), f"{out}_n": F.count(F.lit(1)).over(by)})
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Fixed before use: the partition of a row must be the same for the counts and for the numbering.
+    placed = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id()))
+    sizes = placed.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(
+        *keys, "_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(*keys)).alias(f"{out}_n")
+    )
+    inside = F.row_number().over(Window.partitionBy(*keys, "_pid").orderBy(*order))
+    return (
+        placed.withColumn("_in", inside)
+        .join(sizes, [*keys, "_pid"])
+        .withColumn(out, F.col("_before") + F.col("_in"))
+        .drop("_pid", "_in", "_before")
+    )
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str | None = None) -> DataFrame:
     """First k rows per group in a total order. Spark keeps only k rows per group before the shuffle."""
     numbered = df.withColumn(out or "_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

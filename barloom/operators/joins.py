@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import attach_row
+
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their count."""
@@ -44,20 +46,39 @@ def as_of(
     values: Sequence[str],
     right_day: str = "as_of_d",
     strict: bool = False,
+    slot: Column | None = None,
 ) -> DataFrame:
     """Latest right row at or before each left row (strictly before with ``strict``).
 
     The right side must hold one row per (keys, day). ``right_day`` receives the day of the matched row.
+
+    Panels of bars have at most one row per calendar day and key, so one window per key is bounded. Where a key
+    may have more rows (raw events), pass ``slot``, a coarse monotone function of the day such as its month: each
+    key is then worked slot by slot, and what is still open from earlier slots comes from one row per (key, slot).
     """
+    keys = list(keys)
+    if slot is not None:
+        left, right = left.withColumn("_slot", slot), right.withColumn("_slot", slot)
+    part = [*keys, "_slot"] if slot is not None else keys
     packed = F.struct(F.col(day).alias("_d"), *[F.col(v) for v in values])
     probe = left.withColumn("_side", F.lit(0 if strict else 1)).withColumn("_hit", F.lit(None).cast(right.select(packed.alias("p")).schema["p"].dataType))
-    data = right.select(*keys, day, F.lit(1 if strict else 0).alias("_side"), packed.alias("_hit"))
+    data = right.select(*part, day, F.lit(1 if strict else 0).alias("_side"), packed.alias("_hit"))
     both = probe.unionByName(data, allowMissingColumns=True)
-    so_far = Window.partitionBy(*keys).orderBy(day, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy(*part).orderBy(day, "_side").rowsBetween(Window.unboundedPreceding, 0)
     filled = both.withColumn("_hit", F.last("_hit", ignorenulls=True).over(so_far))
     kept = filled.where(F.col("_side") == (0 if strict else 1))
+    hit = F.col("_hit")
+    if slot is not None:
+        ends = right.groupBy(*part).agg(F.max_by(packed, day).alias("_end"))
+        slots = left.select(*part).distinct().join(ends, part, "full")
+        earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+        carried = slots.select(*part, F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+        kept = kept.join(carried, part, "left")
+        hit = F.coalesce("_hit", "_carried")
+    names = [c for c in left.columns if c != "_slot"]
+    kept = kept.withColumn("_found", hit)
     return kept.select(
-        *left.columns, F.col("_hit._d").alias(right_day), *[F.col(f"_hit.{v}").alias(v) for v in values]
+        *names, F.col("_found._d").alias(right_day), *[F.col(f"_found.{v}").alias(v) for v in values]
     )
 
 
@@ -184,7 +205,7 @@ def densify(bars: DataFrame, calendar: DataFrame, key: str = "sym", day: str = "
     """
     days = calendar.agg(F.sort_array(F.collect_list(day)).alias("_days"))
     spans = bars.groupBy(key).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
-    grid = spans.join(F.broadcast(days)).select(
+    grid = attach_row(spans, days).select(
         key, F.explode(F.filter("_days", lambda x: (x >= F.col("_lo")) & (x <= F.col("_hi")))).alias(day)
     )
     return grid.join(bars, [key, day], "left")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalar import col
 from barloom.operators.stats import segment_metrics
-from barloom.session import cut_lineage
+from barloom.session import attach_row, cut_lineage
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,7 @@ def date_folds(df: DataFrame, n_splits: int = 5, day: str = "d", out: str = "fol
     one row per day.
     """
     days = df.select(day).distinct().withColumn("_p", F.row_number().over(Window.orderBy(day)) - 1)
-    days = days.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    days = attach_row(days, days.agg(F.count(F.lit(1)).alias("_n")))
     size = F.floor(F.col("_n") / (n_splits + 1))
     first = F.col("_n") - size * n_splits
     fold = F.when(F.col("_p") < first, 0).otherwise(F.floor((F.col("_p") - first) / size) + 1)

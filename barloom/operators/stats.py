@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalar import col, safe_sqrt, sdiv
 from barloom.operators.cross_section import (
-    average_rank, group_quantiles, pct_rank_average, rank_counts, top_k,
+    average_rank, group_quantiles, pct_rank_average, positions, rank_counts, top_k,
 )
+from barloom.session import attach_row, cut_lineage
 
 
 def normal_sf(z: Column) -> Column:
@@ -34,7 +35,7 @@ def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.count(value).alias("n"), F.avg((col(value) > 0).cast("double")).alias("win"), F.avg(value).alias("mean")
     )
     medians = group_quantiles(known, keys, value, {"median": 0.5})
-    return base.join(medians, list(keys)) if keys else base.crossJoin(medians)  # without keys: one row each
+    return base.join(medians, list(keys)) if keys else attach_row(base, medians)
 
 
 def summaries_by(df: DataFrame, sets: Sequence[Sequence[str]], values: Sequence[str], min_n: int = 1) -> DataFrame:
@@ -193,10 +194,9 @@ def wilcoxon_by_day(paired: DataFrame, a: str, b: str, min_n: int = 10) -> DataF
 
 # ---------------------------------------------------------------- buckets and ranking metrics
 def first_ranks(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], out: str) -> DataFrame:
-    """1-based rank with ties broken by ``tie``: ranks of values are distributed, only equal values are numbered together."""
-    ranked = rank_counts(df, keys, value, "_f")
-    inside = Window.partitionBy(*keys, value).orderBy(*tie)
-    return ranked.withColumn(out, F.when(col(value).isNotNull(), col("_fless") + F.row_number().over(inside))).withColumn(out + "_n", col("_ftotal")).drop("_fless", "_fties", "_ftotal")
+    """1-based rank with ties broken by ``tie``, and the number of known values; NULL values stay unranked."""
+    known = positions(df.where(col(value).isNotNull()), keys, [value, *tie], out)
+    return known.unionByName(df.where(col(value).isNull()), allowMissingColumns=True)
 
 
 def quantile_buckets(df: DataFrame, keys: Sequence[str], value: str, k: int, tie: Sequence[str], out: str = "bucket") -> DataFrame:
@@ -214,7 +214,7 @@ def value_cut_buckets(df: DataFrame, value: str, k: int, out: str = "bucket") ->
     b = F.lit(1)
     for n in names:
         b = b + (col(value) > col(n)).cast("int")
-    return df.join(F.broadcast(cuts)).withColumn(out, F.when(col(value).isNotNull(), b).cast("long")).drop(*names)
+    return attach_row(df, cuts).withColumn(out, F.when(col(value).isNotNull(), b).cast("long")).drop(*names)
 
 
 def average_precision(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -369,8 +369,6 @@ def linked_components(pairs: DataFrame, nodes: DataFrame, rounds: int = 20) -> D
 
     Stops when a round changes nothing; the label table is checkpointed between rounds.
     """
-    from barloom.session import cut_lineage
-
     edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = cut_lineage(edges)
     labels = cut_lineage(nodes.select("node", F.col("node").alias("component")))

@@ -11,6 +11,7 @@ from barloom.plans import sqltext as S
 from barloom.plans.registry import query
 from barloom.plans.sqltext import r, ref
 from barloom.plans.util import shown
+from barloom.session import attach_row
 from barloom.sources.bars import adjust, bars_supp_month, bars_user_day, table
 
 RET_SQL = f"fe AS (SELECT *, cf / {ref('cf', 5)} - 1.0 AS ret5 FROM adj)"
@@ -133,7 +134,7 @@ def last_dates_and_target_day(spark, sf_dir):
     # Ten days at most: the semi side is a handful of rows, safe to broadcast.
     days = bars.select("d").distinct().orderBy(F.desc("d")).limit(10)
     newest = days.agg(F.max("d").alias("newest"))
-    kept = bars.join(F.broadcast(days), "d", "left_semi").join(F.broadcast(newest))
+    kept = attach_row(bars.join(F.broadcast(days), "d", "left_semi"), newest)
     return kept.select(
         "sym", F.col("d").cast("string").alias("d"), rnd("close", 4).alias("close"),
         (F.col("d") == F.col("newest")).cast("long").alias("is_target"),

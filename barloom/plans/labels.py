@@ -17,6 +17,7 @@ from barloom.plans.registry import query
 from barloom.plans.sequential import _fold, macd_bars
 from barloom.plans.sqltext import lead, past, r, whole
 from barloom.plans.util import panel_query
+from barloom.session import attach_row
 from barloom.sources import bars as SRC
 
 
@@ -336,7 +337,7 @@ def random_anchor_repetitions(spark, sf_dir):
     )
     hits = near.select("rep", "sym", "lid").distinct().groupBy("rep").agg(F.count(F.lit(1)).alias("hit"))
     total = truth.agg(F.count(F.lit(1)).alias("lows"))
-    share = hits.join(F.broadcast(total)).select((F.col("hit") / F.col("lows")).alias("s"))
+    share = attach_row(hits, total).select((F.col("hit") / F.col("lows")).alias("s"))
     return share.agg(F.count(F.lit(1)).alias("draws"), rnd(F.avg("s")).alias("mean_cover"), rnd(F.stddev_samp("s")).alias("sd_cover"))
 
 

@@ -10,7 +10,7 @@ from barloom.operators import stats as G
 from barloom.plans.registry import query
 from barloom.plans.sqltext import r
 from barloom.plans.stats import SCORED_SQL, scored
-from barloom.session import cut_lineage
+from barloom.session import attach_row, cut_lineage
 
 FEATURES = ("mom", "vol10", "amount", "vol", "prob")
 QUICK = K.TreeParams(max_rounds=4, depth=2)
@@ -52,7 +52,7 @@ def label_race_two_labels(spark, sf_dir):
     rows = cut_lineage(rows)
     mid = group_quantiles(rows, [], "ap", {"mid": 0.5})
     best = rows.orderBy(F.desc("precision_day"), F.desc("ap"), "candidate").limit(1).select(F.col("candidate").alias("_best"))
-    out = rows.join(F.broadcast(mid)).join(F.broadcast(best))
+    out = attach_row(attach_row(rows, mid), best)
     return out.select(
         "candidate", rnd("precision_day").alias("precision_day"), rnd("ap").alias("ap"), ((F.col("candidate") == F.col("_best")) & (F.col("ap") >= F.col("mid"))).cast("long").alias("winner")
     )
@@ -91,7 +91,7 @@ def logistic_recognizer(spark, sf_dir):
 def median_threshold_rule(spark, sf_dir):
     df = scored(spark, sf_dir)
     theta = K.median_threshold(df.where("seg = 'train'"), "mom", "lab")
-    both = df.where("lab is not null and mom is not null").join(F.broadcast(theta))
+    both = attach_row(df.where("lab is not null and mom is not null"), theta)
     ok = F.col("mom") <= F.col("theta")
     return both.groupBy("seg").agg(rnd(F.first("theta")).alias("theta"), F.count(F.lit(1)).alias("n"), rnd(F.avg(ok.cast("double"))).alias("accepted"), rnd(F.avg(F.when(ok, F.col("lab")))).alias("hit"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.rolling import BARS as B
 from barloom.functions.scalar import rnd, sdiv
+from barloom.operators import controls as M
 from barloom.operators import cross_section as X
 from barloom.operators import events as E
 from barloom.operators import labels as L
@@ -18,6 +19,7 @@ from barloom.plans.market import TIMING_SQL, pool_with_days
 from barloom.plans.registry import query
 from barloom.plans.sequential import macd_bars
 from barloom.plans.sqltext import full, lead, r, ref
+from barloom.session import attach_row
 from barloom.sources import bars as SRC
 
 # ---------------------------------------------------------------- the scored panel used below
@@ -88,7 +90,7 @@ def month_counts_and_frequency(spark, sf_dir):
     df = scored(spark, sf_dir)
     years = df.groupBy("sym").agg((F.date_diff(F.max("d"), F.min("d")) / 365.25).alias("s")).agg(F.sum("s").alias("years"))
     hits = df.where("prob >= 0.9").groupBy(F.date_format("d", "yyyy-MM").alias("ym")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sym").alias("syms"))
-    return hits.join(F.broadcast(years)).select("ym", "n", "syms", rnd(F.col("n") / F.col("years")).alias("per_symbol_year"))
+    return attach_row(hits, years).select("ym", "n", "syms", rnd(F.col("n") / F.col("years")).alias("per_symbol_year"))
 
 
 @query(
@@ -293,7 +295,7 @@ SELECT {r('avg(h1)')} AS hit1, {r('avg(h3)')} AS hit3, {r('avg(h5)')} AS hit5, (
 def daily_hits_and_turnover(spark, sf_dir):
     df = scored(spark, sf_dir).where("lab is not null")
     hits = G.hit_at(df, "prob", "lab", (1, 3, 5))
-    return rounded(hits.join(F.broadcast(G.top_turnover(df, "prob", 5))))
+    return rounded(attach_row(hits, G.top_turnover(df, "prob", 5)))
 
 
 @query(
@@ -363,11 +365,10 @@ def day_weighted_baseline(spark, sf_dir):
 def random_top3_distribution(spark, sf_dir):
     """Where the score's daily top-3 return lies among 200 random daily top-3 selections."""
     df = scored(spark, sf_dir).where("fwd is not null").select("sym", "d", "prob", "fwd")
-    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(200)))).withColumn("u", F.xxhash64(F.lit(9), "rep", "sym", "d"))
-    drawn = X.top_k(reps, ["rep", "d"], [F.asc("u"), F.asc("sym")], 3)
+    drawn = M.random_picks(df, ["d"], ["sym"], 3, 200, 9)
     means = drawn.groupBy("rep", "d").agg(F.avg("fwd").alias("m")).groupBy("rep").agg(F.avg("m").alias("m"))
     rule = X.top_k(df, ["d"], [F.desc("prob"), F.asc("sym")], 3).groupBy("d").agg(F.avg("fwd").alias("m")).agg(F.avg("m").alias("rule"))
-    return means.join(F.broadcast(rule)).agg(
+    return attach_row(means, rule).agg(
         F.count(F.lit(1)).alias("draws"), rnd(F.avg("m")).alias("mean"), rnd(F.first("rule")).alias("rule"), rnd(F.avg((F.col("m") < F.col("rule")).cast("double"))).alias("share_below")
     )
 
@@ -597,4 +598,4 @@ def permutation_importance_by_day(spark, sf_dir):
     long = both.select("rep", "d", "fwd", variants.alias("e")).select("rep", "d", "fwd", "e.*").withColumn("day", F.struct("feature", "rep", "d"))
     ic = G.rank_ic(long, "score", "fwd", "day").groupBy("day.feature").agg(F.avg("ic").alias("ic"))
     base = ic.where("feature = 'base'").select(F.col("ic").alias("base"))
-    return ic.where("feature <> 'base'").join(F.broadcast(base)).select("feature", rnd(F.col("base") - F.col("ic")).alias("mean_drop"))
+    return attach_row(ic.where("feature <> 'base'"), base).select("feature", rnd(F.col("base") - F.col("ic")).alias("mean_drop"))

@@ -30,7 +30,8 @@ def bar_stream(spark, sf_dir, batches: int = 4):
     edges = ["1900-01-01", "1997-01-01", "1999-01-01", "2000-06-01", "2999-01-01"]
     for lo, hi in zip(edges[:batches], edges[1:]):
         part = bars.where((F.col("d") >= F.lit(lo).cast("date")) & (F.col("d") < F.lit(hi).cast("date")))
-        part.coalesce(1).write.mode("append").parquet(folder)
+        # Files of one period hold different symbols, so their order inside the period does not matter.
+        part.repartition("sym").write.mode("append").parquet(folder)
     return ST.parquet_stream(spark, folder, "*.parquet", bars.schema, 1)
 
 

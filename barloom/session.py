@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -60,3 +61,10 @@ def by_series(df: DataFrame, keys: tuple[str, ...] = ("sym",)) -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys)
+
+
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame to every row: a scalar subquery, so no join and no cross product."""
+    packed = row.select(F.struct(*row.columns)).scalar()
+    out = df.withColumn("_row", packed)
+    return out.select(*[F.col(c) for c in df.columns], *[F.col("_row").getField(c).alias(c) for c in row.columns])

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from barloom.functions.scalar import finite, rnd, to_day
+from barloom.operators.cross_section import positions
+from barloom.session import attach_row
 
 SYMBOL_IN_PATH = r"([0-9A-Za-z]+)(?:\.[A-Z]{2})?\.csv$"
 
@@ -48,7 +50,7 @@ def in_range(df: DataFrame, first, last, day: str = "d") -> DataFrame:
 def write_by_day(df: DataFrame, path: str, day: str = "d") -> None:
     """Overwrite only the days present in ``df``; rerunning the same days is idempotent."""
     (
-        df.repartition(day)
+        df.hint("rebalance", day)  # a day with very many rows is split over several tasks and files
         .write.partitionBy(day)
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -80,7 +82,7 @@ def stale_days(wanted: DataFrame, manifest: DataFrame, parameters: dict, day: st
 
 def append_summary(spark: SparkSession, row: dict, path: str) -> None:
     """Append one row per configuration to a summary table."""
-    spark.createDataFrame([row]).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([row]).write.mode("append").parquet(path)
 
 
 def profile(df: DataFrame, key: str, day: str, columns: Sequence[str]) -> DataFrame:
@@ -104,7 +106,7 @@ def last_day_coverage(df: DataFrame, key: str = "sym", day: str = "d") -> DataFr
     newest = df.agg(F.max(day).alias("_newest"))
     return (
         df.groupBy(key).agg(F.max(day).alias("last_d"))
-        .join(F.broadcast(newest))
+        .transform(attach_row, newest)
         .select(key, "last_d", (F.col("last_d") == F.col("_newest")).alias("is_current"))
     )
 
@@ -119,15 +121,15 @@ def trigger_rates(df: DataFrame, flags: Sequence[str], by: Sequence[str] = ()) -
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     """Each value's count and its share of all rows."""
-    total = Window.partitionBy()
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
-    return counts.withColumn("share", F.col("rows") / F.sum("rows").over(total))
+    whole = df.agg(F.count(F.lit(1)).alias("_all"))
+    return attach_row(counts, whole).withColumn("share", F.col("rows") / F.col("_all")).drop("_all")
 
 
 def label_codes(df: DataFrame, column: str, out: str) -> DataFrame:
     """Integer code of a text column: missing becomes 'missing', codes follow the sorted distinct values."""
     filled = df.withColumn("_v", F.coalesce(F.col(column), F.lit("missing")))
-    codes = filled.select("_v").distinct().withColumn(out, (F.row_number().over(Window.orderBy("_v")) - 1).cast("long"))
+    codes = positions(filled.select("_v").distinct(), [], ["_v"], "_p").select("_v", (F.col("_p") - 1).cast("long").alias(out))
     return filled.join(codes, "_v").drop("_v")
 
 

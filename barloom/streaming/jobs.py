@@ -45,7 +45,7 @@ def run_available(stream: DataFrame, name: str, output_mode: str = "append") ->
 def write_days(batch: DataFrame, path: str, day: str = "d") -> None:
     """Idempotent sink for ``foreachBatch``: only the days of the batch are replaced."""
     (
-        batch.repartition(day).write.partitionBy(day).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        batch.hint("rebalance", day).write.partitionBy(day).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     )
 
 
