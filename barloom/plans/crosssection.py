@@ -82,7 +82,7 @@ def group_neutral_z(spark, sf_dir):
 
 
 @query(
-    "date_breadth_and_medians", "A5 A6 A7 A8 A10 A12",
+    "date_breadth_and_medians", "A5 A6 A7 A8 A10 A12 UF5",
     S.with_bars(S.USER_DAY, S.adjusted()) + f"""SELECT CAST(d AS VARCHAR) AS d,
  {r('avg(CASE WHEN r IS NOT NULL THEN CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END END)')} AS breadth,
  {r('median(r)')} AS median_r, {r('coalesce(avg(r), 0)')} AS mean_r, {r('sum(amount)', 2)} AS amount,

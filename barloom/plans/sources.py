@@ -347,3 +347,63 @@ def safe_division_and_inf_guard(spark, sf_dir):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date").cast("string").alias("d"),
         rnd("l_extendedprice", 2).alias("px"), rnd(C.finite(F.coalesce(sdiv("l_tax", "l_discount"), raw))).alias("ratio"),
     )
+
+
+@query(
+    "csv_bars_round_trip", "S3",
+    S.with_bars(S.USER_DAY) + f"SELECT CAST(sym AS VARCHAR) AS sym, CAST(d AS VARCHAR) AS d, {r('close', 4)} AS close FROM bars WHERE d BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'",
+)
+def csv_bars_round_trip(spark, sf_dir):
+    """Bars written as one CSV folder per symbol and read back with the symbol taken from the path."""
+    from barloom.streaming.jobs import scratch
+
+    folder = scratch(spark, "csv")
+    bars = SRC.bars_user_day(spark, sf_dir).select("sym", F.date_format("d", "yyyyMMdd").alias("trade_date"), "close")
+    bars.write.partitionBy("sym").option("header", True).csv(folder)
+    out = T.read_csv_bars(spark, f"{folder}/*/*.csv", "trade_date string, close double", "trade_date", "2024-01-05", "2024-01-20", symbol_pattern=r"sym=([^/]+)/")
+    return out.select("sym", F.col("d").cast("string").alias("d"), rnd("close", 4).alias("close"))
+
+
+@query(
+    "summary_table_append", "S14 S11",
+    "SELECT 'w5' AS name, count(*) AS events, CAST(5 AS BIGINT) AS window_rows FROM orders UNION ALL SELECT 'w20', count(*), CAST(20 AS BIGINT) FROM lineitem",
+)
+def summary_table_append(spark, sf_dir):
+    """One row appended per configuration, then the whole table read."""
+    from barloom.streaming.jobs import scratch
+
+    folder = scratch(spark, "summary")
+    for name, source, w in (("w5", "orders", 5), ("w20", "lineitem", 20)):
+        T.append_summary(spark, {"name": name, "events": SRC.table(spark, sf_dir, source).count(), "window_rows": w}, folder)
+    return spark.read.parquet(folder).select("name", "events", "window_rows")
+
+
+@query(
+    "tick_windows_by_slice", "W4 W7 W1",
+    f"""WITH t AS (SELECT event_id, user_id, value, row_number() OVER w AS pos, count(value) OVER f AS k, avg(value) OVER f AS m, max(value) OVER f AS x, lag(value, 5) OVER w AS l5 FROM events
+ WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+ SELECT event_id, CAST(pos AS BIGINT) AS pos, CASE WHEN k = 20 THEN {r('m')} END AS mean20, CASE WHEN k = 20 THEN {r('x')} END AS max20, {r('l5')} AS back5 FROM t""",
+)
+def tick_windows_by_slice(spark, sf_dir):
+    """Windows over raw ticks, whose keys have no calendar bound: every user is cut into slices of 64 rows."""
+    from barloom.operators.series_slices import number_rows, windows_by_slice
+
+    ticks = SRC.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    numbered = number_rows(ticks, ["user_id"], ["ts", "event_id"], F.col("ts").cast("date"))
+    out = windows_by_slice(
+        numbered, lambda w: {"mean20": w.agg("mean", "value", 20), "max20": w.agg("max", "value", 20), "back5": w.ref("value", 5)}, 64, 20, ["user_id"]
+    )
+    return out.select("event_id", F.col("pos").cast("long").alias("pos"), *[rnd(c).alias(c) for c in ("mean20", "max20", "back5")])
+
+
+@query(
+    "as_of_on_ticks", "J7 J8",
+    f"""WITH p AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) SELECT e.event_id, {r('p.value', 4)} AS last_purchase FROM (SELECT * FROM events WHERE event_type <> 'purchase') e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts > p.ts""",
+)
+def as_of_on_ticks(spark, sf_dir):
+    """Latest purchase strictly before every other event; users are worked day by day."""
+    ev = SRC.table(spark, sf_dir, "events")
+    bought = ev.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("paid"))
+    others = ev.where("event_type <> 'purchase'").select("event_id", "user_id", "ts")
+    out = J.as_of(others, bought, ["user_id"], "ts", ["paid"], "as_of_ts", strict=True, slot=F.col("ts").cast("date"))
+    return out.select("event_id", rnd("paid", 4).alias("last_purchase"))

@@ -16,10 +16,15 @@ SYMBOL_IN_PATH = r"([0-9A-Za-z]+)(?:\.[A-Z]{2})?\.csv$"
 
 
 def read_csv_bars(
-    spark: SparkSession, folder: str, schema: StructType, day: str, first=None, last=None, encoding: str = "GBK",
+    spark: SparkSession, folder: str, schema: StructType | str, day: str, first=None, last=None, encoding: str = "ISO-8859-1",
     symbol_pattern: str = SYMBOL_IN_PATH,
 ) -> DataFrame:
-    """Bars from one CSV per symbol; the symbol is taken from the file name, days outside the range are dropped."""
+    """Bars from one CSV per symbol; the symbol is taken from the file path, days outside the range are dropped.
+
+    Bar files hold digits only and column names come from ``schema``, so a single-byte charset also reads files whose
+    header is GBK (its second bytes are never comma, quote or line end). Other charsets need
+    ``spark.sql.legacy.javaCharsets``.
+    """
     raw = spark.read.csv(folder, schema=schema, header=True, encoding=encoding)
     bars = raw.withColumn("sym", F.regexp_extract(F.input_file_name(), symbol_pattern, 1)).withColumn("d", to_day(day))
     if first is not None:
