@@ -15,7 +15,7 @@ from barloom.features.market import DAYS
 from barloom.functions.rolling import BARS as B
 from barloom.functions.rolling import Layout
 from barloom.functions.scalar import positive, safe_log, safe_log1p, sdiv
-from barloom.operators.cross_section import group_z
+from barloom.operators.cross_section import add_pct_rank, group_z, largest_group
 from barloom.operators.joins import neighbour_day
 
 INDUSTRY = Layout(keys=("ind",), order="d")
@@ -180,12 +180,13 @@ def second_set(panel: DataFrame) -> DataFrame:
 
 def second_set_industry(panel: DataFrame) -> DataFrame:
     """Industry momentum, breadth and the day's rank of the industry; relative strength of the symbol."""
-    from barloom.operators.cross_section import add_pct_rank
-
     marked = second_set(panel)
     days = marked.where("ind is not null").groupBy("d", "ind").agg(
         F.avg("RET20").alias("IND_MOM20"), F.avg("MA20_ABOVE").alias("IND_BREADTH_MA20"), F.avg("RET5").alias("_r5")
     )
-    days = add_pct_rank(add_pct_rank(days, ["d"], "IND_MOM20", "IND_RS_RANK"), ["d"], "_r5", "IND_RET5_RANK").drop("_r5")
+    # Industries per day: a number of industries, not of symbols.
+    rows = largest_group(panel.select("d", "ind").distinct(), ["d"])
+    days = add_pct_rank(days, ["d"], "IND_MOM20", "IND_RS_RANK", group_rows=rows)
+    days = add_pct_rank(days, ["d"], "_r5", "IND_RET5_RANK", group_rows=rows).drop("_r5")
     out = marked.join(days, ["d", "ind"], "left")
     return out.withColumn("IND_REL_STR", c("RET20") - c("IND_MOM20"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from barloom.features.indicators import stochastic
 from barloom.functions.rolling import BARS as B
 from barloom.functions.scalar import sdiv
-from barloom.operators.cross_section import add_pct_rank, robust_z
+from barloom.operators.cross_section import add_pct_rank, largest_group, robust_z
 from barloom.operators.sequential import add_recursions, atr, ema, macd, rsi
 from barloom.session import by_series
 
@@ -171,8 +171,11 @@ def advanced(df: DataFrame) -> DataFrame:
     ).drop("_peak", "_dv", "_dc", "_v5")
 
 
-def alpha(df: DataFrame, ranks: bool = True) -> DataFrame:
-    """Candle position, signed strength, price-volume correlation, distance to the 60-row high, same-date ranks."""
+def alpha(df: DataFrame, ranks: bool = True, day_rows: int | None = None) -> DataFrame:
+    """Candle position, signed strength, price-volume correlation, distance to the 60-row high, same-date ranks.
+
+    ``day_rows`` is the largest number of symbols on one date, if known (else it is counted here).
+    """
     o, h, lo, cl, v = (c(x) for x in ("open", "high", "low", "close", "vol"))
     span = h - lo
     df = df.withColumns(
@@ -189,7 +192,9 @@ def alpha(df: DataFrame, ranks: bool = True) -> DataFrame:
     )
     df = df.withColumn("vol_divergence", c("_sd5") / (F.avg("_sd60").over(B.last(60)) + EPS)).drop("_sd5", "_sd60")
     if ranks:
-        df = add_pct_rank(add_pct_rank(df, ["d"], "pct_change", "rank_return"), ["d"], "vol", "rank_volume")
+        day_rows = largest_group(df, ["d"]) if day_rows is None else day_rows
+        df = add_pct_rank(df, ["d"], "pct_change", "rank_return", group_rows=day_rows)
+        df = add_pct_rank(df, ["d"], "vol", "rank_volume", group_rows=day_rows)
     names = ["pct_change", "clv", "upper_shadow_ratio", "body_strength", "signed_vol_strength", "pv_corr_10", "dist_to_high_60", "vol_divergence"]
     names += ["rank_return", "rank_volume"] if ranks else []
     return df.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
@@ -236,15 +241,17 @@ def lags(df: DataFrame) -> DataFrame:
 def pipeline(adj: DataFrame, min_rows: int = 100) -> DataFrame:
     """The whole chain per symbol; symbols with fewer than ``min_rows`` rows are left out."""
     long_enough = adj.groupBy("sym").count().where(F.col("count") >= min_rows).select("sym")
-    return lags(structure(alpha(advanced(indicators(adj.join(long_enough, "sym", "left_semi"))))))
+    kept = adj.join(long_enough, "sym", "left_semi")
+    return lags(structure(alpha(advanced(indicators(kept)), day_rows=largest_group(adj, ["d"]))))
 
 
 def cross_section(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """cs_n and, per chosen column, its percent rank and robust z on the date. Call it in column chunks."""
+    rows = largest_group(df, ["d"])
     sizes = df.groupBy("d").agg(F.count(F.lit(1)).cast("double").alias("cs_n"))
     out = df.join(sizes, "d")
     for x in columns:
-        out = robust_z(add_pct_rank(out, ["d"], x, f"{x}_rankpct"), ["d"], x, f"{x}_z")
+        out = robust_z(add_pct_rank(out, ["d"], x, f"{x}_rankpct", group_rows=rows), ["d"], x, f"{x}_z", rows)
     return out
 
 

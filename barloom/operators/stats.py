@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalar import col, safe_sqrt, sdiv
 from barloom.operators.cross_section import (
-    average_rank, group_quantiles, pct_rank_average, positions, rank_counts, top_k,
+    average_rank, group_quantiles, largest_group, pct_rank_average, positions, rank_counts, top_k,
 )
 from barloom.session import attach_row, cut_lineage
 
@@ -158,7 +158,8 @@ def moment_corr(x: Column, y: Column) -> Column:
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), min_n: int = 30) -> DataFrame:
     """Rank correlation (average ranks) per group with its t."""
     both = df.where(col(x).isNotNull() & col(y).isNotNull()).select(*keys, x, y)
-    ranked = rank_counts(rank_counts(both, keys, x, "_x"), keys, y, "_y")
+    rows = largest_group(both, keys)  # counted once for both rankings
+    ranked = rank_counts(rank_counts(both, keys, x, "_x", rows), keys, y, "_y", rows)
     rho = moment_corr(average_rank(col("_xless"), col("_xties")), average_rank(col("_yless"), col("_yties")))
     out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
     t = col("rho") * F.sqrt((col("n") - 2) / F.greatest(F.lit(1e-12), 1.0 - col("rho") * col("rho")))
@@ -220,8 +221,9 @@ def value_cut_buckets(df: DataFrame, value: str, k: int, out: str = "bucket") ->
 def average_precision(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """Area under the precision steps: mean over positives of precision at their score, ties as one step."""
     known = df.where(col(score).isNotNull() & col(label).isNotNull()).select(*keys, score, label)
-    ranked = rank_counts(known, keys, score, "_a")
-    hits = rank_counts(ranked.where(col(label) == 1), keys, score, "_p")
+    rows = largest_group(known, keys)  # an upper bound for the positives as well
+    ranked = rank_counts(known, keys, score, "_a", rows)
+    hits = rank_counts(ranked.where(col(label) == 1), keys, score, "_p", rows)
     precision = (col("_ptotal") - col("_pless")) / (col("_atotal") - col("_aless"))
     return hits.groupBy(*keys).agg(F.avg(precision).alias("ap"))
 

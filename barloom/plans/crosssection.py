@@ -31,8 +31,10 @@ SELECT sym, CAST(d AS VARCHAR) AS d, CASE WHEN ret5 IS NOT NULL THEN {r('''(rank
  CAST(count(*) OVER (PARTITION BY d) AS DOUBLE) AS cs_n FROM fe""",
 )
 def percent_rank_by_date(spark, sf_dir):
-    ranked = X.add_pct_rank(_returns(spark, sf_dir).select("sym", "d", "ret5", "n"), ["d"], "ret5", "rank_avg")
-    ranked = X.add_pct_rank(ranked, ["d"], "n", "rank_n")
+    panel = _returns(spark, sf_dir).select("sym", "d", "ret5", "n")
+    rows = X.largest_group(panel, ["d"])
+    ranked = X.add_pct_rank(panel, ["d"], "ret5", "rank_avg", group_rows=rows)
+    ranked = X.add_pct_rank(ranked, ["d"], "n", "rank_n", group_rows=rows)
     sizes = ranked.groupBy("d").agg(F.count(F.lit(1)).cast("double").alias("cs_n"))
     out = ranked.join(sizes, "d")
     return shown(out, {"rank_avg": F.col("rank_avg"), "rank_n": F.col("rank_n"), "cs_n": F.col("cs_n")})
@@ -62,7 +64,8 @@ def rank_against_universe(spark, sf_dir):
 )
 def robust_z_by_date(spark, sf_dir):
     panel = _returns(spark, sf_dir)
-    out = X.robust_z(X.robust_z(panel, ["d"], "ret5", "z"), ["d"], "vol", "z_vol")
+    rows = X.largest_group(panel, ["d"])
+    out = X.robust_z(X.robust_z(panel, ["d"], "ret5", "z", rows), ["d"], "vol", "z_vol", rows)
     return shown(out, {"z": F.col("z"), "z_vol": F.col("z_vol")})
 
 

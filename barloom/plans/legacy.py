@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.features import legacy as LG
 from barloom.functions.scalar import rnd
+from barloom.operators.cross_section import largest_group
 from barloom.plans import sqltext as S
 from barloom.plans.registry import query
 from barloom.plans.sequential import _fold, macd_sql
@@ -33,7 +34,9 @@ INDICATORS = {
 def _register(name, covers, cols, build, digits, extra=(), src="lg"):
     @query(name, covers, S.with_bars(*BASE_SQL, *extra) + shown_sql(src, cols, digits))
     def run(spark, sf_dir):
-        out = build(LG.indicators(SRC.adjust(SRC.bars_brand_week(spark, sf_dir))))
+        bars = SRC.bars_brand_week(spark, sf_dir)
+        panel = LG.indicators(SRC.adjust(bars))
+        out = build(panel, largest_group(bars, ["d"])) if name == "pipeline_alpha_columns" else build(panel)
         return shown(out, {n: F.col(n) for n in cols}, digits)
 
 
@@ -98,7 +101,7 @@ ALPHA = {
     "signed_vol_strength": "vol * sign(close - open)", "pv_corr_10": f"coalesce(CASE WHEN pos > 10 THEN {corr_sql('close', 'vol', 10)} END, 0)", "dist_to_high_60": f"coalesce(close / (({full('max', 'close', 60)}) + 1e-9::DOUBLE), 0)", "vol_divergence": "coalesce(s5 / (ms60 + 1e-9::DOUBLE), 0)",
     "rank_return": "coalesce(rr, 0)", "rank_volume": "rv",
 }
-_register("pipeline_alpha_columns", "F6.12 W3 W20 W30 C2", ALPHA, LG.alpha, 5, ALPHA_EXTRA, "q1")
+_register("pipeline_alpha_columns", "F6.12 W3 W20 W30 C2", ALPHA, lambda p, rows: LG.alpha(p, day_rows=rows), 5, ALPHA_EXTRA, "q1")
 
 _RZ = lambda x: f"CASE WHEN count({x}) {last(100)} >= 50 THEN ({x} - quantile_cont({x}, 0.5) {last(100)}) / ((quantile_cont({x}, 0.75) {last(100)} - quantile_cont({x}, 0.25) {last(100)}) / 1.34896) END"
 STRUCT_EXTRA = (

@@ -397,8 +397,9 @@ SELECT count(*) AS days, {r('avg(xy)')} AS ic, {r('avg(xz)')} AS control_corr, {
 )
 def partial_rank_screening(spark, sf_dir):
     df = scored(spark, sf_dir).where("fwd is not null").select("sym", "d", "prob", "fwd", "amount")
+    rows = X.largest_group(df, ["d"])
     for c, p in (("prob", "_x"), ("fwd", "_y"), ("amount", "_z")):
-        df = X.rank_counts(df, ["d"], c, p)
+        df = X.rank_counts(df, ["d"], c, p, rows)
     rk = {p: X.average_rank(F.col(p + "less"), F.col(p + "ties")) for p in ("_x", "_y", "_z")}
     daily = df.groupBy("d").agg(F.count(F.lit(1)).alias("n"), G.moment_corr(rk["_x"], rk["_y"]).alias("xy"), G.moment_corr(rk["_x"], rk["_z"]).alias("xz"), G.moment_corr(rk["_y"], rk["_z"]).alias("yz")).where("n >= 10")
     xy, xz, yz = F.col("xy"), F.col("xz"), F.col("yz")
