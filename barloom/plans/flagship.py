@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.rolling import BARS
 from barloom.functions.scalar import rnd, sdiv
-from barloom.operators.cross_section import add_pct_rank, top_k
+from barloom.operators.cross_section import add_pct_rank, largest_group, top_k
 from barloom.plans.registry import query
 from barloom.plans.sqltext import SUPP_MONTH, adjusted, full, lead, r, ref, with_bars
 from barloom.sources.bars import adjust, bars_supp_month
@@ -40,7 +40,8 @@ def reversal_scores(bars):
         }
     )
     raw = feats.select("sym", "d", "fwd5", sdiv(-F.col("ret20"), "vol20").alias("raw")).where("raw is not null")
-    return add_pct_rank(raw, ["d"], "raw", "score")
+    # Symbols per day, counted on the bars before any window: an upper bound for the ranked groups.
+    return add_pct_rank(raw, ["d"], "raw", "score", group_rows=largest_group(bars, ["d"]))
 
 
 @query("reversal_top5_vs_universe", "P1 W1 W3 W6 W30 T1 L4 A1", SQL)
