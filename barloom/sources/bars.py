@@ -34,15 +34,15 @@ def aggregate_bars(
         price.alias("px"),
         vol.alias("q"),
         amount.alias("a"),
-        F.struct(*tie).alias("k"),
+        F.struct(*tie, price.alias("px")).alias("k"),  # the price rides on the tie key: one buffer per end
     )
     return (
         keyed.groupBy("sym", "d")
         .agg(
-            F.min_by("px", "k").alias("open"),
+            F.min("k").getField("px").alias("open"),
             F.max("px").alias("high"),
             F.min("px").alias("low"),
-            F.max_by("px", "k").alias("close"),
+            F.max("k").getField("px").alias("close"),
             F.sum("q").alias("vol"),
             rnd(F.sum("a"), 2).alias("amount"),
             F.count(F.lit(1)).alias("n"),
