@@ -15,6 +15,7 @@ from barloom.plans.market import by_day, by_day_sql, dlast
 from barloom.plans.registry import query
 from barloom.plans.sqltext import full, last, past, ref
 from barloom.plans.util import shown, shown_sql
+from barloom.session import stored
 from barloom.sources import bars as SRC
 
 EXACT_FROM, RULE_FROM, SPLICE = "1998-01-05", "1995-02-06", "1998-06-01"
@@ -55,7 +56,7 @@ def panel(spark, sf_dir):
             "age": (F.col("cal_pos") - F.col("_listed")).cast("double"),
             "up_limit": F.when(has, F.col("pre_close") * 1.3), "down_limit": F.when(has, F.col("pre_close") * 0.7),
         }
-    ).drop("_listed")
+    ).drop("_listed").transform(stored, "panel")
 
 
 def _mp(fn: str, x: str, w: int, mp: int) -> str:
@@ -128,7 +129,7 @@ MKT = {
 
 @query("market_mood_days", "F5.3 F5.4 F5.5 J9 A7 A8 W37", S.with_bars(S.BRAND_WEEK, S.adjusted(), SIDE_SQL, FLAGS, MKT_SQL) + by_day_sql("df", MKT, 4))
 def market_mood_days(spark, sf_dir):
-    p = E.limit_flags(panel(spark, sf_dir), EXACT_FROM, RULE_FROM)
+    p = stored(E.limit_flags(panel(spark, sf_dir), EXACT_FROM, RULE_FROM), "limit-flags")
     out = CS.market_days(p, SRC.calendar(p), RULE_FROM)
     return by_day(out, *MKT, digits=4)
 

@@ -14,6 +14,7 @@ from barloom.plans.registry import query
 from barloom.plans.sequential import FRACTAL_SQL, ZIGZAG_SQL, macd_bars, macd_sql, spaced_sql
 from barloom.plans.sqltext import past, r, ref, whole
 from barloom.plans.util import shown, shown_sql
+from barloom.session import stored
 from barloom.sources import bars as SRC
 
 BASE = (S.BRAND_WEEK, S.adjusted(), macd_sql())
@@ -61,11 +62,11 @@ EVENT_COLS = "sym, " + longs_sql("sig_pos", "low_pos", "prev_pos", "rank", "form
 
 
 def main_pool(panel):
-    return E.divergences(panel, E.fractal_lows(panel, "close", 3), E.DivergenceRule())
+    return stored(E.divergences(panel, E.fractal_lows(panel, "close", 3), E.DivergenceRule()), "main-pool")
 
 
 def backup_pool(panel):
-    return E.divergences(panel, Q.zigzag_lows(panel, "close", 0.05), E.DivergenceRule())
+    return stored(E.divergences(panel, Q.zigzag_lows(panel, "close", 0.05), E.DivergenceRule()), "backup-pool")
 
 
 @query("fractal_divergence_events", "E6 E26 UF7", S.with_bars(*MAIN_SQL) + f"SELECT {EVENT_COLS} FROM main_ev")
@@ -163,7 +164,7 @@ def low_pair_comparison(spark, sf_dir):
 def detections_by_day(spark, sf_dir):
     panel = macd_bars(spark, sf_dir)
     long_enough = panel.groupBy("sym").count().where("count >= 100").select("sym")
-    pairs = E.pairwise_low_comparison(panel, E.grid_lows(panel)).join(long_enough, "sym", "left_semi")
+    pairs = stored(E.pairwise_low_comparison(panel, E.grid_lows(panel)).join(long_enough, "sym", "left_semi"), "pairs")
     per_day = pairs.groupBy("d").agg(F.count(F.lit(1)).alias("found_that_day"))
     out = pairs.join(per_day, "d")
     return _pairs_out(out).join(out.select("sym", "low_pos", "rank", "found_that_day"), ["sym", "low_pos", "rank"])
@@ -215,7 +216,7 @@ def macd_cross_flags(spark, sf_dir):
 
 
 def crossed_bars(spark, sf_dir):
-    return E.cross_flags(macd_bars(spark, sf_dir))
+    return stored(E.cross_flags(macd_bars(spark, sf_dir)), "crossed-bars")
 
 
 V1_SQL = (

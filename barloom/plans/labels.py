@@ -17,7 +17,7 @@ from barloom.plans.registry import query
 from barloom.plans.sequential import _fold, macd_bars
 from barloom.plans.sqltext import lead, past, r, whole
 from barloom.plans.util import panel_query
-from barloom.session import attach_row
+from barloom.session import attach_row, stored
 from barloom.sources import bars as SRC
 
 
@@ -107,7 +107,8 @@ def priced(panel):
     """Weekly bars with stand-in +-25% limits (absent on every 17th calendar day)."""
     placed = panel.join(F.broadcast(SRC.calendar(panel)), "d")
     has = F.pmod("cal_pos", F.lit(17)) != 0
-    return placed.withColumns({"up_limit": F.when(has, F.col("pre_close") * 1.25), "down_limit": F.when(has, F.col("pre_close") * 0.75)})
+    limited = placed.withColumns({"up_limit": F.when(has, F.col("pre_close") * 1.25), "down_limit": F.when(has, F.col("pre_close") * 0.75)})
+    return stored(limited, "priced-bars")
 
 
 def outcome_sql(entries: str, horizon: int, tp: float | None = None, sl: float | None = None, keys: str = "sym, sig_pos", bands: bool = False, bars: str = "pb") -> str:
@@ -151,7 +152,7 @@ def _outcome_cols(out, *more):
 def outcome_horizon_exit(spark, sf_dir):
     df = crossed_bars(spark, sf_dir)
     bars = priced(df)
-    entries = L.market_entries(E.cross_divergence_simple(df).select("sym", "sig_pos"), bars)
+    entries = stored(L.market_entries(E.cross_divergence_simple(df).select("sym", "sig_pos"), bars), "entries")
     return _outcome_cols(L.outcomes(entries, bars, L.ExitRule(5, budget=BUDGET)))
 
 
@@ -162,7 +163,7 @@ def outcome_horizon_exit(spark, sf_dir):
 def outcome_barrier_exit(spark, sf_dir):
     df = crossed_bars(spark, sf_dir)
     bars = priced(df)
-    entries = L.market_entries(E.cross_divergence_simple(df).select("sym", "sig_pos"), bars)
+    entries = stored(L.market_entries(E.cross_divergence_simple(df).select("sym", "sig_pos"), bars), "entries")
     return _outcome_cols(L.outcomes(entries, bars, L.ExitRule(12, 0.25, -0.14, BUDGET)))
 
 
@@ -181,7 +182,7 @@ def outcome_volatility_bands(spark, sf_dir):
     bars = priced(df).withColumn("_tr", B.true_range("high", "low", "close"))
     rule = L.ExitRule(12, 0.25, -0.14, BUDGET)
     bars = L.volatility_bands(bars.withColumn("atr", B.agg("mean", "_tr", 14)), rule, 0.8, 1.2, 0.7, 1.5, 1.3)
-    entries = L.market_entries(E.cross_divergence_simple(df).select("sym", "sig_pos"), bars)
+    entries = stored(L.market_entries(E.cross_divergence_simple(df).select("sym", "sig_pos"), bars), "entries")
     return _outcome_cols(L.outcomes(entries, bars, rule))
 
 
@@ -198,7 +199,7 @@ def outcome_pullback_order(spark, sf_dir):
     df = crossed_bars(spark, sf_dir)
     bars = priced(df)
     events = E.cross_divergence_simple(df).select("sym", F.col("sig_pos").cast("long").alias("sig_pos"), "anchor_close")
-    entries = L.limit_order_entries(events, bars, 0.05)
+    entries = stored(L.limit_order_entries(events, bars, 0.05), "entries")
     return _outcome_cols(L.outcomes(entries, bars, L.ExitRule(12, 0.25, -0.14, BUDGET)))
 
 
@@ -214,7 +215,7 @@ def outcome_not_breached(spark, sf_dir):
     df = crossed_bars(spark, sf_dir)
     bars = priced(df)
     events = E.cross_divergence_simple(df).select("sym", F.col("sig_pos").cast("long").alias("sig_pos"))
-    return _outcome_cols(L.outcomes(L.not_breached_entries(events, bars, 3, 0.9), bars, L.ExitRule(5, budget=BUDGET)))
+    return _outcome_cols(L.outcomes(stored(L.not_breached_entries(events, bars, 3, 0.9), "entries"), bars, L.ExitRule(5, budget=BUDGET)))
 
 
 @query(
@@ -230,7 +231,7 @@ def outcome_breakout(spark, sf_dir):
     df = crossed_bars(spark, sf_dir)
     bars = priced(df)
     events = E.cross_divergence_simple(df).select("sym", F.col("sig_pos").cast("long").alias("sig_pos"))
-    return _outcome_cols(L.outcomes(L.breakout_entries(events, bars, 2), bars, L.ExitRule(5, budget=BUDGET)))
+    return _outcome_cols(L.outcomes(stored(L.breakout_entries(events, bars, 2), "entries"), bars, L.ExitRule(5, budget=BUDGET)))
 
 
 @query(
@@ -248,7 +249,7 @@ def outcome_eve_entries(spark, sf_dir):
     df = crossed_bars(spark, sf_dir)
     bars = priced(df)
     keys, rule = ("variant", "sym", "eve_pos"), L.ExitRule(12, 0.25, -0.14, BUDGET)
-    entries = L.eve_entries(E.eve_candidates(df).select(*keys, "target_pos", "c_star"), bars, "limit")
+    entries = stored(L.eve_entries(E.eve_candidates(df).select(*keys, "target_pos", "c_star"), bars, "limit"), "entries")
     done = L.outcomes(entries, bars, rule, keys).select(*keys, "status", "confirmed", "exit_pos")
     failed = L.next_open_exit(entries, bars, rule, keys).select(*keys, F.col("status").alias("fail_status"), F.col("exit_pos").alias("fail_pos"))
     out = done.join(failed, list(keys), "left")

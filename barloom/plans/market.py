@@ -19,6 +19,7 @@ from barloom.plans.registry import query
 from barloom.plans.sequential import FRACTAL_SQL, _fold, macd_bars, macd_sql
 from barloom.plans.sqltext import full, last, past, r, ref, whole
 from barloom.plans.util import shown, shown_sql
+from barloom.session import stored
 from barloom.sources import bars as SRC
 
 OVER_D = "OVER (ORDER BY d ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
@@ -204,7 +205,7 @@ EVENT_COLS = {
 
 @query("event_row_features", "F2 J12 W41 W42", S.with_bars(*AMACD, *EVENT_ROW_SQL) + shown_sql("er", EVENT_COLS, 4, keys=("sym", "sig_pos", "low_pos")))
 def event_row_features(spark, sf_dir):
-    panel = ER.event_panel(EN.prepare(SRC.adjust(SRC.bars_brand_week(spark, sf_dir))))
+    panel = stored(ER.event_panel(EN.prepare(SRC.adjust(SRC.bars_brand_week(spark, sf_dir)))), "event-panel")
     out = ER.event_features(main_pool(panel).select("sym", "sig_pos", "low_pos", "prev_pos"), panel)
     return shown(out, {n: F.col(n) for n in EVENT_COLS}, 4, keys=("sym", "sig_pos", "low_pos"))
 
@@ -265,7 +266,8 @@ def pool_with_days(spark, sf_dir):
     at = panel.select("sym", F.col("pos").cast("long").alias("sig_pos"), "d", B.lead("d", 5).alias("exit_d"), L.chain_return(5).alias("ret5"))
     days = F.broadcast(cal)
     ev = main_pool(panel).join(at, ["sym", "sig_pos"]).join(days, "d")
-    return ev.join(F.broadcast(cal.select(F.col("d").alias("exit_d"), F.col("cal_pos").alias("exit_pos"))), "exit_d", "left"), cal
+    exits = F.broadcast(cal.select(F.col("d").alias("exit_d"), F.col("cal_pos").alias("exit_pos")))
+    return stored(ev.join(exits, "exit_d", "left"), "pool-days"), cal
 
 
 TIMING_SQL = (*MAIN_SQL, "cal AS (SELECT d, row_number() OVER (ORDER BY d) AS cal_pos FROM (SELECT DISTINCT d FROM mc))",

@@ -12,6 +12,7 @@ from barloom.plans import sqltext as S
 from barloom.plans.registry import query
 from barloom.plans.sqltext import full, past, r, ref
 from barloom.plans.util import shown, shown_sql
+from barloom.session import stored
 from barloom.sources.bars import adjust, bars_brand_week, bars_supp_month
 
 
@@ -30,8 +31,8 @@ mc2 AS (SELECT *, e12 - e26 AS dif0, list(e12 - e26) FILTER (WHERE e12 IS NOT NU
 
 
 def macd_bars(spark, sf_dir, build=bars_brand_week):
-    """Adjusted weekly bars with the MACD of the raw close."""
-    return Q.add_recursions(adjust(build(spark, sf_dir)), [Q.macd("close")])
+    """Adjusted weekly bars with the MACD of the raw close, stored: lows, pairs and labels all read it."""
+    return stored(Q.add_recursions(adjust(build(spark, sf_dir)), [Q.macd("close")]), "macd-bars")
 
 
 @query(

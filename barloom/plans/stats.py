@@ -19,7 +19,7 @@ from barloom.plans.market import TIMING_SQL, pool_with_days
 from barloom.plans.registry import query
 from barloom.plans.sequential import macd_bars
 from barloom.plans.sqltext import full, lead, r, ref
-from barloom.session import attach_row
+from barloom.session import attach_row, stored
 from barloom.sources import bars as SRC
 
 # ---------------------------------------------------------------- the scored panel used below
@@ -40,7 +40,8 @@ def scored(spark, sf_dir):
         B.agg("std", "r", 10).alias("vol10"), "amount", "vol", "close", "n",
     )
     seg = F.when(F.col("d") < F.lit("1998-01-01").cast("date"), "train").when(F.col("d") < F.lit("2000-01-01").cast("date"), "val").otherwise("test")
-    return out.withColumn("lab", F.when(F.col("fwd").isNotNull(), (F.col("fwd") > 0).cast("double"))).withColumn("seg", seg)
+    out = out.withColumn("lab", F.when(F.col("fwd").isNotNull(), (F.col("fwd") > 0).cast("double"))).withColumn("seg", seg)
+    return stored(out, "scored")
 
 
 def rounded(df, digits=6, **special):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a frame that several branches of a plan use as a parquet table in the shared folder, and read it.
+
+    Each branch then scans only its columns instead of running everything before it again. The folder lives as
+    long as the checkpoint folder does.
+    """
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def by_series(df: DataFrame, keys: tuple[str, ...] = ("sym",)) -> DataFrame:
     """Hash by series with the session's partition count.
 
