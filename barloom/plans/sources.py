@@ -123,7 +123,8 @@ def panel_of_bars_basics_limits(spark, sf_dir):
     limits = limits_of(adj, SRC.calendar(adj))
     first, last = "1996-01-01", "1999-12-31"
     panel = J.join_many_to_one(
-        J.join_many_to_one(T.in_range(adj.select("sym", "d", "close"), first, last), T.in_range(basic, first, last), ["sym", "d"]),
+        # Grouped by the key just above, so unique without a check.
+        J.join_many_to_one(T.in_range(adj.select("sym", "d", "close"), first, last), T.in_range(basic, first, last), ["sym", "d"], check=False),
         T.in_range(limits, first, last), ["sym", "d"],
     )
     return panel.select(

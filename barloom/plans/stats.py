@@ -513,7 +513,7 @@ def prefix_event_equality(spark, sf_dir):
     cut = F.lit("1999-03-01").cast("date")
 
     def known(b):
-        panel = add_recursions(SRC.adjust(b), [macd("close")])
+        panel = stored(add_recursions(SRC.adjust(b), [macd("close")]), "prefix")
         at = panel.select("sym", F.col("pos").cast("long").alias("sig_pos"), "d")
         return main_pool(panel).join(at, ["sym", "sig_pos"]).where(F.col("d") <= cut)
 
