@@ -144,6 +144,8 @@ def shared_anchors(docs: DataFrame, n_slices: int, width: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, n_anchor: int, n_slices: int, width: int) -> DataFrame:
     """(doc_id, starts): places of windows whose words also start in a document with a smaller id.
 
+    The upper half of a start is a hash of the text, so that rows that share a doc_id keep their own.
+
     ``docs`` has the anchors that a document shares. Windows around them are hashed to 96 bits within their slice;
     per chunk the smallest document of a window goes to the slice, the chunk's other ones are known to be later.
     """
@@ -152,7 +154,8 @@ def repeated_windows(docs: DataFrame, n_anchor: int, n_slices: int, width: int)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            words, ids = Words(utf8(part)), ids_of(part)
+            texts = utf8(part)
+            words, ids = Words(texts), ids_of(part)
             at, key = words.anchors(anchor_width)
             key >>= np.uint64(32 - abits)
             lists = part.column("anchors").to_pylist()
@@ -165,7 +168,8 @@ def repeated_windows(docs: DataFrame, n_anchor: int, n_slices: int, width: int)
             around = np.cumsum(np.bincount(begin, minlength=size) - np.bincount(hit + 1, minlength=size))[:-1] > 0
             starts = np.flatnonzero(around & (words.left >= width))
             low, high = words.windows(words.low, width, 5)[starts], words.windows(words.high, width, 6)[starts]
-            doc, place = ids[words.doc[starts]], words.place[starts]
+            marks = np.fromiter(map(xxhash.xxh32_intdigest, texts), np.uint64, len(texts))
+            doc, place = ids[words.doc[starts]], (marks[words.doc[starts]] << np.uint64(32)) | words.place[starts].astype(np.uint64)
             order = np.lexsort((place, doc, high, low))
             low, high, doc, place = low[order], high[order], doc[order], place[order]
             new = np.ones(len(low), bool)
@@ -174,7 +178,7 @@ def repeated_windows(docs: DataFrame, n_anchor: int, n_slices: int, width: int)
             own = doc == least
             cut = (low >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(low), np.int64)
             later = ~own
-            columns = [low.astype("<u8"), (high >> np.uint64(32)).astype("<u4"), doc.astype("<i8"), place.astype("<u4")]
+            columns = [low.astype("<u8"), (high >> np.uint64(32)).astype("<u4"), doc.astype("<i8"), place.astype("<u8")]
             if later.any():
                 by = np.argsort(doc[later], kind="stable")
                 yield packed(np.full(later.sum(), -1), [c[later][by] for c in columns], schema)
@@ -184,12 +188,12 @@ def repeated_windows(docs: DataFrame, n_anchor: int, n_slices: int, width: int)
         order = np.argsort(doc, kind="stable")
         doc, place = doc[order], place[order]
         starts, sizes = runs(doc)
-        rows = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(doc)].astype(np.int32)), pa.array(place.astype(np.int32)))
+        rows = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(doc)].astype(np.int32)), pa.array(place.view(np.int64)))
         return pa.table([pa.array(doc[starts]), rows], names=["doc_id", "starts"])
 
     def later_than_first(table: pa.Table) -> pa.Table:
         low, high = joined_bytes(table, "low", "<u8"), joined_bytes(table, "high", "<u4")
-        doc, place = joined_bytes(table, "doc", "<i8"), joined_bytes(table, "place", "<u4")
+        doc, place = joined_bytes(table, "doc", "<i8"), joined_bytes(table, "place", "<u8")
         order = np.lexsort((doc, high, low))
         low, high, doc, place = low[order], high[order], doc[order], place[order]
         new = np.ones(len(low), bool)
@@ -200,11 +204,11 @@ def repeated_windows(docs: DataFrame, n_anchor: int, n_slices: int, width: int)
     def known(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             table = pa.Table.from_batches([b])
-            yield from places(joined_bytes(table, "doc", "<i8"), joined_bytes(table, "place", "<u4")).combine_chunks().to_batches()
+            yield from places(joined_bytes(table, "doc", "<i8"), joined_bytes(table, "place", "<u8")).combine_chunks().to_batches()
 
     packs = stored(docs.mapInArrow(pack, "slice int, low binary, high binary, doc binary, place binary"), "window-packs")
-    far = packs.where("slice >= 0").groupBy("slice").applyInArrow(later_than_first, "doc_id long, starts array<int>")
-    near = packs.where("slice < 0").select("doc", "place").mapInArrow(known, "doc_id long, starts array<int>")
+    far = packs.where("slice >= 0").groupBy("slice").applyInArrow(later_than_first, "doc_id long, starts array<long>")
+    near = packs.where("slice < 0").select("doc", "place").mapInArrow(known, "doc_id long, starts array<long>")
     return far.unionByName(near)
 
 
@@ -240,7 +244,8 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
                 stay = own
                 if starts:
                     gone = np.zeros(len(own), bool)
-                    at = np.unique(np.array(starts, np.int64))
+                    at = np.unique(np.array(starts, np.int64).view(np.uint64))
+                    at = (at[at >> np.uint64(32) == xxhash.xxh32_intdigest(text)] & np.uint64(0xFFFFFFFF)).astype(np.int64)
                     gone[ragged(at, np.full(len(at), width))] = True
                     stay = [own[i] for i in np.flatnonzero(~gone).tolist()]
                 line = b" ".join(stay)
