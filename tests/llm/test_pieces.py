@@ -58,16 +58,22 @@ def test_units(unit, vocabulary):
 
 
 def test_counts_equal_the_library(vocabulary, unigram, corpus):
-    """Where its single-precision sums are exact: words without unknown characters, one by one."""
+    """Its lattice decoder, where single-precision sums are exact: words without unknown characters, one by one."""
     seen = {u for r in corpus.select("text").collect() for u in (r["text"] or "").replace("\n", " ").split(" ") if u}
     units = sorted(seen)[:20_000]
     best = viterbi([marked(u.encode()) for u in units], vocabulary, ids=True)
     checked = 0
     for u, score, count, ids in zip(units, best.score, best.count, best.ids):
         if score > -(1 << 24):
-            assert unigram.encode(u) == ids.tolist() and len(ids) == count
+            assert unigram.nbest_encode_as_ids(u, 1)[0] == ids.tolist() and len(ids) == count
             checked += 1
     assert checked > 0.9 * len(units)
+    worth = {i: s for i, s in zip(vocabulary.ids, vocabulary.scores)}
+    for u, score in list(zip(units, best.score))[::50]:
+        if score > -(1 << 20):
+            want = [sum(worth[i] for i in ids) for ids in unigram.nbest_encode_as_ids(u, 4) if all(i in worth for i in ids)]
+            got = [s for s, _ in nbest(marked(u.encode()), vocabulary, 4) if s > -(1 << 20)]
+            assert got == want[: len(got)]
 
 
 def test_text_counts_and_round_trip(spark, odd, corpus, vocabulary):
