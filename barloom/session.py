@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -62,8 +63,29 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    # Once the table is written its shuffle files have no further reader.
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.scratch_folder = folder
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the folder of a ``stored`` table that nothing reads any more. Frames that are still lazy must not use it."""
+    folder = getattr(table, "scratch_folder", None)
+    if folder is None:
+        raise ValueError("not a stored table")
+    spark = table.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def by_series(df: DataFrame, keys: tuple[str, ...] = ("sym",)) -> DataFrame:
