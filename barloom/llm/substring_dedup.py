@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.text import chunks, ragged, runs, slice_count, utf8
-from barloom.session import stored
+from barloom.session import discard, stored
 
 #: Every difference modulo 7 is a difference of two members, so of 7 shifts one puts both ends of a pair on the cover.
 PERIOD, COVER = 7, (0, 1, 3)
@@ -138,7 +138,9 @@ def shared_anchors(docs: DataFrame, n_slices: int, width: int) -> DataFrame:
     packs = stored(docs.select("doc_id", "text").mapInArrow(pack, "slice int, hash binary, doc binary"), "anchor-packs")
     far = packs.where("slice >= 0").groupBy("slice").applyInArrow(repeated, "doc_id long, anchor long")
     near = packs.where("slice < 0").mapInArrow(known, "doc_id long, anchor long")
-    return far.unionByName(near)
+    out = stored(far.unionByName(near), "shared-anchors")
+    discard(packs)
+    return out
 
 
 def repeated_windows(docs: DataFrame, n_anchor: int, n_slices: int, width: int) -> DataFrame:
@@ -209,7 +211,9 @@ def repeated_windows(docs: DataFrame, n_anchor: int, n_slices: int, width: int)
     packs = stored(docs.mapInArrow(pack, "slice int, low binary, high binary, doc binary, place binary"), "window-packs")
     far = packs.where("slice >= 0").groupBy("slice").applyInArrow(later_than_first, "doc_id long, starts array<long>")
     near = packs.where("slice < 0").select("doc", "place").mapInArrow(known, "doc_id long, starts array<long>")
-    return far.unionByName(near)
+    out = stored(far.unionByName(near), "repeated-windows")
+    discard(packs)
+    return out
 
 
 def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -226,12 +230,13 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     words = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     n_anchor = slice_count(words * len(COVER) // PERIOD, SLICE_ENTRIES)
     texts = docs.select("doc_id", "text")
-    shared = stored(shared_anchors(texts, n_anchor, width - PERIOD + 1), "shared-anchors")
+    shared = shared_anchors(texts, n_anchor, width - PERIOD + 1)
     n_windows = slice_count(shared.count() * PERIOD // len(COVER), SLICE_ENTRIES)
     top = F.lit(2**63 - 1).cast("long")
     wanted = shared.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("anchor").alias("anchors"))
     near = texts.join(wanted, F.coalesce(texts["doc_id"], top) == wanted["_id"]).select("doc_id", "text", "anchors")
-    found = stored(repeated_windows(near, n_anchor, n_windows, width), "repeated-windows")
+    found = repeated_windows(near, n_anchor, n_windows, width)
+    discard(shared)
     gone = found.groupBy(F.col("doc_id").alias("_id")).agg(F.flatten(F.collect_list("starts")).alias("starts"))
     marked = texts.join(gone, F.coalesce(texts["doc_id"], top) == gone["_id"], "left").select("doc_id", "text", "starts")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
