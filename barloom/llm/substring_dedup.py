@@ -201,7 +201,9 @@ def repeated_windows(docs: DataFrame, n_anchor: int, n_slices: int, width: int)
         new = np.ones(len(low), bool)
         new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else doc
-        return places(doc[doc > least], place[doc > least])
+        late = np.flatnonzero(doc > least)
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(late) + 1, dtype=np.int32)), pa.array(place[late].view(np.int64)))
+        return pa.table([pa.array(doc[late]), rows], names=["doc_id", "starts"])
 
     def known(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
