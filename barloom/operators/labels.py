@@ -69,7 +69,8 @@ FAMILIES: dict[str, Callable[[int], Column]] = {
     "open_exec": open_to_close,
     "max_fwd": best_forward,
 }
-HORIZONS = (1, 2, 3, 5, 10, 15, 20, 30, 60)
+# Fixed values.
+HORIZONS = (3, 5, 10, 15, 20, 25, 30, 45, 60)
 
 
 def sign_labels(families: tuple[str, ...] = ("cur", "open_exec"), horizons: tuple[int, ...] = HORIZONS) -> dict[str, Column]:

@@ -13,7 +13,8 @@ from barloom.functions.scalar import col, safe_sqrt, sdiv
 from barloom.operators.cross_section import (
     average_rank, group_quantiles, largest_group, pct_rank_average, positions, rank_counts, top_k,
 )
-from barloom.session import attach_row, cut_lineage
+from barloom.operators.components import star_forest
+from barloom.session import attach_row
 
 
 def normal_sf(z: Column) -> Column:
@@ -366,24 +367,10 @@ def representative_clusters(corr: DataFrame, ranked: Sequence[str], threshold: f
     return owner
 
 
-def linked_components(pairs: DataFrame, nodes: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, component): smallest node name reachable through pairs (a, b); each round doubles as an equi-join.
-
-    Stops when a round changes nothing; the label table is checkpointed between rounds.
-    """
-    edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = cut_lineage(edges)
-    labels = cut_lineage(nodes.select("node", F.col("node").alias("component")))
-    for _ in range(rounds):
-        around = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("_c"))
-        better = labels.join(around, F.col("node") == F.col("a"), "left").select(
-            "node", F.least("component", F.coalesce("_c", "component")).alias("component"), (F.col("_c") < F.col("component")).alias("_changed")
-        )
-        better = cut_lineage(better)
-        labels = better.select("node", "component")
-        if better.where("_changed").isEmpty():
-            break
-    return labels
+def linked_components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component): smallest node name reachable through pairs (a, b), over any number of steps."""
+    forest = star_forest(pairs.select("a", "b"))
+    return nodes.select("node").join(forest, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def yearly_signs(df: DataFrame, pairs: dict[str, tuple[str, str]], year: str) -> DataFrame:

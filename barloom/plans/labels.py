@@ -39,8 +39,8 @@ panel_query(
 panel_query(
     "sign_labels_two_families", "L8 UF3", "supp_month",
     lambda: {n: c for n, c in L.sign_labels().items()},
-    {**{f"cur_h{h}": f"CASE WHEN {lead('close', h + 1)} IS NOT NULL THEN CASE WHEN {lead('close', h + 1)} / close - 1 > 0 THEN 1.0 ELSE 0.0 END END" for h in L.HORIZONS},
-     **{f"open_exec_h{h}": f"CASE WHEN {lead('close', h + 1)} IS NOT NULL THEN CASE WHEN {lead('close', h + 1)} / {lead('open', 1)} - 1 > 0 THEN 1.0 ELSE 0.0 END END" for h in L.HORIZONS}},
+    {**{f"cur_h{h}": f"CASE WHEN {lead('close', h + 1)} IS NOT NULL THEN CASE WHEN {lead('close', h + 1)} / close - 1 > 0 THEN 1.0 ELSE 0.0 END END" for h in (3, 5, 10, 15, 20, 25, 30, 45, 60)},
+     **{f"open_exec_h{h}": f"CASE WHEN {lead('close', h + 1)} IS NOT NULL THEN CASE WHEN {lead('close', h + 1)} / {lead('open', 1)} - 1 > 0 THEN 1.0 ELSE 0.0 END END" for h in (3, 5, 10, 15, 20, 25, 30, 45, 60)}},
 )
 
 ATR_SQL = ("at0 AS (SELECT *, greatest(high - low, abs(high - pre_close), abs(low - pre_close)) AS tr FROM adj)",

@@ -42,16 +42,18 @@ def run_available(stream: DataFrame, name: str, output_mode: str = "append") ->
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def write_days(batch: DataFrame, path: str, day: str = "d") -> None:
-    """Idempotent sink for ``foreachBatch``: only the days of the batch are replaced."""
-    (
-        batch.hint("rebalance", day).write.partitionBy(day).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    )
+def write_days(batch: DataFrame, path: str, day: str = "d", batch_id: int = 0) -> None:
+    """Idempotent sink for ``foreachBatch``: a replay replaces the rows of its own batch, by day, and no others.
+
+    A day whose rows arrive in several batches keeps them all, one folder per batch below the day.
+    """
+    tagged = batch.withColumn("batch", F.lit(batch_id).cast("long"))
+    tagged.hint("rebalance", day).write.partitionBy(day, "batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def start_day_sink(stream: DataFrame, path: str, checkpoint: str, day: str = "d"):
     return (
-        stream.writeStream.foreachBatch(lambda batch, _: write_days(batch, path, day))
+        stream.writeStream.foreachBatch(lambda batch, batch_id: write_days(batch, path, day, batch_id))
         .trigger(availableNow=True)
         .option("checkpointLocation", checkpoint)
         .start()
