@@ -34,10 +34,11 @@ def base_counts(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, blank, "")) > 0)
     out = docs.withColumn("_w", words_of(F.col("text"))).withColumn("_lines", lines)
     out = out.withColumn("n_words", F.size("_w").cast("long"))
-    windows = F.transform(
-        F.sequence(F.lit(0), F.col("n_words").cast("int") - 3),
-        lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)),
-    )
+    # Neighbours are zipped, not looked up by place: a lambda that names the array may split the text again for every word.
+    rest = F.greatest(F.size("_w"), F.lit(1))
+    zipped = F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, rest).alias("b"), F.slice("_w", 3, rest).alias("c"))
+    whole = F.slice(zipped, 1, F.greatest(F.size("_w") - 2, F.lit(0)))
+    windows = F.transform(whole, lambda x: F.xxhash64(x["a"], x["b"], x["c"]))
     out = out.withColumn("_g", F.when(F.col("n_words") >= 3, windows).otherwise(F.array().cast("array<bigint>")))
     # Most texts have no repeated window; the others sort theirs, so that equal ones are neighbours.
     placed = F.array_sort(F.arrays_zip(F.col("_g").alias("g"), F.sequence(F.lit(0), F.size("_g") - 1).alias("i")))
