@@ -143,13 +143,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Rows that share a doc_id share the copies of one another in doc_id: each of them is taken its own number of times,
     dealt in the order of size.
     """
-    copies = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "copies", "row")
-    nth = F.row_number().over(Window.partitionBy("_id", "_size").orderBy("row"))
-    copies = copies.withColumn("_nth", nth).drop("row")
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    again = Window.partitionBy("doc_id", "_words").orderBy(F.xxhash64("text"), "source")
-    sized = sized.withColumn("_place", F.row_number().over(again))
-    same = sized["doc_id"].eqNullSafe(copies["_id"]) & (sized["_words"] == copies["_size"]) & (sized["_place"] == copies["_nth"])
+    copies = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies"), "row")
+    nth = F.row_number().over(Window.partitionBy("_mix_id", "_mix_size").orderBy("row"))
+    copies = copies.withColumn("_mix_nth", nth).drop("row")
+    sized = docs.withColumn("_mix_words", word_count(F.col("text")))
+    again = Window.partitionBy("doc_id", "_mix_words").orderBy(F.xxhash64("text"), "source")
+    sized = sized.withColumn("_mix_place", F.row_number().over(again))
+    same = sized["doc_id"].eqNullSafe(copies["_mix_id"]) & (sized["_mix_words"] == copies["_mix_size"]) & (sized["_mix_place"] == copies["_mix_nth"])
     joined = sized.join(copies, same)
-    times = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return joined.withColumn("_copy", times).select(*docs.columns)
+    times = F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))
+    return joined.withColumn("_mix_copy", times).select(*docs.columns)
