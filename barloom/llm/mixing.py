@@ -39,7 +39,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     left = F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     table = table.withColumn("level", left / F.sum("weight").over(level.rowsBetween(0, Window.unboundedFollowing)))
     table = table.withColumn("full", F.col("cap") <= F.col("weight") * F.col("level"))
-    rest = F.min(F.when(~F.col("full"), F.col("level"))).over(every)
+    # The level at the first source that stays below its cap; behind it the running level only falls.
+    rest = F.max(F.when(~F.col("full"), F.col("level"))).over(every)
     target = F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * rest))
     return table.withColumn("target", target).select("source", "n", "source_size", "weight", "target")
 
