@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.text import one_row_each, row_key
 from barloom.session import stored
 
 KEY = ("digest", "n_bytes", "check")
@@ -74,7 +75,5 @@ def drop_exact_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
 
     Rows that agree in doc_id and text leave one row.
     """
-    stay = exact_groups(docs, keep).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_stay_sha"))
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    same = keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_sha"] == stay["_stay_sha"])
-    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    stay = exact_groups(docs, keep).where("kept").select(row_key(F.col("text_sha256")))
+    return one_row_each(docs, row_key(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)), stay)

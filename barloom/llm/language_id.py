@@ -18,6 +18,7 @@ CENTROIDS, SAMPLE_PER_LANGUAGE, ROUNDS = 4, 400, 12
 #: A text is rejected if its cosine to the nearest centroid is below this: it has next to nothing of any language.
 LEAST_COSINE = 0.08
 UNKNOWN = "und"
+ADDED = ("held_out", "lang_pred", "score", "rejected")
 LETTER = regex.compile(r"\p{L}")
 #: White space, ASCII digits and ASCII punctuation count as one blank; A-Z as a-z.
 FOLD = bytes(c if c >= 128 or 97 <= c < 123 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
@@ -129,8 +130,7 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None, least_cosine:
     ``docs`` that have one of the added names are replaced.
     """
     model = train(learn_from if learn_from is not None else docs)
-    added = ("held_out", "lang_pred", "score", "rejected")
-    rows = docs.drop(*added)
+    rows = docs.drop(*ADDED)
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,5 +144,7 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None, least_cosine:
 
 
 def drop_rejected(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
-    """``docs`` without the rows that ``identify`` rejects; all columns kept."""
-    return identify(docs, learn_from).where(~F.col("rejected")).select(*docs.columns)
+    """``docs`` without the rows that ``identify`` rejects; all columns kept, also those that have one of its names."""
+    own = {c: f"_own_{c}" for c in docs.columns if c in ADDED}
+    kept = identify(docs.withColumnsRenamed(own), learn_from).where(~F.col("rejected")).drop(*ADDED)
+    return kept.withColumnsRenamed({new: old for old, new in own.items()}).select(*docs.columns)

@@ -7,10 +7,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.text import chunks, runs, utf8
+from barloom.llm.text import chunks, one_row_each, row_key, runs, utf8
 from barloom.operators.components import star_forest
 from barloom.session import stored
 
@@ -47,15 +47,20 @@ def fingerprint_of(hashes: list[int]) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def text_mark() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a long."""
+    """(doc_id, mark, fp): mark is a hash of the text, fp holds the 64 bits as a long."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             fps = np.array([fingerprint_of(shingle_hashes(x, width)) for x in utf8(part)], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            columns = [part.column("doc_id").cast(pa.int64()), part.column("mark"), pa.array(fps.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def popcounts(fps: np.ndarray) -> np.ndarray:
@@ -152,6 +157,17 @@ def grid_links(fps: DataFrame, bits: int = 3) -> DataFrame:
     return visits(fps).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
+def rooted_fingerprints(prints: DataFrame, bits: int) -> DataFrame:
+    """(fp, first_id, root) per distinct fingerprint: its smallest doc_id, and the fingerprint that names its component."""
+    if bits > 3:
+        raise ValueError("the grid is laid out for at most 3 bits")
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-classes")
+    links = stored(grid_links(classes, bits), "fingerprint-links")
+    forest = star_forest(links)
+    rooted = classes.join(forest, classes["fp"] == forest["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    return stored(rooted, "fingerprint-roots")
+
+
 def simhash_groups(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
@@ -159,20 +175,22 @@ def simhash_groups(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame:
     Texts without words (null, empty, blanks) have fingerprint zero and link like any other. Repeated rows and rows
     that share a doc_id are rows of their own; null doc_ids are left out of the smallest. An empty table gives no rows.
     """
-    if bits > 3:
-        raise ValueError("the grid is laid out for at most 3 bits")
     prints = stored(fingerprints(docs, width), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-classes")
-    links = stored(grid_links(classes, bits), "fingerprint-links")
-    forest = star_forest(links)
-    rooted = classes.join(forest, classes["fp"] == forest["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted, "fingerprint-roots")
+    rooted = rooted_fingerprints(prints, bits)
     least = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
     named = stored(rooted.join(least, "root").select("fp", "component_id"), "fingerprint-components")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame:
-    """``docs`` with one document of each SimHash component, the one with the smallest doc_id."""
-    stay = simhash_groups(docs, width, bits).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"] == stay["_id"], "left_semi")
+    """``docs`` with one row of each SimHash component: the one with the smallest doc_id.
+
+    A null doc_id comes after all others. Of rows that share the doc_id the one with the smallest text hash stays.
+    """
+    prints = stored(fingerprints(docs, width), "fingerprints")
+    rooted = rooted_fingerprints(prints, bits).select("fp", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark"))
+    # A fingerprint of a third of all rows is one record per task before it meets its root.
+    heads = stored(prints.groupBy("fp").agg(first.alias("head")), "fingerprint-heads")
+    stay = heads.join(rooted, "fp").groupBy("root").agg(F.min("head").alias("head")).select("head.doc_id", F.col("head.mark").cast("string").alias("mark"))
+    return one_row_each(docs, row_key(text_mark().cast("string")), stay.select(row_key(F.col("mark"))))

@@ -25,6 +25,23 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key(digest: Column) -> Column:
+    """doc_id and a digest of the text as one string that is never null, so that joins on it stay plain equality."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), digest)
+
+
+def one_row_each(docs: DataFrame, key: Column, stay: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is in the only column of ``stay``, one row per key; all columns kept.
+
+    Join and dedup share the exchange by key.
+    """
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    keys = stay.toDF(name)
+    return docs.withColumn(name, key).join(keys, name, "left_semi").dropDuplicates([name]).drop(name)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches again in slices of about ``limit`` bytes of ``column``."""
     for batch in batches:

@@ -244,3 +244,19 @@ def test_language_prediction_does_not_see_labels(odd):
     got = language_id.identify(odd)
     assert got.where("text IS NULL OR NOT text RLIKE '\\\\p{L}'").select("lang_pred").distinct().collect() == [("und",)]
     assert got.where("text RLIKE '\\\\p{L}' AND lang_pred NOT IN ('en', 'fr')").count() == 0
+
+
+def test_filters_keep_one_row_of_each_group_and_own_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i * 7 % 41}" for i in range(40))
+    rows = [(1, text), (1, other), (2, text), (None, text), (None, " ".join(f"u{i * 5 % 43}" for i in range(40))), (None, "only null ids here " * 20), (None, "only null ids here " * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit(9.0), "rejected": F.lit("mine"), "_key": F.lit(5)})
+    near = simhash_groups.drop_near_copies(docs).collect()
+    groups = {r["fingerprint"]: r["component_id"] for r in simhash_groups.simhash_groups(docs).collect()}
+    links = sum(1 for a in groups for b in groups if a < b and bin(int(a, 16) ^ int(b, 16)).count("1") <= 3)
+    assert links == 0 and len(near) == len(groups)
+    assert sorted(r["text"] for r in near if r["doc_id"] == 1) == sorted([text, other])
+    exact = exact_dedup.drop_exact_copies(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in exact) == sorted([(2, text), (1, other), (0, rows[4][1]), (0, rows[5][1])])
+    for r in [*near, *exact, *language_id.drop_rejected(docs.withColumn("lang", F.lit("en"))).collect()]:
+        assert (r["score"], r["rejected"], r["_key"]) == (9.0, "mine", 5)
