@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.cross_section import hashed_positions
+from barloom.operators.cross_section import hashed_positions, join_groups
 
 
 def same_symbol_controls(events: DataFrame, bars: DataFrame, seed: int, warmup: int) -> DataFrame:
@@ -62,7 +62,7 @@ def random_picks(df: DataFrame, keys: Sequence[str], identity: Sequence[str], k:
         taken = F.col(f"_t{i}")
     wanted = draws.select(*keys, "rep", F.explode(taken).alias("_at"))
     rows = placed.withColumn("_at", F.col("_at").cast("long")).drop("_at_n")
-    return wanted.join(rows, [*keys, "_at"]).drop("_at")
+    return join_groups(wanted, rows, [*keys, "_at"], safe=keys).drop("_at")
 
 
 def random_anchor_coverage(truth: DataFrame, anchors: DataFrame, rows: DataFrame, widths: Sequence[int]) -> DataFrame:
@@ -92,11 +92,12 @@ def spot_sample(cells: DataFrame, n: int, seed: int, identity: Sequence[str]) ->
 
 
 def poisson_weight(seed: int, *cols: str):
-    """Poisson(1) count from a seeded hash, by its distribution function."""
+    """Poisson(1) count from a seeded hash, by its distribution function, as far as double precision can tell it from 1."""
     u = (F.xxhash64(F.lit(seed), *cols) / F.lit(2.0**64)) + 0.5
-    out, total, mass = F.lit(9), 0.0, 0.36787944117144233
+    last = 18
+    out, total, mass = F.lit(last), 0.0, 0.36787944117144233
     edges = []
-    for k in range(9):
+    for k in range(last):
         total += mass
         edges.append((k, total))
         mass /= k + 1
@@ -120,4 +121,4 @@ def shuffled_within(df: DataFrame, keys: Sequence[str], column: str, identity: S
     """``column`` permuted at random inside each group: rows and values are numbered by two different hashes."""
     rows = hashed_positions(df, keys, seed, identity, "_i").drop("_i_n")
     values = hashed_positions(df.select(*keys, *identity, column), keys, seed + 1, identity, "_i")
-    return rows.join(values.select(*keys, "_i", F.col(column).alias(out)), [*keys, "_i"]).drop("_i")
+    return join_groups(rows, values.select(*keys, "_i", F.col(column).alias(out)), [*keys, "_i"], safe=keys).drop("_i")

@@ -34,6 +34,20 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return int(top or 0)
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", safe: Sequence[str] | None = None) -> DataFrame:
+    """Join on group keys where a NULL key is a group like any other; the keys of the right side go.
+
+    ``safe`` names the keys that may be NULL (all, if not given).
+    """
+    safe = keys if safe is None else safe
+    other = right.withColumnsRenamed({k: f"_g_{k}" for k in keys})
+    match = F.lit(True)
+    for k in keys:
+        mine, theirs = F.col(k), F.col(f"_g_{k}")
+        match = match & (mine.eqNullSafe(theirs) if k in safe else mine == theirs)
+    return left.join(other, match, how).drop(*[f"_g_{k}" for k in keys])
+
+
 def _small(df: DataFrame, keys: Sequence[str], group_rows: int | None) -> bool:
     return (largest_group(df, keys) if group_rows is None else group_rows) <= WINDOW_GROUP_ROWS
 
@@ -57,15 +71,8 @@ def rank_counts(
             names[2]: F.count(F.lit(1)).over(by),
         }
         return df.withColumns({n: F.when(known, c.cast("long")) for n, c in shown.items()})
-    counts = value_ranks(df, keys, value).select(
-        *[F.col(k).alias(f"_g_{k}") for k in keys],
-        F.col(value).alias("_v"),
-        *[F.col(s).alias(n) for s, n in zip(("less", "ties", "total"), names)],
-    )
-    match = F.col(value) == F.col("_v")
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
-    return df.join(counts, match, "left").drop("_v", *[f"_g_{k}" for k in keys])
+    counts = value_ranks(df, keys, value).withColumnsRenamed(dict(zip(("less", "ties", "total"), names)))
+    return join_groups(df, counts, [*keys, value], "left", safe=keys)
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -78,7 +85,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     # The sketch may differ between runs of the plan, so it is fixed before two branches use it.
     cuts = cut_lineage(cuts)
     if keys:
-        ranged = counted.join(cuts, keys)
+        ranged = join_groups(counted, cuts, keys)
     else:
         ranged = attach_row(counted, cuts)
     ranged = ranged.withColumn(
@@ -96,7 +103,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
     ranked = ranged.withColumn("_in", F.coalesce(F.sum("ties").over(inside), F.lit(0)))
-    return ranked.join(sizes, [*keys, "_range"]).select(
+    return join_groups(ranked, sizes, [*keys, "_range"], safe=keys).select(
         *keys, value, (F.col("_below") + F.col("_in")).alias("less"), "ties", "total"
     )
 
@@ -149,7 +156,7 @@ def rank_against(
     query_ranks = value_ranks(queries, keys, value).select(
         *keys, value, F.col("less").alias("_ql"), F.col("ties").alias("_qt"), F.col("total").alias("_qn")
     )
-    ranks = all_ranks.join(query_ranks, [*keys, value]).select(
+    ranks = join_groups(all_ranks, query_ranks, [*keys, value], safe=keys).select(
         *keys,
         value,
         sdiv(
@@ -157,7 +164,7 @@ def rank_against(
             (F.col("total") - F.col("_qn")).cast("double"),
         ).alias(out),
     )
-    return queries.join(ranks, [*keys, value], "left")
+    return join_groups(queries, ranks, [*keys, value], "left", safe=keys)
 
 
 def group_quantiles(
@@ -168,6 +175,8 @@ def group_quantiles(
         return df.groupBy(*keys).agg(
             *[F.percentile(value, F.lit(q)).alias(n) for n, q in quantiles.items()]
         )
+    # Groups without a known value have quantiles too: NULL.
+    groups = df.select(*keys).distinct() if keys else None
     ranked = value_ranks(df, keys, value)
     picks = []
     for name, q in quantiles.items():
@@ -177,7 +186,8 @@ def group_quantiles(
         low = F.max(F.when(holds(lo), F.col(value)))
         high = F.max(F.when(holds(hi), F.col(value)))
         picks.append((low + (high - low) * F.max(share)).alias(name))
-    return ranked.groupBy(*keys).agg(*picks)
+    found = ranked.groupBy(*keys).agg(*picks)
+    return join_groups(groups, found, keys, "left") if keys else found
 
 
 def robust_z(df: DataFrame, keys: Sequence[str], value: str, out: str, group_rows=None) -> DataFrame:
@@ -186,11 +196,14 @@ def robust_z(df: DataFrame, keys: Sequence[str], value: str, out: str, group_row
         by = Window.partitionBy(*keys)
         mid = F.percentile(value, F.lit(0.5)).over(by)
         return df.withColumn(out, (F.col(value) - mid) / (F.stddev_pop(value).over(by) + 1e-9))
-    stats = group_quantiles(df, keys, value, {"_mid": 0.5}, group_rows).join(
-        df.groupBy(*keys).agg(F.stddev_pop(value).alias("_sd")), list(keys)
-    )
+    middle = group_quantiles(df, keys, value, {"_mid": 0.5}, group_rows)
+    spread = df.groupBy(*keys).agg(F.stddev_pop(value).alias("_sd"))
+    if keys:
+        whole = join_groups(join_groups(df, middle, keys, "left"), spread, keys, "left")
+    else:
+        whole = attach_row(attach_row(df, middle), spread)
     return (
-        df.join(stats, list(keys), "left")
+        whole
         .withColumn(out, (F.col(value) - F.col("_mid")) / (F.col("_sd") + 1e-9))
         .drop("_mid", "_sd")
     )
@@ -205,7 +218,7 @@ def group_z(df: DataFrame, keys: Sequence[str], value: str, out: str, min_member
         F.avg(value).alias("_mu"), F.stddev_samp(value).alias("_sd"), F.count(value).alias("_n")
     )
     z = F.when((F.col("_n") >= min_members) & (F.col("_sd") > 0), (F.col(value) - F.col("_mu")) / F.col("_sd"))
-    return df.join(stats, list(keys), "left").withColumn(out, z).drop("_mu", "_sd", "_n")
+    return join_groups(df, stats, keys, "left").withColumn(out, z).drop("_mu", "_sd", "_n")
 
 
 def hashed_positions(
@@ -230,7 +243,7 @@ def hashed_positions(
     inside = Window.partitionBy(*keys, "_part").orderBy("_h", *identity)
     numbered = tagged.withColumn("_in", F.row_number().over(inside) - 1)
     return (
-        numbered.join(sizes, [*keys, "_part"])
+        join_groups(numbered, sizes, [*keys, "_part"], safe=keys)
         .withColumn(out, F.col("_below") + F.col("_in"))
         .drop("_h", "_part", "_in", "_below")
     )
@@ -256,8 +269,7 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str
     )
     inside = F.row_number().over(Window.partitionBy(*keys, "_pid").orderBy(*order))
     return (
-        placed.withColumn("_in", inside)
-        .join(sizes, [*keys, "_pid"])
+        join_groups(placed.withColumn("_in", inside), sizes, [*keys, "_pid"], safe=keys)
         .withColumn(out, F.col("_before") + F.col("_in"))
         .drop("_pid", "_in", "_before")
     )

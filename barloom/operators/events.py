@@ -164,12 +164,13 @@ def cross_divergence_simple(df: DataFrame, lift: float = MIN_DIF_LIFT) -> DataFr
     )
 
 
-def cross_windows(df: DataFrame, after: int = 5, span: int = 3) -> DataFrame:
+def cross_windows(df: DataFrame, after: int = 5) -> DataFrame:
     """Rows of every window (previous cross, cross + after], tagged with the cross number ``k``.
 
-    A row lies in the window of its own leg and of the few crosses at most ``after`` rows back, so it is
-    repeated at most ``span + 1`` times and joined on (sym, k); nothing is compared pairwise.
+    A row lies in the window of its own leg and of the crosses at most ``after`` rows back. Crosses are two rows apart
+    at least, so those are ``(after + 1) // 2``; rows are repeated and joined on (sym, k), nothing is compared pairwise.
     """
+    span = (after + 1) // 2
     legs = leg_table(df).where("cross_pos is not null").select(
         "sym", (F.col("leg") + 1).alias("k"), "cross_pos", "cross_dif"
     )

@@ -231,19 +231,18 @@ def sellable_ahead(bars: DataFrame) -> DataFrame:
 
 
 def _exit_price(row: str, entry: Column, tp: Column | None, sl: Column | None, timed: Column) -> tuple[Column, Column]:
-    """(raw exit price or NULL, reason) of one row. Both barriers on one row count as the stop."""
+    """(raw exit price or NULL, reason) of one row; either barrier may be missing. Both on one row count as the stop."""
     o, h, lo, c = (F.col(row + x) for x in ("open", "high", "low", "close"))
     price = F.when(timed, c)
     reason = F.when(timed, F.lit("horizon"))
-    if tp is not None and sl is not None:
-        up, down = entry * (1.0 + tp), entry * (1.0 + sl)
-        tp_hit, sl_hit = h >= up - TOL, lo <= down + TOL
-        price = (
-            F.when(sl_hit, F.when(o <= down + TOL, o).otherwise(down))
-            .when(tp_hit, F.when(o >= up - TOL, o).otherwise(up))
-            .otherwise(price)
-        )
-        reason = F.when(sl_hit, "sl").when(tp_hit, "tp").otherwise(reason)
+    if tp is not None:
+        up = entry * (1.0 + tp)
+        price = F.when(h >= up - TOL, F.when(o >= up - TOL, o).otherwise(up)).otherwise(price)
+        reason = F.when(h >= up - TOL, "tp").otherwise(reason)
+    if sl is not None:
+        down = entry * (1.0 + sl)
+        price = F.when(lo <= down + TOL, F.when(o <= down + TOL, o).otherwise(down)).otherwise(price)
+        reason = F.when(lo <= down + TOL, "sl").otherwise(reason)
     return price, reason
 
 
@@ -269,7 +268,7 @@ def outcomes(entries: DataFrame, bars: DataFrame, rule: ExitRule, keys: tuple[st
     live = live.withColumn("_due", F.col("entry_pos") + rule.horizon - 1).join(late, ["sym", "_due"], "left")
     price, reason = _exit_price("nf.", F.col("entry_price"), barrier("tp", "nf."), barrier("sl", "nf."), F.lit(True))
     live = live.withColumns({"_lp": F.when(F.col("nf").isNotNull(), price), "_lr": F.when(F.col("nf").isNotNull(), reason)})
-    if (has_bands or rule.tp is not None) and rule.horizon > 2:
+    if (has_bands or rule.tp is not None or rule.sl is not None) and rule.horizon > 2:
         cols = ["d", "open", "high", "low", "close", "free", *(["tp", "sl"] if has_bands else [])]
         wanted = live.select(*dict.fromkeys(["sym", *keys, "entry_pos", "entry_price"]))
         path = bars_after(wanted, ahead, cols, 1, rule.horizon - 2, sig="entry_pos")

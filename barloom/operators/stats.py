@@ -386,14 +386,14 @@ def yearly_signs(df: DataFrame, pairs: dict[str, tuple[str, str]], year: str) ->
 
 
 def elbow(points: Sequence[tuple[int, float]]) -> int:
-    """Of (k, metric) points the k farthest from the chord in (log2 k, metric); the smaller k on ties."""
+    """Of (k, metric) points the k farthest from the chord in (log2 k, metric); the smallest k within 1e-12 of the farthest."""
     pts = sorted(points)
     (x0, y0), (x1, y1) = (np.log2(pts[0][0]), pts[0][1]), (np.log2(pts[-1][0]), pts[-1][1])
     norm = float(np.hypot(x1 - x0, y1 - y0))
     if norm == 0:
         return pts[0][0]
-    far = [(abs((x1 - x0) * (y0 - y) - (x0 - np.log2(k)) * (y1 - y0)) / norm, -k) for k, y in pts]
-    return -max(far)[1]
+    far = {k: abs((x1 - x0) * (y0 - y) - (x0 - np.log2(k)) * (y1 - y0)) / norm for k, y in pts}
+    return min(k for k, distance in far.items() if distance >= max(far.values()) - 1e-12)
 
 
 # ---------------------------------------------------------------- audits

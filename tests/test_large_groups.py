@@ -105,3 +105,36 @@ def test_sliced_windows_equal_whole_windows(spark):
     cols = lambda w: {"m": w.agg("mean", "x", 10), "lag": w.ref("x", 7), "mx": w.agg("max", "x", 10, 1)}
     whole = numbered.withColumns(cols(Layout(order="pos")))
     assert rows(windows_by_slice(numbered, cols, 16, 10)) == rows(whole)
+
+
+@pytest.fixture(scope="module")
+def null_keys(spark):
+    """120 rows: a quarter has a NULL key, group 9 has no known value."""
+    i = F.col("id")
+    g = F.when(i % 4 == 0, F.lit(None)).when(i % 4 == 1, 9).otherwise(i % 3)
+    value = F.when(i % 4 == 1, F.lit(None)).when(i % 7 == 0, F.lit(None)).otherwise(F.pmod(i * 31, F.lit(17)) / 4.0)
+    return spark.range(120).select(g.alias("g"), i.alias("sym"), value.cast("double").alias("v")).cache()
+
+
+def test_null_keys_are_a_group_in_both_forms(null_keys):
+    forms = (
+        lambda n: X.rank_counts(null_keys, ["g"], "v", group_rows=n),
+        lambda n: X.positions(null_keys, ["g"], ["v", "sym"], "p", n),
+        lambda n: X.group_quantiles(null_keys, ["g"], "v", {"a": 0.25, "b": 0.5}, n),
+        lambda n: X.rank_against(null_keys.where("sym % 3 = 0"), null_keys, ["g"], "v", "r", n),
+        lambda n: X.robust_z(null_keys, ["g"], "v", "z", n).withColumn("z", F.round("z", 9)),
+    )
+    for form in forms:
+        big, small = rows(form(BIG)), rows(form(SMALL))
+        assert big and big == small
+    assert len(rows(X.rank_counts(null_keys, ["g"], "v", group_rows=SMALL))) == 120
+
+
+def test_null_keys_keep_their_rows_in_draws_and_scores(null_keys):
+    out = X.hashed_positions(null_keys, ["g"], 3, ["sym"], "at").toPandas()
+    assert len(out) == 120
+    for _, part in out.groupby("g", dropna=False):
+        assert sorted(part["at"]) == list(range(len(part)))
+    z = X.group_z(null_keys, ["g"], "v", "z", 5)
+    assert z.count() == 120 and z.where("g IS NULL AND v IS NOT NULL AND z IS NULL").count() == 0
+    assert M.shuffled_within(null_keys, ["g"], "v", ["sym"], 8, "w").count() == 120
