@@ -5,33 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.session import stored
+from barloom.session import discard, stored
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
     return stored(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
 
 
+def _points_at_roots(edges: DataFrame) -> bool:
+    """Every node has one link, and it leads to a node without one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("own"), F.lit(0).alias("root"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("own"), F.lit(1).alias("root")))
+    nodes = ends.groupBy("node").agg(F.sum("own").alias("own"), F.max("root").alias("root"))
+    return nodes.where((F.col("own") > 1) | ((F.col("own") == 1) & (F.col("root") == 1))).count() == 0
+
+
 def star_forest(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable through links (a, b), for every node that has a link.
 
     Alternating stars: the large star links every larger neighbour of a node to the node's least neighbour, the small
-    star does so for the smaller ones. Both keep what is connected; when a pair of them changes nothing, every node
-    points at its root. The rounds grow with the logarithm of the longest path. Loops and NULL ends are passed over.
+    star does so for the smaller ones. Both keep what is connected, and links always lead to the smaller node; so the
+    search is over when every node points at a node that points nowhere. The rounds grow with the logarithm of the
+    longest path. Tables of a round go when the next one is written. Loops and NULL ends are passed over.
     """
     a, b = F.col("a"), F.col("b")
     edges = stored(links.where(a != b).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
-    while True:
+    while not _points_at_roots(edges):
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
         least = _least_neighbour(both)
         large = both.join(least, "a").where(b > a).select(b.alias("a"), F.least("m", "a").alias("b")).distinct()
         large = stored(large, "large-star")
-        least = _least_neighbour(large)
-        joined = large.join(least, "a")
-        small = joined.where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = stored(small.distinct(), "small-star")
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
-        if state == before:
-            return edges.select(a.alias("node"), b.alias("root"))
-        before = state
+        least_large = _least_neighbour(large)
+        joined = large.join(least_large, "a")
+        small = joined.where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).unionByName(least_large.select("a", F.col("m").alias("b")))
+        read, edges = (edges, least, large, least_large), stored(small.distinct(), "small-star")
+        for table in read:
+            discard(table)
+    return edges.select(a.alias("node"), b.alias("root"))
