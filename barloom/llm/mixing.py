@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.text import word_count
@@ -15,6 +16,8 @@ from barloom.session import stored
 #: Rows that one hash cell of a source holds about, cells per group of cells, words of a block, words of a shard.
 CELL_ROWS, CELL_GROUP, BLOCK_WORDS, SHARD_WORDS = 128, 256, 8192, 1 << 22
 WEIGHTS = (5, 2, 1)
+#: The hypergeometric draw counts up to 10^9; tasks walk to so many shards each.
+MOST_BLOCKS, SHARDS_PER_TASK = 1 << 29, 256
 
 
 def source_key() -> Column:
@@ -66,21 +69,32 @@ def split_quotas(blocks: np.ndarray, shard: int, n_shards: int, seed: int) -> tu
     return first, own
 
 
-def deal_blocks(targets: DataFrame, seed: int) -> DataFrame:
-    """(name, shard, first, blocks): disjoint runs of every source's permuted blocks, by output shard."""
-    sized = targets.select(source_key().alias("name"), F.ceil(F.col("target") / BLOCK_WORDS).cast("long").alias("blocks"), "target")
-    packed = sized.agg(F.array_sort(F.collect_list(F.struct("name", "blocks"))).alias("quotas"), F.greatest(F.ceil(F.sum("target") / SHARD_WORDS), F.lit(1)).cast("long").alias("n_shards"))
-    shards = packed.select("quotas", "n_shards", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_shards") - 1)).alias("shard"))
+def block_size(total: float) -> int:
+    """Words of a block: ``BLOCK_WORDS``, doubled until all targets together have fewer than ``MOST_BLOCKS`` blocks."""
+    words = BLOCK_WORDS
+    while total / words > MOST_BLOCKS:
+        words *= 2
+    return words
+
+
+def deal_blocks(spark: SparkSession, quotas: list[tuple[str, float]], block: int, seed: int) -> DataFrame:
+    """(name, shard, first, blocks): disjoint runs of every source's permuted blocks, by output shard.
+
+    ``quotas`` has the target of every source. Shards are dealt to tasks; each walks to its own shards only.
+    """
+    quotas = sorted(quotas)
+    blocks = np.array([math.ceil(t / block) for _, t in quotas], np.int64)
+    n_shards = max(1, math.ceil(math.fsum(t for _, t in quotas) / SHARD_WORDS))
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                quotas = r["quotas"] or []
-                first, own = split_quotas(np.array([q["blocks"] for q in quotas], np.int64), r["shard"], r["n_shards"], seed)
-                rows += [(q["name"], r["shard"], int(a), int(k)) for q, a, k in zip(quotas, first, own) if k]
+            for shard in batch.column("shard").to_pylist():
+                first, own = split_quotas(blocks, shard, n_shards, seed)
+                rows += [(name, shard, int(a), int(k)) for (name, _), a, k in zip(quotas, first, own) if k]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["name", "shard", "first", "blocks"])
 
+    shards = spark.range(0, n_shards, 1, -(-n_shards // SHARDS_PER_TASK)).toDF("shard")
     return shards.mapInArrow(walk, "name string, shard long, first long, blocks long")
 
 
@@ -124,10 +138,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     """
     sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
     targets = stored(source_targets(sizes, weights, share), "mix-targets")
+    quotas = [(r["name"], r["target"]) for r in targets.select(source_key().alias("name"), "target").collect()]
+    block = block_size(math.fsum(t for _, t in quotas))
     laid = lay_out(sizes, targets, seed).withColumn("copies", taken_copies(F.col("source_size"), F.col("target"), F.col("at"), F.col("size")))
-    passes = F.transform(F.sequence(F.lit(0), F.greatest(F.col("copies") - 1, F.lit(0))), lambda p: F.floor((F.col("at") + p * F.col("source_size")) / BLOCK_WORDS))
+    passes = F.transform(F.sequence(F.lit(0), F.greatest(F.col("copies") - 1, F.lit(0))), lambda p: F.floor((F.col("at") + p * F.col("source_size")) / block))
     laid = stored(laid.withColumn("blocks", F.when(F.col("copies") > 0, passes)), "mix-rows")
-    dealt = deal_blocks(targets, seed)
+    dealt = deal_blocks(docs.sparkSession, quotas, block, seed)
     # A run of blocks opens at its first block: the run of a block is the last one opened before it, found by cell of blocks.
     stride = 64
     opened = dealt.select("name", "shard", F.explode(F.sequence(F.floor(F.col("first") / stride), F.floor((F.col("first") + F.col("blocks") - 1) / stride))).alias("span"), "first", "blocks")
