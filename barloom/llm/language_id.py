@@ -79,17 +79,35 @@ def cluster(vectors: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return centres
 
 
+def smallest_hashes(known: DataFrame, per_language: int) -> DataFrame:
+    """(_id, _lang): of every language the ``per_language`` ids of (doc_id, lang) with the smallest hash; no null ids.
+
+    Hashes are uniform, so about twice as many ids lie below ``2 * per_language / n`` of their range, where n is the
+    sketched number of ids of the language: that many are shuffled and ranked, however many tasks have read the
+    table. The smallest hash always counts, so no language is lost; the sketch depends on the ids alone.
+    """
+    hashed = known.where(F.col("doc_id").isNotNull()).withColumn("_hash", F.xxhash64("doc_id"))
+    counts = hashed.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"), F.min("_hash").alias("least"))
+    below = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n")) * 2.0**64 - 2.0**63
+    limits = counts.select(F.col("lang").alias("_lang"), F.greatest(below, F.col("least").cast("double")).alias("_limit"))
+    # One row per language, as the model itself.
+    near = hashed.join(F.broadcast(limits), (F.col("lang") == F.col("_lang")) & (F.col("_hash").cast("double") <= F.col("_limit")))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_id"))
+    ids = near.select(F.col("doc_id").alias("_id"), "_lang", "_hash").distinct()
+    return ids.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("_id", "_lang")
+
+
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS, rounds: int = ROUNDS) -> tuple[np.ndarray, list[str], np.ndarray]:
     """(idf, language of each centroid, centroids).
 
     idf is counted over every labelled row outside the held-out quarter. The centroids are clustered from at most
-    ``per_language`` such rows of a language, those with the smallest hash of doc_id.
+    ``per_language`` such rows of a language, those with the smallest hash of doc_id; of rows that share a doc_id the
+    smallest text.
     """
     known = docs.where(learnable()).where(F.length(F.trim("text")) > 0).select("doc_id", "lang", "text")
     idf = inverse_frequencies(known)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.select("doc_id", "lang").withColumn("_rank", rank).where(F.col("_rank") <= per_language).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    sample = known.join(F.broadcast(picked), (known["doc_id"] == picked["_id"]) & (known["lang"] == picked["_lang"])).select("doc_id", "lang", "text")
+    picked = smallest_hashes(known.select("doc_id", "lang"), per_language)
+    sample = known.join(F.broadcast(picked), (known["doc_id"] == picked["_id"]) & (known["lang"] == picked["_lang"])).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def centroids(key: tuple, table: pa.Table) -> pa.Table:
         texts = [x for _, x in sorted(zip(table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist()))]

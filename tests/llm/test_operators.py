@@ -219,6 +219,11 @@ def test_mixing(docs):
     assert mixing.mixed_documents(docs).count() == got.agg(F.sum("copies")).first()[0]
 
 
+def test_blocks_stay_countable():
+    assert mixing.block_size(0) == mixing.block_size(1e9) == mixing.BLOCK_WORDS
+    assert 1.5e14 / mixing.block_size(1.5e14) <= mixing.MOST_BLOCKS
+
+
 def test_split_quotas_add_up():
     import numpy as np
 
@@ -240,6 +245,16 @@ def test_language_held_out_accuracy(spark):
     assert got.where("rejected").count() <= 0.005 * got.count()
 
 
+def test_language_sample_has_the_smallest_hashes(spark):
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, "b").otherwise("a").alias("lang"))
+    rows = rows.unionAll(spark.range(9000).select(F.lit(7).cast("long"), F.lit("c")))
+    got = {(r["_lang"], r["_id"]) for r in language_id.smallest_hashes(rows, 80).collect()}
+    by = {}
+    for r in sorted(rows.distinct().withColumn("h", F.xxhash64("doc_id")).collect(), key=lambda r: r["h"]):
+        by.setdefault(r["lang"], []).append(r["doc_id"])
+    assert got == {(lang, d) for lang, ids in by.items() for d in ids[:80]}
+
+
 def test_language_prediction_does_not_see_labels(odd):
     got = language_id.identify(odd)
     assert got.where("text IS NULL OR NOT text RLIKE '\\\\p{L}'").select("lang_pred").distinct().collect() == [("und",)]
