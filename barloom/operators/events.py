@@ -549,20 +549,24 @@ def limit_flags(panel: DataFrame, exact_from: str, rule_from: str, min_age: int
     panel = panel.withColumns({"_exact": F.coalesce(exact, F.lit(False)), "_known": known, "_lim": pct_limit})
     e, k, thr = F.col("_exact"), F.col("_known"), F.col("_lim") - tol_pp
 
-    def either(ok: Column, exact_hit: Column, approx_hit: Column) -> Column:
-        hit = F.when(e, F.coalesce(exact_hit, F.lit(False))).otherwise(F.coalesce(approx_hit, F.lit(False)))
-        return F.when(ok, hit.cast("double"))
+    # What a bar is held against, chosen once per row: listed limits are prices, the others are gains in percent.
+    ceiling = F.when(e, up - tol).otherwise(thr)
+    floor = F.when(e, down + tol).otherwise(-thr)
+    at = {x: F.when(e, price).otherwise(gain) for x, price, gain in (("close", c, F.col("pct")), ("high", h, (sdiv(h, pre) - 1.0) * 100.0), ("low", lo, (sdiv(lo, pre) - 1.0) * 100.0))}
+
+    def flag(ok: Column, hit: Column) -> Column:
+        return F.when(ok, F.coalesce(hit, F.lit(False)).cast("double"))
 
     up_eff = F.when(e, up).otherwise(pre * (1.0 + F.col("_lim") / 100.0))
     down_eff = F.when(e, down).otherwise(pre * (1.0 - F.col("_lim") / 100.0))
     down_ok = k & down_eff.isNotNull()
     panel = panel.withColumns(
         {
-            "sealed": either(k, c >= up - tol, F.col("pct") >= thr),
-            "_touch": either(k, h >= up - tol, (sdiv(h, pre) - 1.0) * 100.0 >= thr),
+            "sealed": flag(k, at["close"] >= ceiling),
+            "_touch": flag(k, at["high"] >= ceiling),
             "oneword": F.when(k & e, ((F.abs(o - up) <= tol) & (F.abs(h - up) <= tol) & (F.abs(lo - up) <= tol) & (F.abs(c - up) <= tol)).cast("double")),
-            "_down_touch": either(down_ok, lo <= down + tol, (sdiv(lo, pre) - 1.0) * 100.0 <= -thr),
-            "down_sealed": either(down_ok, c <= down + tol, F.col("pct") <= -thr),
+            "_down_touch": flag(down_ok, at["low"] <= floor),
+            "down_sealed": flag(down_ok, at["close"] <= floor),
             "_up_eff": up_eff,
             "_down_eff": down_eff,
             "sealed_src": F.when(k & e, 2.0).when(k, 1.0).otherwise(0.0),
