@@ -130,8 +130,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     """Per row of ``docs`` (doc_id, source, text): doc_id, row, size, source_size, target, copies, taken, places.
 
     A source's rows lie in a permuted order on a line of words that is walked again when it ends; the first
-    ``target`` words are cut into blocks, and a row belongs to the block that its start lies in. ``places`` names per
-    copy the output shard that drew the block and the row's place in the shard's local shuffle. Whole documents are
+    ``target`` words are cut into blocks, and a row belongs to the block that its start lies in. A row is taken once for
+    each of its blocks that an output shard drew, if its middle lies before the target: ``copies`` counts them, and
+    ``places`` names per copy the shard and the row's place (order) in the shard's local shuffle. Whole documents are
     taken, so a source misses its target by half a document at most. A null source is a source of its own, the last
     one; a text without words has size 0 and is never taken; repeated rows are rows of their own; an empty table gives
     no rows. The same rows and seed give the same mix.
@@ -140,33 +141,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     targets = stored(source_targets(sizes, weights, share), "mix-targets")
     quotas = [(r["name"], r["target"]) for r in targets.select(source_key().alias("name"), "target").collect()]
     block = block_size(math.fsum(t for _, t in quotas))
-    laid = lay_out(sizes, targets, seed).withColumn("copies", taken_copies(F.col("source_size"), F.col("target"), F.col("at"), F.col("size")))
-    passes = F.transform(F.sequence(F.lit(0), F.greatest(F.col("copies") - 1, F.lit(0))), lambda p: F.floor((F.col("at") + p * F.col("source_size")) / block))
-    laid = stored(laid.withColumn("blocks", F.when(F.col("copies") > 0, passes)), "mix-rows")
+    passes = taken_copies(F.col("source_size"), F.col("target"), F.col("at"), F.col("size"))
+    walked = F.transform(F.sequence(F.lit(0), passes - 1), lambda p: F.floor((F.col("at") + p * F.col("source_size")) / block))
+    laid = stored(lay_out(sizes, targets, seed).withColumn("blocks", F.when(passes > 0, walked)), "mix-rows")
     dealt = deal_blocks(docs.sparkSession, quotas, block, seed)
     # A run of blocks opens at its first block: the run of a block is the last one opened before it, found by cell of blocks.
     stride = 64
     opened = dealt.select("name", "shard", F.explode(F.sequence(F.floor(F.col("first") / stride), F.floor((F.col("first") + F.col("blocks") - 1) / stride))).alias("span"), "first", "blocks")
-    want = laid.where("copies > 0").select("row", "name", F.explode("blocks").alias("block")).withColumn("span", F.floor(F.col("block") / stride))
+    want = laid.where("blocks is not null").select("row", "name", F.explode("blocks").alias("block")).withColumn("span", F.floor(F.col("block") / stride))
     hit = want.join(opened, ["name", "span"]).where((F.col("block") >= F.col("first")) & (F.col("block") < F.col("first") + F.col("blocks")))
     places = hit.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("shard", F.xxhash64(F.lit(seed + 1), "block", "row").alias("order")))).alias("places"))
-    out = laid.join(places, "row", "left")
+    out = laid.join(places, "row", "left").withColumn("copies", F.coalesce(F.size("places"), F.lit(0)))
     return out.select("doc_id", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "places")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as rows of ``docs``: each row as often as it is taken, all columns kept.
+    """The mix as rows of ``docs``: each row as often as it is taken, all columns kept, laid out shard by shard.
 
-    Rows that share a doc_id share the copies of one another in doc_id: each of them is taken its own number of times,
-    dealt in the order of size.
+    Rows are sorted by the shard that drew them and their place in it, so the partitions in their order are the shards
+    one after another. Rows that share a doc_id share the copies of one another in doc_id: each of them is taken its
+    own number of times, dealt in the order of size.
     """
-    copies = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies"), "row")
+    copies = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("places").alias("_mix_places"), "row")
     nth = F.row_number().over(Window.partitionBy("_mix_id", "_mix_size").orderBy("row"))
     copies = copies.withColumn("_mix_nth", nth).drop("row")
     sized = docs.withColumn("_mix_words", word_count(F.col("text")))
     again = Window.partitionBy("doc_id", "_mix_words").orderBy(F.xxhash64("text"), "source")
     sized = sized.withColumn("_mix_place", F.row_number().over(again))
     same = sized["doc_id"].eqNullSafe(copies["_mix_id"]) & (sized["_mix_words"] == copies["_mix_size"]) & (sized["_mix_place"] == copies["_mix_nth"])
-    joined = sized.join(copies, same)
-    times = F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))
-    return joined.withColumn("_mix_copy", times).select(*docs.columns)
+    taken = sized.join(copies, same).withColumn("_mix_at", F.explode("_mix_places"))
+    return taken.orderBy("_mix_at.shard", "_mix_at.order").select(*docs.columns)

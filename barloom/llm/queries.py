@@ -37,7 +37,8 @@ def op6_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", F.col("places.shard").alias("shards"), F.col("places.order").alias("places"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

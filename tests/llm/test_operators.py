@@ -236,6 +236,27 @@ def test_split_quotas_add_up():
         assert taken == list(range(blocks[s]))
 
 
+def test_drawn_blocks_decide_what_is_taken(spark, corpus, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1 << 14)
+    every = {r["row"]: r for r in mixing.mix(corpus).collect()}
+    deal = mixing.deal_blocks
+    monkeypatch.setattr(mixing, "deal_blocks", lambda *a: deal(*a).where("shard % 2 = 0"))
+    some = {r["row"]: r for r in mixing.mix(corpus).collect()}
+    even = {i: [p for p in r["places"] or [] if p["shard"] % 2 == 0] for i, r in every.items()}
+    assert {i: r["copies"] for i, r in some.items()} == {i: len(x) for i, x in even.items()}
+    assert 0 < sum(r["taken"] for r in some.values()) < sum(r["taken"] for r in every.values())
+
+
+def test_mix_is_laid_out_by_shard(spark, corpus, monkeypatch):
+    from barloom.llm.queries import op7_mixing
+
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1 << 14)
+    got = op7_mixing(spark, "/root/testdata/sf0.001").where("copies > 0").collect()
+    at = sorted((shard, place, r["doc_id"]) for r in got for shard, place in zip(r["shards"], r["places"]))
+    assert len({shard for shard, _, _ in at}) > 1
+    assert [r["doc_id"] for r in mixing.mixed_documents(corpus).collect()] == [d for _, _, d in at]
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(docs)
