@@ -310,6 +310,18 @@ def neutral_long_short(spark, sf_dir):
     return rounded(G.long_short(df.join(F.broadcast(cal), "d", "left_semi"), "prob", "fwd", 10, 0.002))
 
 
+@query(
+    "neutral_long_short_by_phase", "G29 W43",
+    SCORED_SQL + f""", k AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY prob DESC, sym) AS hi, row_number() OVER (PARTITION BY d ORDER BY prob, sym) AS lo, dense_rank() OVER (ORDER BY d) AS dn FROM sc WHERE fwd IS NOT NULL)
+SELECT CAST(d AS VARCHAR) AS d, CAST((dn - 1) % 4 AS BIGINT) AS phase, {r('avg(CASE WHEN hi <= 10 THEN fwd END) - avg(CASE WHEN lo <= 10 THEN fwd END) - 0.002')} AS long_short, {r('avg(CASE WHEN hi <= 10 THEN fwd END) - avg(fwd) - 0.002')} AS top_minus_universe FROM k GROUP BY d, dn""",
+)
+def neutral_long_short_by_phase(spark, sf_dir):
+    df = scored(spark, sf_dir).where("fwd is not null")
+    cal = SRC.calendar(df).select("d", F.pmod(F.col("cal_pos") - 1, F.lit(4)).cast("long").alias("phase"))
+    every = G.long_short(df, "prob", "fwd", 10, 0.002).join(F.broadcast(cal), "d")
+    return rounded(every.select("d", "phase", "long_short", "top_minus_universe"))
+
+
 @query(
     "gain_buckets_and_head_labels", "RP4 RP5",
     SCORED_SQL + f""", k AS (SELECT sym, d, (rank() OVER (PARTITION BY d ORDER BY fwd) - 1 + (count(*) OVER (PARTITION BY d, fwd) + 1) / 2.0) / count(*) OVER (PARTITION BY d) AS pr FROM sc WHERE fwd IS NOT NULL)

@@ -178,3 +178,15 @@ def test_unmatched_events_are_emitted_once_mature(spark, tick_files):
     out = ST.run_available(ST.matured_pairs(one, two, "user", "15 minutes", "10 minutes", "leftOuter"), "t-pairs")
     got = sorted((r["event_id"], r["value"]) for r in out.collect())
     assert (1, 3.0) in got and (3, None) in got
+
+
+def test_neutral_long_short_has_every_day_with_its_phase(spark):
+    from barloom.plans import CATALOG
+    from barloom.plans.stats import scored
+
+    sf = "/root/testdata/sf0.001"
+    every = [r.asDict() for r in CATALOG["neutral_long_short_by_phase"].run(spark, sf).collect()]
+    days = sorted(str(r["d"]) for r in scored(spark, sf).where("fwd is not null and prob is not null").select("d").distinct().collect())
+    assert sorted(str(r["d"]) for r in every) == days and {r["phase"] for r in every} == {0, 1, 2, 3}
+    first = {(str(r["d"]), r["long_short"], r["top_minus_universe"]) for r in every if r["phase"] == 0}
+    assert first == {(str(r["d"]), r["long_short"], r["top_minus_universe"]) for r in CATALOG["neutral_long_short"].run(spark, sf).collect()}
