@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,8 +16,10 @@ from barloom.llm.text import chunks, utf8
 
 DIM = 4096
 CENTROIDS, SAMPLE_PER_LANGUAGE, ROUNDS = 4, 400, 12
-#: A text is rejected if its cosine to the nearest centroid is below this: it has next to nothing of any language.
-LEAST_COSINE = 0.08
+#: Steps of length (half powers of two of distinct n-grams), bins of the cosine, rows that a step needs for a bound.
+EXTENTS, BINS, LEAST_FITTED = 25, 200, 20
+#: A bound lies so many times the distance from the median to the 5 % quantile below the median, at this share of it at most.
+SPREADS, SHARE = 3.0, 0.6
 UNKNOWN = "und"
 ADDED = ("held_out", "lang_pred", "score", "rejected")
 LETTER = regex.compile(r"\p{L}")
@@ -97,6 +100,10 @@ def smallest_hashes(known: DataFrame, per_language: int) -> DataFrame:
     return ids.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("_id", "_lang")
 
 
+def taught(docs: DataFrame) -> DataFrame:
+    return docs.where(learnable()).where(F.length(F.trim("text")) > 0).select("doc_id", "lang", "text")
+
+
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS, rounds: int = ROUNDS) -> tuple[np.ndarray, list[str], np.ndarray]:
     """(idf, language of each centroid, centroids).
 
@@ -104,7 +111,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, k: int = CEN
     ``per_language`` such rows of a language, those with the smallest hash of doc_id; of rows that share a doc_id the
     smallest text.
     """
-    known = docs.where(learnable()).where(F.length(F.trim("text")) > 0).select("doc_id", "lang", "text")
+    known = taught(docs)
     idf = inverse_frequencies(known)
     picked = smallest_hashes(known.select("doc_id", "lang"), per_language)
     sample = known.join(F.broadcast(picked), (known["doc_id"] == picked["_id"]) & (known["lang"] == picked["_lang"])).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
@@ -120,45 +127,107 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, k: int = CEN
     return idf, [r["lang"] for r in rows], np.stack([np.frombuffer(r["centre"], np.float32) for r in rows])
 
 
-def nearest(texts: list[bytes], model: tuple) -> tuple[list[str], list[float]]:
-    """Language and cosine of the nearest centroid per text; ``und`` and 0 without a letter or without a model."""
+def nearest(texts: list[bytes], model: tuple) -> tuple[list[str], list[float], list[int]]:
+    """Language and cosine of the nearest centroid and step of length per text; ``und`` and 0 without a letter or without a model."""
     idf, names, centres = model
-    lang, score = [], []
+    lang, score, extent = [], [], []
     for at in range(0, len(texts), 256):
         some = texts[at : at + 256]
         if not names:
             lang += [UNKNOWN] * len(some)
             score += [0.0] * len(some)
+            extent += [0] * len(some)
             continue
-        near = weigh(np.stack([features(x) for x in some]), idf) @ centres.T
+        counts = np.stack([features(x) for x in some])
+        near = weigh(counts, idf) @ centres.T
+        extent += np.floor(2 * np.log2(np.maximum((counts > 0).sum(axis=1), 1))).astype(int).tolist()
         for text, row, best in zip(some, near, near.argmax(axis=1)):
             letters = LETTER.search(text.decode("utf-8", "replace")) is not None
             lang.append(names[best] if letters else UNKNOWN)
             score.append(min(1.0, max(0.0, float(row[best]))) if letters else 0.0)
-    return lang, score
+    return lang, score, extent
+
+
+def openings(text: bytes) -> Iterator[bytes]:
+    """The first 1, 4, 16, ... or, by a hash of the text, the first 2, 8, 32, ... words of it, and all of it."""
+    words = text.split()
+    n = 1 + (zlib.crc32(text) & 1)
+    while n < len(words):
+        yield b" ".join(words[:n])
+        n *= 4
+    yield text
+
+
+def bounds_of(seen: np.ndarray) -> np.ndarray:
+    """Least cosine by language and step of length from counts by language, step and bin of the cosine.
+
+    Half of the texts of a language and length lie above the median, so what is foreign or junk among them moves the
+    bound little. Short texts differ much from one another, so their bound is low. A step with few rows takes the bound
+    of the next shorter one that has enough, 0 without any: then nothing is rejected by distance.
+    """
+    out = np.zeros(seen.shape[:2])
+    for lang, steps in enumerate(seen):
+        bound = 0.0
+        for step, bins in enumerate(steps):
+            n, below = bins.sum(), bins.cumsum()
+            if n >= LEAST_FITTED:
+                low, middle = (np.searchsorted(below, q * n) / BINS for q in (0.05, 0.5))
+                bound = max(0.0, min(middle - SPREADS * (middle - low), SHARE * middle))
+            out[lang, step] = bound
+    return out
+
+
+def rejection_bounds(docs: DataFrame, model: tuple) -> dict[str, np.ndarray]:
+    """Per language the least cosine by step of length, fitted to the openings of all learnable rows.
+
+    Per task one table of counts leaves, languages times ``EXTENTS`` times ``BINS`` numbers reach the driver at most.
+    """
+    names = sorted(set(model[1]))
+    if not names:
+        return {}
+    index, shape = {x: i for i, x in enumerate(names)}, (len(names), EXTENTS, BINS)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(shape, np.int64)
+        for part in chunks(batches):
+            for text in utf8(part):
+                for lang, score, extent in zip(*nearest(list(openings(text)), model)):
+                    if lang in index:
+                        seen[index[lang], extent, min(int(score * BINS), BINS - 1)] += 1
+        flat = seen.ravel()
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "n"])
+
+    rows = taught(docs).select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    seen = np.zeros(shape, np.int64)
+    for r in rows:
+        seen[np.unravel_index(r["at"], shape)] = r["n"]
+    return dict(zip(names, bounds_of(seen)))
 
 
-def identify(docs: DataFrame, learn_from: DataFrame | None = None, least_cosine: float = LEAST_COSINE) -> DataFrame:
+def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """``docs`` (doc_id, text and any others) with held_out, lang_pred, score and rejected added.
 
     ``learn_from`` (doc_id, lang, text; ``docs`` if not given) teaches the languages. ``score`` is the cosine to the
     nearest centroid, 0 to 1; its language is the prediction, the first by name in a tie. A null text, one without a
     letter, or any text if nothing could be learnt is ``und`` with score 0. Rejected are those, and texts farther from
-    every centroid than ``least_cosine``. Repeated rows get equal results; an empty table gives no rows. Columns of
+    every centroid than texts of the predicted language and of their length are. Repeated rows get equal results; an empty table gives no rows. Columns of
     ``docs`` that have one of the added names are replaced.
     """
-    model = train(learn_from if learn_from is not None else docs)
+    teachers = learn_from if learn_from is not None else docs
+    model = train(teachers)
+    bounds = rejection_bounds(teachers, model)
     rows = docs.drop(*ADDED)
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            lang, score = nearest(utf8(part), model)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+            lang, score, extent = nearest(utf8(part), model)
+            far = [x not in bounds or y < bounds[x][z] for x, y, z in zip(lang, score, extent)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.bool_())], names=[*part.schema.names, "lang_pred", "score", "rejected"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    far = (F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_cosine)
-    return rows.mapInArrow(predict, schema).select(*rows.columns, held.alias("held_out"), "lang_pred", "score", far.alias("rejected"))
+    return rows.mapInArrow(predict, schema).select(*rows.columns, held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def drop_rejected(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:

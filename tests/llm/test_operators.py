@@ -266,6 +266,23 @@ def test_language_held_out_accuracy(spark):
     assert got.where("rejected").count() <= 0.005 * got.count()
 
 
+def test_short_clean_texts_stay_and_other_languages_go(spark):
+    import random
+
+    learn = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = ["Yes", "Hi", "Home", "Bonjour", "Avec.", "The", "Der", "Der Der Der Der Der Der Der Der Der Der Der Der"]
+    foreign = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "".join(random.Random(0).choices("abcdefghijklmnopqrstuvwxyz ", k=2000)),
+    ]
+    docs = spark.createDataFrame(list(enumerate(clean + foreign)), "doc_id long, text string")
+    got = {r["text"]: r["rejected"] for r in language_id.identify(docs, learn).collect()}
+    assert [x for x in clean if got[x]] == [] and [x for x in foreign if not got[x]] == []
+
+
 def test_language_sample_has_the_smallest_hashes(spark):
     rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, "b").otherwise("a").alias("lang"))
     rows = rows.unionAll(spark.range(9000).select(F.lit(7).cast("long"), F.lit("c")))
