@@ -4,7 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from conftest import random_bars
+from helpers import random_bars
 from pyspark.sql import functions as F
 
 from barloom.features import calendar as CAL

@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from conftest import column
+from helpers import column
 from pyspark.sql import functions as F
 
 from barloom.functions.rolling import BARS as B

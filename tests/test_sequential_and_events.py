@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import random_bars
+from helpers import random_bars
 from pyspark.sql import functions as F
 
 from barloom.operators import events as E

@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import random_bars
+from helpers import random_bars
 from pyspark.sql import functions as F
 
 from barloom.operators import model as K
