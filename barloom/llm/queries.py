@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, language_id, license_scan, line_dedup, merkle, mixing, nbest_pieces, quality_ratio, simhash_groups, substring_dedup, token_counts
+from barloom.llm import chosen_paths, exact_dedup, language_id, license_scan, line_dedup, merkle, mixing, nbest_pieces, quality_ratio, simhash_groups, substring_dedup, token_counts
 from barloom.llm.text import documents
 
 
@@ -57,11 +57,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(documents(spark, sf_dir))
 
 
+def op12_minhash_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_paths.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_nbest_pieces, op3_exact_dedup, op4_language_id, op5_line_dedup, op6_quality_ratio, op7_mixing, op8_license_scan,
-        op9_substring_dedup, op10_simhash_groups, op11_merkle_manifest,
+        op9_substring_dedup, op10_simhash_groups, op11_merkle_manifest, op12_minhash_paths,
     )
 }
 
