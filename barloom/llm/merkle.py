@@ -96,28 +96,23 @@ def children(pivot: DataFrame, above: DataFrame, carried: Sequence[str]) -> Data
 
     ``above`` holds the path of each pivot's own node; ``top`` is true for nodes that are all that remains of a tree.
     """
-    digests = slot_digests(pivot)
-    kids = [
-        F.struct(
-            F.lit(j).alias("slot"),
-            F.col(f"slot{j}").alias("child"),
-            F.struct(F.concat_ws("", *digests[:j]).alias("left"), F.concat_ws("", *digests[j + 1 :]).alias("right")).alias("beside"),
-        )
-        for j in range(FANOUT)
-    ]
+    kids = F.array(*[f"slot{j}" for j in range(FANOUT)])
     joined = pivot.withColumn("top", F.col("n") <= FANOUT).join(above, ["branch", "idx", "top"])
-    kid = joined.select("branch", "idx", "path", *carried, F.explode(F.filter(F.array(*kids), lambda k: k["child"].isNotNull())).alias("kid"))
-    path = F.concat(F.array("kid.beside"), F.col("path"))
-    return kid.select("branch", (F.col("idx") * FANOUT + F.col("kid.slot")).alias("idx"), "kid.child", path.alias("path"), *carried)
+    kid = joined.select("branch", "idx", "path", *carried, kids.alias("kids"), F.posexplode(kids).alias("slot", "child")).where("child IS NOT NULL")
+    left = F.array_join(F.slice("kids.digest", F.lit(1), F.col("slot")), "")
+    right = F.array_join(F.slice("kids.digest", F.col("slot") + 2, F.lit(FANOUT)), "")
+    path = F.concat(F.array(F.struct(left.alias("left"), right.alias("right"))), F.col("path"))
+    return kid.select("branch", (F.col("idx") * FANOUT + F.col("slot")).alias("idx"), "child", path.alias("path"), *carried)
 
 
 def descend(levels: list[DataFrame], tops: DataFrame, carried: Sequence[str]) -> DataFrame | None:
     """The children of the lowest level with their whole paths; ``tops`` has (branch, path, *carried) of every tree."""
     tops = tops.select("branch", F.lit(0).cast("long").alias("idx"), F.lit(True).alias("top"), "path", *carried)
     above, kids = tops, None
-    for level in reversed(levels):
+    for i, level in enumerate(reversed(levels)):
         kids = children(level, above, carried)
-        above = tops.unionByName(kids.select("branch", "idx", F.lit(False).alias("top"), "path", *carried))
+        if i + 1 < len(levels):  # the next level's paths are a table, so that no job grows with the height
+            above = stored(tops.unionByName(kids.select("branch", "idx", F.lit(False).alias("top"), "path", *carried)), "paths")
     return kids
 
 

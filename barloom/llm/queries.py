@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chosen_paths, exact_dedup, language_id, license_scan, line_dedup, merkle, mixing, nbest_pieces, quality_ratio, simhash_groups, substring_dedup, token_counts
+from barloom.llm import chosen_paths, exact_dedup, language_id, license_scan, line_dedup, merkle, mixing, nbest_pieces, quality_ratio, simhash_groups, substring_dedup, token_counts, treap_search
 from barloom.llm.text import documents
 
 
@@ -61,11 +61,15 @@ def op12_minhash_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_paths.near_duplicates(documents(spark, sf_dir))
 
 
+def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_nbest_pieces, op3_exact_dedup, op4_language_id, op5_line_dedup, op6_quality_ratio, op7_mixing, op8_license_scan,
-        op9_substring_dedup, op10_simhash_groups, op11_merkle_manifest, op12_minhash_paths,
+        op9_substring_dedup, op10_simhash_groups, op11_merkle_manifest, op12_minhash_paths, op13_treap_search,
     )
 }
 
@@ -74,4 +78,5 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
     "op11_merkle_manifest": merkle.manifest_sql(),
+    "op13_treap_search": treap_search.search_sql(),
 }
