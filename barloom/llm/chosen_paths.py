@@ -23,9 +23,10 @@ SKETCH = ("s0", "s1", "s2", "s3")
 PAIR_BITS = 0x5555555555555555
 TREES = 8
 #: Members of a node that are compared exhaustively in one step.
-SMALL = 64
-#: Levels of branching; nodes that are still large then are compared block by block.
-DEEPEST = 8
+SMALL = 512
+#: Levels of branching; nodes that are still large then are compared block by block, and so are large nodes whose
+#: blocks together have no more than BLOCK_ROWS rows for each row of the first level.
+DEEPEST, BLOCK_ROWS = 8, 2
 #: Members per large node that all others are held against.
 LEADERS = 4
 STEP = 2048
@@ -151,8 +152,10 @@ def spanning(pairs: np.ndarray, size: int) -> np.ndarray:
             group[i] = i = group[group[i]]
         return i
 
-    keep = []
+    keep: list[tuple[int, int]] = []
     for i, j in pairs.tolist():
+        if len(keep) == size - 1:
+            break
         a, b = root(i), root(j)
         if a != b:
             group[max(a, b)] = min(a, b)
@@ -271,12 +274,14 @@ def near_components(classes: DataFrame, docs: DataFrame, width: int, percent: in
     """(node, root): the smallest class that each class with a link reaches.
 
     Level by level: nodes of up to ``SMALL`` members are compared; in larger ones all members are held against a few
-    leaders, and what is then still in several components branches on. At the end the small nodes with more close
+    leaders, and what is then still in several components branches on, or is cut into blocks that meet two by two where
+    that costs less. At the end the small nodes with more close
     pairs than were tried are compared once more between components, so every close pair that shares a small node is
     either inside a component or verified by itself.
     """
     similarity, apart = percent / 100, most_apart(percent / 100)
     no_comp = F.lit(0).cast("long").alias("comp")
+    nothing = classes.select(F.col("cid").alias("node"), F.col("cid").alias("root")).limit(0)
     tested: list[DataFrame] = []
     dense: list[DataFrame] = []
 
@@ -292,6 +297,7 @@ def near_components(classes: DataFrame, docs: DataFrame, width: int, percent: in
         return star_forest(reduce(DataFrame.unionByName, tested).where("linked").select("a", "b"))
 
     rows = grown(classes, similarity, trees)
+    budget = BLOCK_ROWS * trees / similarity * classes.count()
     for level in range(1, DEEPEST + 1):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         met = stored(rows.join(sizes, "node"), "nodes")
@@ -301,21 +307,21 @@ def near_components(classes: DataFrame, docs: DataFrame, width: int, percent: in
         pairs = stored(pairs.unionByName(leader_pairs(big, percent, apart)) if more else pairs, "candidates")
         dense.append(few.join(pairs.where("node <> 0").select("node").distinct(), "node", "left_semi"))
         test(pairs)
-        if not more or not tested:
+        if not more:
             break
-        big = with_components(big, forest())
-        mixed = big.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("node")
-        big = stored(big.join(mixed, "node", "left_semi"), "mixed")
-        if big.isEmpty():
+        if tested:
+            big = with_components(big, forest())
+            mixed = big.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("node")
+            big = stored(big.join(mixed, "node", "left_semi"), "mixed")
+        blocks = big.groupBy("node").agg((F.max("members") * F.ceil(2 * F.max("members") / SMALL)).alias("rows")).agg(F.sum("rows")).first()[0] or 0
+        if blocks <= budget or level == DEEPEST:
+            if blocks:
+                dense.append(dealt_in_blocks(big))
             break
-        if level == DEEPEST:
-            dense.append(dealt_in_blocks(big).select("*"))
         rows = grown(big.select("cid", "node").join(classes.select("cid", "n", "tokens"), "cid"), similarity)
-    if not tested:
-        return classes.select(F.col("cid").alias("node"), F.col("cid").alias("root")).limit(0)
     again = reduce(DataFrame.unionByName, [d.select("node", "cid", "n", *SKETCH) for d in dense])
     before = len(tested)
-    found = forest()
+    found = forest() if tested else nothing
     test(small_node_pairs(with_components(again, found), percent, apart, True))
     return forest() if len(tested) > before else found
 

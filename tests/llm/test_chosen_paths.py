@@ -61,8 +61,10 @@ def test_components(request, name):
     check(request.getfixturevalue(name))
 
 
-def test_large_near_groups_and_hot_copies(spark):
+def test_large_near_groups_and_hot_copies(spark, monkeypatch):
     """Groups beyond what a small node holds, some at the border of the similarity, and a third of all rows equal."""
+    monkeypatch.setattr(chosen_paths, "SMALL", 48)
+    monkeypatch.setattr(chosen_paths, "BLOCK_ROWS", 0)
     rows = family(1, 300, 120, 8) + family(2, 150, 60, 4, 1000) + [(5000 + i, "the very same text in many rows of it") for i in range(250)]
     rows += [(7000 + i, "") for i in range(50)]
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
@@ -70,6 +72,7 @@ def test_large_near_groups_and_hot_copies(spark):
 
 def test_blocks_alone_are_exact(spark, monkeypatch):
     """One level, so that large nodes are compared block by block."""
+    monkeypatch.setattr(chosen_paths, "SMALL", 48)
     monkeypatch.setattr(chosen_paths, "DEEPEST", 1)
     check(spark.createDataFrame(family(3, 200, 80, 7), "doc_id long, text string"))
 
