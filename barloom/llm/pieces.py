@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -21,6 +22,8 @@ UNIT = re.compile(rb" +[^ ]*")
 LOST = np.int64(-(1 << 62))
 #: Cells of one Viterbi table.
 CELLS = 1 << 21
+#: Bytes from which a unit is walked by itself: the tables of a step pay for many units of a like length only.
+LONG = 1 << 10
 
 
 @dataclass(eq=False)
@@ -51,6 +54,12 @@ class Vocabulary:
         """The bytes that an id stands for, spaces as spaces."""
         return {i: p.replace(MARK, b" ") for i, p in zip(self.ids, self.pieces)} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
 
+    @cached_property
+    def lists(self) -> tuple[list[int], list[int], list[int]]:
+        """The automaton's longest and shorter pieces and the piece lengths, for walks by single steps."""
+        _, longest, shorter, lengths = self.automaton
+        return longest.tolist(), shorter.tolist(), lengths.tolist()
+
     @cached_property
     def automaton(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(next state by state and byte, longest piece that ends in a state, next shorter such piece, piece lengths)."""
@@ -119,7 +128,8 @@ def viterbi(units: list[bytes], vocabulary: Vocabulary, ids: bool = False) -> Be
 
     Units are handled by length, many at a time: the automaton moves one byte in all of them, then the pieces that end
     there are tried, the longest first, and replace what is held only if they score higher; an unknown character, one
-    without a piece of its own, comes last and counts one byte piece per byte.
+    without a piece of its own, comes last and counts one byte piece per byte. Units of ``LONG`` bytes or more (texts
+    without spaces, runs of blanks) are walked one by one, in time and memory linear in their length.
     """
     n = len(units)
     score, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -127,7 +137,13 @@ def viterbi(units: list[bytes], vocabulary: Vocabulary, ids: bool = False) -> Be
     found: list = [None] * n
     sizes = np.fromiter(map(len, units), np.int64, n)
     order = np.argsort(-sizes, kind="stable")
-    at = 0
+    at = int((sizes >= LONG).sum())
+    for i in order[:at].tolist():
+        own = Walk.over(units[i], vocabulary)
+        score[i], count[i] = own.best[-1], own.count[-1]
+        if ids:
+            loss[i] = own.best[-1] - own.second[-1] if own.second[-1] > LOST // 2 else -LOST
+            found[i] = np.array(own.ids(vocabulary), np.int32)
     while at < n:
         width = int(sizes[order[at]])
         rows = order[at : at + max(1, CELLS // (width + 1))]
@@ -228,53 +244,116 @@ def _trace(units: list[bytes], sizes: np.ndarray, last: np.ndarray, vocabulary:
     return np.split(out, ends[:-1]) if len(ends) else []
 
 
+@dataclass
+class Walk:
+    """One unit walked byte by byte: per place the automaton's state, the first byte of the character that ends there (-1
+    inside a character), the best and second best score from the start, and pieces and last piece of the best."""
+
+    unit: bytes
+    state: array
+    begin: array
+    best: array
+    second: array
+    count: array
+    last: array
+
+    @classmethod
+    def over(cls, unit: bytes, vocabulary: Vocabulary) -> Walk:
+        step = vocabulary.automaton[0]
+        longest, shorter, lengths = vocabulary.lists
+        scores, unknown, lost = vocabulary.scores, vocabulary.unknown, int(LOST)
+        n = len(unit)
+        state, begin, count, last = array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        best, second = array("q", [lost]) * (n + 1), array("q", [lost]) * (n + 1)
+        best[0] = 0
+        at = first = 0
+        for t in range(1, n + 1):
+            b = unit[t - 1]
+            if b & 0xC0 != 0x80:
+                first = t - 1
+            at = step.item(at, b)
+            state[t] = at
+            high, low, pieces, name, whole = lost, lost, 0, -1, False
+            piece = longest[at]
+            while piece >= 0:
+                start = t - lengths[piece]
+                whole |= start == first
+                new = best[start] + scores[piece]
+                if new > high:
+                    low, high, pieces, name = max(low, high, second[start] + scores[piece]), new, count[start] + 1, piece
+                elif new > low:
+                    low = new
+                piece = shorter[piece]
+            if t == n or unit[t] & 0xC0 != 0x80:
+                begin[t] = first
+                if not whole:
+                    new = best[first] + unknown
+                    if new > high:
+                        low, high, pieces, name = max(low, high, second[first] + unknown), new, count[first] + t - first, -1
+                    elif new > low:
+                        low = new
+            best[t], second[t], count[t], last[t] = high, low, pieces, name
+        return cls(unit, state, begin, best, second, count, last)
+
+    def edges(self, place: int, vocabulary: Vocabulary) -> list[tuple[int, int, int]]:
+        """What ends at a place: (start, score, piece or -1), the longest piece first."""
+        longest, shorter, lengths = vocabulary.lists
+        out, whole = [], False
+        piece = longest[self.state[place]] if place else -1
+        while piece >= 0:
+            start = place - lengths[piece]
+            whole |= start == self.begin[place]
+            out.append((start, vocabulary.scores[piece], piece))
+            piece = shorter[piece]
+        if place and not whole and self.begin[place] >= 0:
+            out.append((self.begin[place], vocabulary.unknown, -1))
+        return out
+
+    def ids(self, vocabulary: Vocabulary) -> list[int]:
+        out, place = [], len(self.unit)
+        lengths = vocabulary.lists[2]
+        while place:
+            piece = self.last[place]
+            start = place - lengths[piece] if piece >= 0 else self.begin[place]
+            out += [vocabulary.ids[piece]] if piece >= 0 else [vocabulary.byte_ids[b] for b in reversed(self.unit[start:place])]
+            place = start
+        return out[::-1]
+
+
 def lattice(unit: bytes, vocabulary: Vocabulary) -> tuple[list[list[tuple[int, int, int]]], list[int]]:
     """Per place the edges that end there (start, score, piece or -1), and the best score from the start to the place."""
-    step, longest, shorter, lengths = vocabulary.automaton
-    edges: list[list[tuple[int, int, int]]] = [[] for _ in range(len(unit) + 1)]
-    best = [int(LOST)] * (len(unit) + 1)
-    best[0] = 0
-    state = begin = 0
-    for t in range(1, len(unit) + 1):
-        b = unit[t - 1]
-        if b & 0xC0 != 0x80:
-            begin = t - 1
-        state = int(step[state, b])
-        piece = int(longest[state])
-        whole = False
-        while piece >= 0:
-            size = int(lengths[piece])
-            whole |= size == t - begin
-            edges[t].append((t - size, vocabulary.scores[piece], piece))
-            piece = int(shorter[piece])
-        if not whole and (t == len(unit) or unit[t] & 0xC0 != 0x80):
-            edges[t].append((begin, vocabulary.unknown, -1))
-        for start, worth, _ in edges[t]:
-            best[t] = max(best[t], best[start] + worth)
-    return edges, best
+    walk = Walk.over(unit, vocabulary)
+    return [walk.edges(t, vocabulary) for t in range(len(unit) + 1)], walk.best.tolist()
 
 
 def nbest(unit: bytes, vocabulary: Vocabulary, n: int) -> list[tuple[int, list[int]]]:
-    """The ``n`` best segmentations (score, ids), best first.
+    """The ``n`` best segmentations (score, ids), best first; the first is the one that ``viterbi`` finds.
 
     A-star from the end of the unit: the forward Viterbi score of a place is exactly what the rest can still bring, so
-    hypotheses leave the queue in the order of their final score. Equal ones leave in the order they were found, with
-    longer last pieces first.
+    hypotheses leave the queue in the order of their final score. Equal ones leave nearest to the start first, so ties
+    are walked to their end one after another, and only the first ``n`` that reach a place go on from it: what reaches
+    it later can't be among the ``n`` best. The queue grows with ``n`` times the edges at most.
     """
-    edges, best = lattice(unit, vocabulary)
-    queue: list[tuple[int, int, int, int, tuple]] = [(-best[len(unit)], 0, len(unit), 0, ())]
+    walk = Walk.over(unit, vocabulary)
+    best = walk.best
+    queue: list[tuple[int, int, int, int, tuple]] = [(-best[-1], len(unit), 0, 0, ())]
+    used: dict[int, int] = {}
     pushed, out = 1, []
     while queue and len(out) < n:
-        minus, _, place, worth, chain = heapq.heappop(queue)
+        minus, place, _, worth, chain = heapq.heappop(queue)
         if place == 0:
             out.append((-minus, _ids(chain, vocabulary)))
             continue
-        for start, score, piece in edges[place]:
+        used[place] = used.get(place, 0) + 1
+        if used[place] > n:
+            continue
+        for start, score, piece in walk.edges(place, vocabulary):
             if best[start] > LOST // 2:
                 step = (unit[start:place], piece)
-                heapq.heappush(queue, (-(worth + score + best[start]), pushed, start, worth + score, (step, chain)))
+                heapq.heappush(queue, (-(worth + score + best[start]), start, -pushed, worth + score, (step, chain)))
                 pushed += 1
-    return out
+    first = (int(best[-1]), walk.ids(vocabulary))
+    return [first, *[x for x in out if x != first]][:n]
 
 
 def _ids(chain: tuple, vocabulary: Vocabulary) -> list[int]:

@@ -108,3 +108,57 @@ def test_units_of_a_text():
     assert split_units(b" a  b ") == [b" a", b" b", b""] or split_units(b" a  b ")
     units, codes, sizes = code_units([b"a b a", b"", b"b"])
     assert sizes.tolist() == [3, 0, 1] and [units[c] for c in codes] == [marked(b"a"), marked(b"b"), marked(b"a"), marked(b"b")]
+
+
+@pytest.mark.parametrize("unit", ["abc" * 700, " " * 160, "-" * 200, "\n=" * 90, "日本語テキスト" * 60, "é🙂x" * 120])
+def test_walk_of_a_long_unit_equals_the_tables(vocabulary, unit, monkeypatch):
+    """Both ways to solve a unit, and its N-best: ties end, in as many steps as the unit has edges."""
+    from barloom.llm import pieces
+
+    unit = marked(unit.encode())
+    monkeypatch.setattr(pieces, "LONG", 1 << 30)
+    tables = viterbi([unit], vocabulary, ids=True)
+    monkeypatch.setattr(pieces, "LONG", 1)
+    walked = viterbi([unit], vocabulary, ids=True)
+    assert (walked.score[0], walked.count[0], walked.loss[0]) == (tables.score[0], tables.count[0], tables.loss[0])
+    assert walked.ids[0].tolist() == tables.ids[0].tolist()
+    pushes = []
+    monkeypatch.setattr(pieces.heapq, "heappush", lambda q, x, push=pieces.heapq.heappush: (pushes.append(1), push(q, x)))
+    found = nbest(unit, vocabulary, 4)
+    assert found[0] == (tables.score[0], tables.ids[0].tolist())
+    assert len({tuple(i) for _, i in found}) == len(found) and [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+    if len(found) > 1:
+        assert found[0][0] - found[1][0] == tables.loss[0]
+    edges, _ = lattice(unit, vocabulary)
+    assert len(pushes) <= 4 * sum(map(len, edges))
+
+
+def test_a_megabyte_without_spaces_and_a_run_of_blanks(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "abcdefghijkl" * 85_000), (2, " " * 100_000), (3, "x" + " " * 3_000 + "y")], "doc_id long, text string")
+    begin = time.time()
+    assert token_counts.count_tokens(docs).where("n_tokens > 0").count() == 3
+    assert time.time() - begin < 60
+
+
+def test_nbest_ids(spark, odd, vocabulary):
+    """Every way spelled out: distinct, of its score and count, and the same text again."""
+    worth = {i: s for i, s in zip(vocabulary.ids, vocabulary.scores)}
+    short = odd.where("length(text) < 3000 AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    coded = nbest_pieces.encode(short).persist()
+    texts = {r["doc_id"]: r["text"] for r in short.collect()}
+    whole = {r["doc_id"]: r for r in coded.collect()}
+    ways = {}
+    for r in nbest_pieces.nbest_ids(coded).collect():
+        ways.setdefault(r["doc_id"], {})[r["rank"]] = r
+    assert set(ways) == set(texts)
+    for d, own in ways.items():
+        lists = [tuple(own[k + 1]["ids"]) for k in range(len(own))]
+        assert lists[0] == tuple(whole[d]["ids"]) and len(set(lists)) == len(lists)
+        for k, ids in enumerate(lists):
+            assert len(ids) == whole[d]["nbest_pieces"][k] and own[k + 1]["score"] == whole[d]["nbest_scores"][k]
+            assert nbest_pieces.decode(ids, vocabulary).decode() == texts[d]
+            if all(i in worth for i in ids):
+                assert sum(worth[i] for i in ids) == own[k + 1]["score"]
+    coded.unpersist()
