@@ -146,32 +146,33 @@ def kdj(rsv: str = "rsv9") -> Recursion:
 
 
 @dataclass
-class ZigzagState:
-    """What the zigzag automaton remembers between rows (also the streaming state)."""
+class ZigzagLegs:
+    """Legs that wait for their end, as [sign, extreme, position]: sign 1 looks for a low, -1 for a high.
 
-    low: float
-    low_pos: int
-    high: float
-    high_pos: int
-    leg: int = 0  # 0 undecided, 1 rising, -1 falling
+    Mirrored by its sign, a leg is always one that falls to a lowest price and ends on the first row that stands
+    ``pct`` above it; the next leg runs the other way from that row. Before the first end both directions are open.
+    What is open is all there is to remember, in a batch pass and as streaming state.
+    """
 
-    @classmethod
-    def start(cls, price: float, pos: int) -> "ZigzagState":
-        return cls(price, pos, price, pos)
+    open: list[tuple[int, float, int]]
+
+    @staticmethod
+    def _followed(leg: tuple[int, float, int], price: float, pos: int, pct: float) -> tuple[tuple[int, float, int], bool]:
+        sign, extreme, _ = leg
+        if sign * price < sign * extreme:
+            return (sign, price, pos), False
+        return leg, sign * price >= sign * (extreme * (1.0 + sign * pct))
 
     def push(self, price: float, pos: int, pct: float) -> int | None:
         """Take the next row; returns the position of a low that this row confirms."""
-        falling, rising = self.leg <= 0, self.leg >= 0
-        if falling and price < self.low:
-            self.low, self.low_pos = price, pos
-        if rising and price > self.high:
-            self.high, self.high_pos = price, pos
-        if falling and self.low_pos < pos and price >= self.low * (1.0 + pct):
-            found = self.low_pos
-            self.leg, self.high, self.high_pos = 1, price, pos
-            return found
-        if rising and self.high_pos < pos and price <= self.high * (1.0 - pct):
-            self.leg, self.low, self.low_pos = -1, price, pos
+        if not self.open:
+            self.open = [(1, price, pos), (-1, price, pos)]
+            return None
+        for i, leg in enumerate(self.open):
+            self.open[i], ended = self._followed(leg, price, pos, pct)
+            if ended:
+                self.open = [(-leg[0], price, pos)]
+                return leg[2] if leg[0] > 0 else None
         return None
 
 
@@ -183,11 +184,9 @@ def zigzag_lows(df: DataFrame, price: str, pct: float, key: str = "sym", pos: st
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(pos, kind="mergesort")
-        rows = zip(group[price].to_numpy(float).tolist(), group[pos].to_numpy().tolist())
-        p0, i0 = next(rows)
-        state, found = ZigzagState.start(p0, i0), []
-        for p, i in rows:
-            low = state.push(p, i, pct)
+        legs, found = ZigzagLegs([]), []
+        for p, i in zip(group[price].to_numpy(float).tolist(), group[pos].to_numpy().tolist()):
+            low = legs.push(p, i, pct)
             if low is not None:
                 found.append((low, i))
         return pd.DataFrame(

@@ -2,6 +2,8 @@
 
 After the last row of a day has arrived, the rows emitted for that day equal the batch rows. Windowed operators run in
 append mode and emit a window once the watermark has passed its end; stateful operators keep a small state per symbol.
+The stateful ones here emit a row in the batch that brings it and need batches in order of time; ``ordered.py`` has the
+ones that put late rows in their place first.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from barloom.operators.sequential import MACD_FAST, MACD_SIGNAL, MACD_SLOW, ZigzagState
+from barloom.operators.sequential import MACD_FAST, MACD_SIGNAL, MACD_SLOW, ZigzagLegs
 from barloom.session import ensure_checkpoint_dir
 
 
@@ -177,8 +179,8 @@ def streaming_macd(bars: DataFrame, price: str = "close", key: str = "sym", orde
 
 _ZIGZAG_STATE = StructType(
     [
-        StructField("n", LongType()), StructField("low", DoubleType()), StructField("low_pos", LongType()), StructField("high", DoubleType()),
-        StructField("high_pos", LongType()), StructField("leg", LongType()),
+        StructField("n", LongType()), StructField("signs", ArrayType(LongType())), StructField("extremes", ArrayType(DoubleType())),
+        StructField("places", ArrayType(LongType())),
     ]
 )
 
@@ -189,20 +191,14 @@ def streaming_zigzag(bars: DataFrame, pct: float, price: str = "close", key: str
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(order, kind="mergesort")
-        n, z = 0, None
-        if state.exists:
-            n, low, low_pos, high, high_pos, leg = state.get
-            z = ZigzagState(low, low_pos, high, high_pos, leg)
-        out = []
+        n, *open_legs = state.get if state.exists else (0, [], [], [])
+        legs, out = ZigzagLegs(list(zip(*open_legs))), []
         for day, p in zip(rows[order], rows[price].astype(float)):
             n += 1
-            if z is None:
-                z = ZigzagState.start(p, n)
-                continue
-            low = z.push(p, n, pct)
+            low = legs.push(p, n, pct)
             if low is not None:
                 out.append((k[0], day, low, n))
-        state.update((n, z.low, z.low_pos, z.high, z.high_pos, z.leg))
+        state.update((n, *[[leg[i] for leg in legs.open] for i in range(3)]))
         if out:
             yield pd.DataFrame(out, columns=[key, order, "low_pos", "sig_pos"])
 
