@@ -287,7 +287,12 @@ def outcomes(entries: DataFrame, bars: DataFrame, rule: ExitRule, keys: tuple[st
         F.coalesce(e["why"], F.col("_lr")).alias("exit_reason"),
         (F.coalesce(e["p"], F.col("_lp")) * (1.0 - SLIPPAGE)).alias("exit_price"),
     )
-    out = sized.join(live, list(keys), "left")
+    return settled(sized, live, keys)
+
+
+def settled(sized: DataFrame, exits: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Fees, net result and final status of sized entries with their exits (exit_pos, exit_d, exit_reason, exit_price)."""
+    out = sized.join(exits, list(keys), "left")
     amount = F.col("shares") * F.col("exit_price")
     fees = F.col("buy_fee") + commission(amount) + amount * stamp_rate("exit_d")
     paid = F.col("shares") * F.col("entry_price") + F.col("buy_fee")
