@@ -22,8 +22,8 @@ FUNCTIONS = 128
 SKETCH = ("s0", "s1", "s2", "s3")
 PAIR_BITS = 0x5555555555555555
 TREES = 8
-#: Members of a node that are compared exhaustively in one step.
-SMALL = 512
+#: Members of a node that are compared exhaustively in one step, and shingles that their sets may have together.
+SMALL, SMALL_SHINGLES = 512, 1 << 22
 #: Levels of branching; nodes that are still large then are compared block by block, and so are large nodes whose
 #: blocks together have no more than BLOCK_ROWS rows for each row of the first level.
 DEEPEST, BLOCK_ROWS = 8, 2
@@ -163,47 +163,110 @@ def spanning(pairs: np.ndarray, size: int) -> np.ndarray:
     return np.array(keep, np.int64).reshape(-1, 2)
 
 
-def small_node_pairs(rows: DataFrame, percent: int, apart: int, between: bool) -> DataFrame:
-    """(a, b, node) of candidates in small nodes. A task streams its nodes in order and holds one at a time.
+def node_runs(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by node, cut between nodes; binary columns as objects."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        held = new if held is None else [np.concatenate([x, y]) for x, y in zip(held, new)]
+        last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        yield [x[:last] for x in held]
+        held = [x[last:] for x in held]
+    if held is not None:
+        yield held
 
-    First pass: all pairs of a node that hold few, else as many as connect them, with the node's name, so that the node
-    is looked at again. Second pass (``between``): all pairs whose ends are in different components ``comp``.
+
+def node_slices(node: np.ndarray) -> Iterator[slice]:
+    starts, sizes = runs(node)
+    for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+        yield slice(start, start + size)
+
+
+def small_node_pairs(rows: DataFrame, percent: int, apart: int) -> DataFrame:
+    """(a, b, node) of candidates in small nodes: all close pairs of a node that has few, else as many as connect them, with
+    the node's name, so that the node is looked at again. A task streams its nodes and holds one at a time."""
+    names = ["node", "cid", "n", *SKETCH]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, cid, n, *words in node_runs(batches, names):
+            sketch = np.stack(words, axis=1).view(np.uint64)
+            found = [(np.zeros(0, np.int64),) * 3]
+            for at in node_slices(node):
+                size = at.stop - at.start
+                pairs = close_pairs(n[at], sketch[at], percent, apart)
+                dense = len(pairs) > 2 * size
+                pairs = spanning(pairs, size) if dense else pairs
+                found.append((cid[at][pairs[:, 0]], cid[at][pairs[:, 1]], np.full(len(pairs), node[at.start] if dense else 0)))
+            a, b, name = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(name)], names=["a", "b", "node"])
+
+    return rows.select(*names).repartition("node").sortWithinPartitions("node", "cid").mapInArrow(run, "a long, b long, node long")
+
+
+def common_members(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets with one another: products of their incidence, ``step`` members at a time."""
+    values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = times[place] > 1
+    column = (np.cumsum(times > 1) - 1)[place[shared]]
+    owner = owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        lo, hi = np.searchsorted(column, [first, first + step])
+        block = np.zeros((len(sets), step), np.float32)
+        block[owner[lo:hi], column[lo:hi] - first] = 1
+        out += block @ block.T
+    return out.astype(np.int64)
+
+
+def exact_links(rows: DataFrame, percent: int, apart: int) -> DataFrame:
+    """(a, b): links between the components of a node, on the whole sets that its members bring along.
+
+    Close pairs in different components are compared in the task that has the node; what comes out is one link for
+    each two components joined, however many pairs there are.
     """
-    names = ["node", "cid", "n", *SKETCH, "comp"]
-
-    def compare(columns: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        node, cid, n, *words, comp = columns
-        sketch = np.stack(words, axis=1).view(np.uint64)
-        out = []
-        starts, sizes = runs(node)
-        for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-            at = slice(start, start + size)
-            if between and (comp[at] == comp[start]).all():
-                continue
-            pairs = close_pairs(n[at], sketch[at], percent, apart)
-            if between:
-                pairs = pairs[comp[at][pairs[:, 0]] != comp[at][pairs[:, 1]]]
-            dense = not between and len(pairs) > 2 * size
-            if dense:
-                pairs = spanning(pairs, size)
-            if len(pairs):
-                out.append((cid[at][pairs[:, 0]], cid[at][pairs[:, 1]], np.full(len(pairs), node[start] if dense else 0)))
-        return out
+    names = ["node", "cid", "n", *SKETCH, "comp", "members"]
 
-    def table(found: list) -> pa.RecordBatch:
-        a, b, node = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(node)], names=["a", "b", "node"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, cid, n, *words, comp, members in node_runs(batches, names):
+            sketch = np.stack(words, axis=1).view(np.uint64)
+            found = [(np.zeros(0, np.int64),) * 2]
+            for at in node_slices(node):
+                if (comp[at] == comp[at.start]).all():
+                    continue
+                pairs = close_pairs(n[at], sketch[at], percent, apart)
+                pairs = pairs[comp[at][pairs[:, 0]] != comp[at][pairs[:, 1]]]
+                if not len(pairs):
+                    continue
+                some, ends = np.unique(pairs, return_inverse=True)
+                ends = ends.reshape(pairs.shape)
+                common = common_members([np.frombuffer(x, np.uint64) for x in members[at][some]])[ends[:, 0], ends[:, 1]]
+                either = n[at][pairs].sum(axis=1) - common
+                pairs = pairs[100 * common >= percent * either]
+                names_, groups = np.unique(comp[at], return_inverse=True)
+                keep = {tuple(sorted(g)): p for g, p in zip(groups[pairs].tolist(), pairs.tolist())}
+                joined = spanning(np.array(list(keep), np.int64).reshape(-1, 2), len(names_))
+                pairs = np.array([keep[tuple(g)] for g in joined.tolist()], np.int64).reshape(-1, 2)
+                found.append((cid[at][pairs[:, 0]], cid[at][pairs[:, 1]]))
+            a, b = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows.select(*names).repartition("node").sortWithinPartitions("node", "cid").mapInArrow(run, "a long, b long")
+
+
+def members_of(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(cid, members): the whole sets of some classes (cid, row), sorted 64-bit hashes side by side."""
+    texts = class_texts(classes, docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64) for _ in names]
         for batch in batches:
-            held = [np.concatenate([x, batch.column(c).to_numpy(zero_copy_only=False)]) for x, c in zip(held, names)]
-            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            yield table(compare([x[:last] for x in held]))
-            held = [x[last:] for x in held]
-        yield table(compare(held))
+            for part in chunks([batch]):
+                sets = pa.array([shingle_set(x, width).tobytes() for x in utf8(part)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("cid"), sets], names=["cid", "members"])
 
-    return rows.select(*names).repartition("node").sortWithinPartitions("node", "cid").mapInArrow(run, "a long, b long, node long")
+    return stored(texts.mapInArrow(run, "cid long, members binary"), "members")
 
 
 def sketches_close(x: Column, n: Column, percent: int, apart: int) -> Column:
@@ -227,6 +290,12 @@ def leader_pairs(big: DataFrame, percent: int, apart: int) -> DataFrame:
     return met.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"), F.lit(0).cast("long").alias("node"))
 
 
+def class_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cid, text): the text of one row of each class in ``wanted`` (cid, row)."""
+    rows = docs.select(row_key(text_mark().cast("string")).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.join(wanted.select("cid", "row"), "row").select("cid", "text").dropDuplicates(["cid"])
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``pairs`` (a, b) of classes with linked: 100 * intersection >= percent * union on the whole sets.
 
@@ -234,9 +303,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     which adaptive execution splits.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    wanted = ends.join(classes.select("cid", "row"), "cid")
-    rows = docs.select(row_key(text_mark().cast("string")).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = stored(rows.join(wanted, "row").select("cid", "text").dropDuplicates(["cid"]), "contenders")
+    texts = stored(class_texts(ends.join(classes.select("cid", "row"), "cid"), docs), "contenders")
     both = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,9 +329,15 @@ def with_components(rows: DataFrame, forest: DataFrame) -> DataFrame:
     return rows.join(named, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 
 
+def blocks_of(members: Column, shingles: Column) -> Column:
+    """Blocks that a node is cut into, so that two of them are a small node."""
+    by_bytes = F.least(members, F.ceil(2 * shingles / SMALL_SHINGLES))
+    return F.greatest(F.ceil(2 * members / SMALL), by_bytes)
+
+
 def dealt_in_blocks(big: DataFrame) -> DataFrame:
     """Large nodes that no branching splits, cut into blocks; every two blocks meet in a node of their own."""
-    sizes = big.groupBy("node").agg(F.ceil(2 * F.count(F.lit(1)) / SMALL).alias("blocks"))
+    sizes = big.groupBy("node").agg(blocks_of(F.count(F.lit(1)), F.sum("n")).alias("blocks"))
     block = F.pmod(F.xxhash64("cid", F.lit(2)), F.col("blocks"))
     dealt = big.join(sizes, "node").withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumn("node", F.xxhash64("node", F.least("block", "with"), F.greatest("block", "with"))).drop("blocks", "block", "with")
@@ -275,12 +348,11 @@ def near_components(classes: DataFrame, docs: DataFrame, width: int, percent: in
 
     Level by level: nodes of up to ``SMALL`` members are compared; in larger ones all members are held against a few
     leaders, and what is then still in several components branches on, or is cut into blocks that meet two by two where
-    that costs less. At the end the small nodes with more close
-    pairs than were tried are compared once more between components, so every close pair that shares a small node is
-    either inside a component or verified by itself.
+    that costs less. At the end the small nodes with more close pairs than were tried, if they still have several
+    components, get the whole sets of their members and are compared in full. So every close pair that shares a small
+    node is either inside a component or compared on its whole sets.
     """
     similarity, apart = percent / 100, most_apart(percent / 100)
-    no_comp = F.lit(0).cast("long").alias("comp")
     nothing = classes.select(F.col("cid").alias("node"), F.col("cid").alias("root")).limit(0)
     tested: list[DataFrame] = []
     dense: list[DataFrame] = []
@@ -293,37 +365,50 @@ def near_components(classes: DataFrame, docs: DataFrame, width: int, percent: in
             tested.append(verified(pairs, classes, docs, width, percent))
         discard(pairs)
 
-    def forest() -> DataFrame:
-        return star_forest(reduce(DataFrame.unionByName, tested).where("linked").select("a", "b"))
+    def links() -> DataFrame:
+        return reduce(DataFrame.unionByName, tested).where("linked").select("a", "b")
 
     rows = grown(classes, similarity, trees)
     budget = BLOCK_ROWS * trees / similarity * classes.count()
     for level in range(1, DEEPEST + 1):
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
         met = stored(rows.join(sizes, "node"), "nodes")
-        few, big = met.where(f"members <= {SMALL}").select("*", no_comp), met.where(f"members > {SMALL}")
+        small = (F.col("members") <= SMALL) & ((F.col("shingles") <= SMALL_SHINGLES) | (F.col("members") == 2))
+        few, big = met.where(small), met.where(~small)
         more = not big.isEmpty()
-        pairs = small_node_pairs(few, percent, apart, False)
+        pairs = small_node_pairs(few, percent, apart)
         pairs = stored(pairs.unionByName(leader_pairs(big, percent, apart)) if more else pairs, "candidates")
         dense.append(few.join(pairs.where("node <> 0").select("node").distinct(), "node", "left_semi"))
         test(pairs)
         if not more:
             break
         if tested:
-            big = with_components(big, forest())
-            mixed = big.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("node")
-            big = stored(big.join(mixed, "node", "left_semi"), "mixed")
-        blocks = big.groupBy("node").agg((F.max("members") * F.ceil(2 * F.max("members") / SMALL)).alias("rows")).agg(F.sum("rows")).first()[0] or 0
-        if blocks <= budget or level == DEEPEST:
-            if blocks:
+            big = stored(mixed_nodes(with_components(big, star_forest(links()))), "mixed")
+        blocks = blocks_of(F.max("members"), F.max("shingles"))
+        cost = big.groupBy("node").agg((F.max("members") * blocks).alias("rows")).agg(F.sum("rows")).first()[0] or 0
+        if cost <= budget or level == DEEPEST:
+            if cost:
                 dense.append(dealt_in_blocks(big))
             break
         rows = grown(big.select("cid", "node").join(classes.select("cid", "n", "tokens"), "cid"), similarity)
     again = reduce(DataFrame.unionByName, [d.select("node", "cid", "n", *SKETCH) for d in dense])
-    before = len(tested)
-    found = forest() if tested else nothing
-    test(small_node_pairs(with_components(again, found), percent, apart, True))
-    return forest() if len(tested) > before else found
+    forest = star_forest(links()) if tested else nothing
+    again = stored(mixed_nodes(with_components(again, forest)), "again")
+    if again.isEmpty():
+        return forest
+    wanted = again.select("cid").distinct().join(classes.select("cid", "row"), "cid")
+    sets = members_of(wanted, docs, width)
+    more_links = stored(exact_links(again.join(sets, "cid"), percent, apart), "links")
+    discard(sets)
+    # Roots stand for what is linked already.
+    known = forest.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return star_forest(known.unionByName(more_links))
+
+
+def mixed_nodes(rows: DataFrame) -> DataFrame:
+    """The rows of nodes whose members are in more than one component."""
+    mixed = rows.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("node")
+    return rows.join(mixed, "node", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, trees: int = TREES) -> DataFrame:

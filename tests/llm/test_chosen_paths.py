@@ -65,7 +65,7 @@ def test_large_near_groups_and_hot_copies(spark, monkeypatch):
     """Groups beyond what a small node holds, some at the border of the similarity, and a third of all rows equal."""
     monkeypatch.setattr(chosen_paths, "SMALL", 48)
     monkeypatch.setattr(chosen_paths, "BLOCK_ROWS", 0)
-    rows = family(1, 300, 120, 8) + family(2, 150, 60, 4, 1000) + [(5000 + i, "the very same text in many rows of it") for i in range(250)]
+    rows = family(1, 150, 120, 8) + family(2, 80, 60, 4, 1000) + [(5000 + i, "the very same text in many rows of it") for i in range(150)]
     rows += [(7000 + i, "") for i in range(50)]
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
 
