@@ -343,14 +343,15 @@ def dealt_in_blocks(big: DataFrame) -> DataFrame:
     return dealt.withColumn("node", F.xxhash64("node", F.least("block", "with"), F.greatest("block", "with"))).drop("blocks", "block", "with")
 
 
-def near_components(classes: DataFrame, docs: DataFrame, width: int, percent: int, trees: int = TREES) -> DataFrame:
+def near_components(classes: DataFrame, docs: DataFrame, width: int, percent: int, trees: int = TREES, first: DataFrame | None = None) -> DataFrame:
     """(node, root): the smallest class that each class with a link reaches.
 
     Level by level: nodes of up to ``SMALL`` members are compared; in larger ones all members are held against a few
     leaders, and what is then still in several components branches on, or is cut into blocks that meet two by two where
     that costs less. At the end the small nodes with more close pairs than were tried, if they still have several
     components, get the whole sets of their members and are compared in full. So every close pair that shares a small
-    node is either inside a component or compared on its whole sets.
+    node is either inside a component or compared on its whole sets. ``first`` may bring candidates (a, b) of another
+    search; they are verified like any other.
     """
     similarity, apart = percent / 100, most_apart(percent / 100)
     nothing = classes.select(F.col("cid").alias("node"), F.col("cid").alias("root")).limit(0)
@@ -368,6 +369,8 @@ def near_components(classes: DataFrame, docs: DataFrame, width: int, percent: in
     def links() -> DataFrame:
         return reduce(DataFrame.unionByName, tested).where("linked").select("a", "b")
 
+    if first is not None:
+        test(first)
     rows = grown(classes, similarity, trees)
     budget = BLOCK_ROWS * trees / similarity * classes.count()
     for level in range(1, DEEPEST + 1):

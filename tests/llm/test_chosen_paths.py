@@ -16,8 +16,8 @@ def shingles(text, width=4):
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
-def by_hand(docs, percent=80):
-    sets = [shingles(t) for _, t in docs]
+def by_hand(docs, width=4, percent=80):
+    sets = [shingles(t, width) for _, t in docs]
     comp = list(range(len(docs)))
 
     def find(i):

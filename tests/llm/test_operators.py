@@ -4,7 +4,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, language_id, license_scan, line_dedup, mixing, nbest_pieces, quality_ratio, simhash_groups, substring_dedup, token_counts
+from barloom.llm import exact_dedup, language_id, license_scan, line_dedup, mixing, near_copies, nbest_pieces, quality_ratio, simhash_groups, substring_dedup, token_counts
 
 OPS = {
     "tokens": token_counts.count_tokens,
@@ -18,7 +18,7 @@ OPS = {
     "simhash": simhash_groups.simhash_groups,
     "quality": lambda d: quality_ratio.judge(d, d.sparkSession.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")),
 }
-FILTERS = (exact_dedup.drop_exact_copies, simhash_groups.drop_near_copies, mixing.mixed_documents, language_id.drop_rejected)
+FILTERS = (exact_dedup.drop_exact_copies, simhash_groups.drop_near_copies, near_copies.drop_near_copies, mixing.mixed_documents, language_id.drop_rejected)
 
 
 def pairs(df):
