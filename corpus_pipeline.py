@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import exact_dedup, language_id, mixing, nbest_pieces, simhash_groups
+from barloom.llm import exact_dedup, language_id, mixing, near_copies, nbest_pieces
 from barloom.llm.text import documents
 from barloom.session import ensure_checkpoint_dir
 
@@ -22,8 +22,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return simhash_groups.drop_near_copies(docs)
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return near_copies.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
