@@ -33,7 +33,6 @@ FREEDOM = {
     "cc-by-sa": 0.5, "cc": 0.5, "gpl": 0.4, "agpl": 0.3, "cc-by-nd": 0.2, "cc-by-nc": 0.2, "proprietary": 0.0,
 }
 UNKNOWN, EXCEPTION_BONUS, NO_NOTICE = 0.3, 0.1, 0.5
-TAG = "spdx-license-identifier:"
 FAMILIES = ("agpl", "lgpl", "gpl", "apache", "mit", "mpl", "bsd", "isc", "cc0", "cc-by-nc", "cc-by-nd", "cc-by-sa", "cc-by")
 #: Binding strength of the operators of an expression.
 STRENGTH = {"or": 1, "and": 2, "with": 3}
@@ -41,10 +40,18 @@ STRENGTH = {"or": 1, "and": 2, "with": 3}
 WORDS = bytes(c if c >= 128 or 48 <= c < 58 or 97 <= c < 123 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 
 
+#: The words of an identifier tag, as they stand in a line of words.
+TAG = " spdx license identifier "
+#: One token of an expression: a parenthesis, or a licence name that starts and ends with a letter, digit or plus.
+TOKEN = re.compile(r"[ \t]*([()]|[a-z0-9](?:[a-z0-9.+_-]*[a-z0-9+])?)")
+
+
 def automaton() -> ahocorasick.Automaton:
+    """Notice phrases and the tag; a match is its phrase, None for the tag."""
     found = ahocorasick.Automaton()
     for phrase in {**NOTICES, **BASE}:
         found.add_word(f" {phrase} ", phrase)
+    found.add_word(TAG, None)
     found.make_automaton()
     return found
 
@@ -54,37 +61,51 @@ def family(identifier: str) -> str:
     return next((f for f in FAMILIES if identifier == f or identifier.startswith((f + "-", f + "+"))), identifier)
 
 
-def postfix(expression: str) -> list[str] | None:
-    """Shunting yard: operands and operators of a lower-cased expression in postfix order; None if it isn't well formed."""
+def parse(tokens: Iterable[str]) -> tuple[list[str], int]:
+    """Shunting yard over lower-cased tokens, as far as they make an expression: (postfix order, tokens used).
+
+    Reading stops at the first token that can't follow, so the cost is that of the tokens read. What is returned is the
+    longest beginning that is an expression by itself: after each operand or closing parenthesis outside of all
+    parentheses, what has been read could end there.
+    """
     out: list[str] = []
     waiting: list[str] = []
-    operand = True  # what must come next
-    for token in re.findall(r"[()]|[^\s()]+", expression):
+    whole, used = [], 0
+    operand, depth = True, 0  # operand: what must come next
+    for i, token in enumerate(tokens):
         if token in STRENGTH:
             if operand:
-                return None
+                break
             while waiting and waiting[-1] != "(" and STRENGTH[waiting[-1]] >= STRENGTH[token]:
                 out.append(waiting.pop())
             waiting.append(token)
             operand = True
-        elif token == ")":
-            if operand:
-                return None
-            while waiting and waiting[-1] != "(":
+            continue
+        if token == ")":
+            if operand or not depth:
+                break
+            while waiting[-1] != "(":
                 out.append(waiting.pop())
-            if not waiting:
-                return None
             waiting.pop()
+            depth -= 1
         elif not operand:
-            return None
+            break
         elif token == "(":
             waiting.append(token)
+            depth += 1
         else:
             out.append(token)
             operand = False
-    if operand or "(" in waiting:
-        return None
-    return out + waiting[::-1]
+        if not operand and not depth:
+            whole, used = [len(out), *waiting[::-1]], i + 1
+    return (out[: whole[0]] + whole[1:], used) if used else ([], 0)
+
+
+def postfix(expression: str) -> list[str] | None:
+    """A whole expression in postfix order; None if it isn't well formed."""
+    tokens = re.findall(r"[()]|[^\s()]+", expression)
+    order, used = parse(tokens)
+    return order if used and used == len(tokens) else None
 
 
 @dataclass(frozen=True)
@@ -94,10 +115,13 @@ class Terms:
 
 
 def evaluate(expression: str) -> Terms | None:
-    """Labels and freedom: ``or`` leaves the choice (the freest side), ``and`` binds by both, ``with`` loosens the left side."""
+    """``terms_of`` a whole expression; None if it isn't well formed."""
     order = postfix(expression)
-    if order is None:
-        return None
+    return None if order is None else terms_of(order)
+
+
+def terms_of(order: list[str]) -> Terms:
+    """Labels and freedom: ``or`` leaves the choice (the freest side), ``and`` binds by both, ``with`` loosens the left side."""
     stack: list[Terms] = []
     for token in order:
         if token not in STRENGTH:
@@ -113,17 +137,24 @@ def evaluate(expression: str) -> Terms | None:
     return stack[0]
 
 
-def tags(lowered: str) -> Iterator[Terms]:
-    """The well-formed expressions behind identifier tags, each up to its line's end. Comment ends are cut off."""
-    at = lowered.find(TAG)
-    while at >= 0:
-        start = at + len(TAG)
-        end = lowered.find("\n", start)
-        line = lowered[start : end if end >= 0 else len(lowered)]
-        found = evaluate(re.split(r"\*/|-->|#|;|,", line)[0])
-        if found:
-            yield found
-        at = lowered.find(TAG, start)
+def tokens_from(lowered: str, at: int) -> Iterator[str]:
+    """Tokens of a line from a place on; names are taken without the punctuation behind them."""
+    while found := TOKEN.match(lowered, at):
+        if found[1] == TAG_NAME:  # the next tag; what follows belongs to that one
+            return
+        at = found.end()
+        yield found[1]
+
+
+def tag_terms(lowered: str, at: int) -> Terms | None:
+    """The longest well-formed expression at a place behind a tag."""
+    order, used = parse(tokens_from(lowered, at))
+    return terms_of(order) if used else None
+
+
+TAG_NAME = "spdx-license-identifier"
+#: The tag as it is spelled, with a quotation mark that may open what follows.
+TAG_TEXT = re.compile(TAG_NAME + r"[ \t]*:[ \t]*[\"'`]?")
 
 
 def scan(text: bytes, find: ahocorasick.Automaton) -> tuple:
@@ -131,8 +162,12 @@ def scan(text: bytes, find: ahocorasick.Automaton) -> tuple:
     line = f" {b' '.join(words).decode('utf-8', 'replace')} "
     base, labels, starts, freedom = set(), set(), [], []
     at = word = 0
-    hits = sorted((end - len(phrase) - 1, phrase) for end, phrase in find.iter(line))
+    hits = sorted(((end - len(phrase or TAG) - 1, phrase) for end, phrase in find.iter(line)), key=lambda h: h[0])
+    tagged = False
     for start, phrase in hits:
+        if phrase is None:
+            tagged = True
+            continue
         word += line.count(" ", at, start)
         at = start
         label = BASE.get(phrase) or NOTICES[phrase]
@@ -141,11 +176,14 @@ def scan(text: bytes, find: ahocorasick.Automaton) -> tuple:
         if phrase in BASE:
             base.add(label)
             starts.append(word)
-    lowered = text.lower()
-    if TAG.encode() in lowered:
-        for terms in tags(lowered.decode("utf-8", "replace")):
-            labels |= terms.labels
-            freedom.append(terms.freedom)
+    if tagged:
+        # The words of a tag stand in the text; its spelling and what follows are read there, each place once.
+        lowered = text.lower().decode("utf-8", "replace")
+        for found in TAG_TEXT.finditer(lowered):
+            terms = tag_terms(lowered, found.end())
+            if terms:
+                labels |= terms.labels
+                freedom.append(terms.freedom)
     score = min(freedom) if freedom else NO_NOTICE
     return (len(words), len(starts), starts[0] if starts else None, starts[-1] if starts else None, ",".join(sorted(base)), ",".join(sorted(labels)), score)
 
@@ -155,7 +193,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     Words are runs of a-z, 0-9 and non-ASCII characters of the lower-cased text; a phrase is found where its words
     stand one after another, whatever separates them, overlapping places included. ``labels`` adds further notices and
-    the licences of identifier tags. ``score`` is the freedom that the strictest notice leaves, 0.5 without any. Null
+    the licences of identifier tags: behind a tag the longest well-formed expression on its line counts, whatever follows it. ``score`` is the freedom that the strictest notice leaves, 0.5 without any. Null
     and empty texts have no words; malformed expressions are passed over; repeated rows are rows of their own.
     """
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]

@@ -313,3 +313,42 @@ def test_filters_keep_one_row_of_each_group_and_own_columns(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in exact) == sorted([(2, text), (1, other), (0, rows[4][1]), (0, rows[5][1])])
     for r in [*near, *exact, *language_id.drop_rejected(docs.withColumn("lang", F.lit("en"))).collect()]:
         assert (r["score"], r["rejected"], r["_key"]) == (9.0, "mine", 5)
+
+
+TAG = "SPDX-License-Identifier:"
+
+
+@pytest.mark.parametrize(
+    "text, labels, score",
+    [
+        (f"{TAG} MIT Copyright 2020", "mit", 1.0),
+        (f"({TAG} MIT)", "mit", 1.0),
+        (f"// {TAG} MIT.", "mit", 1.0),
+        (f"<p>{TAG} MIT</p>", "mit", 1.0),
+        (f'"{TAG} "MIT"', "mit", 1.0),
+        (f"/* {TAG} GPL-2.0-or-later WITH Classpath-exception-2.0 */", "gpl", 0.5),
+        (f"<!-- {TAG} (MIT OR Apache-2.0) AND BSD-3-Clause-->", "apache,bsd,mit", 1.0),
+        (f"{TAG} MIT AND", "mit", 1.0),
+        (f"{TAG} (MIT OR GPL-3.0", "", 0.5),
+        (f"{TAG} MIT {TAG} GPL-3.0+, all rights reserved", "gpl,mit,proprietary", 0.0),
+        (f"{TAG}\nMIT", "", 0.5),
+        (f"spdx license identifier {TAG.lower()}\tISC", "isc", 1.0),
+        (f"{TAG} Foo-1.0 under the mit license", "foo-1.0,mit", 0.3),
+        ("creative commons and public domain", "cc,public-domain", 0.5),
+        ("nothing", "", 0.5),
+        (None, "", 0.5),
+    ],
+)
+def test_license_labels_and_score(spark, text, labels, score):
+    got = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got["labels"], got["score"]) == (labels, pytest.approx(score))
+
+
+def test_a_megabyte_of_tags_is_linear():
+    import time
+
+    find = license_scan.automaton()
+    for text in (f"{TAG} MIT OR " * 45_000, f"{TAG} (" * 40_000, f"{TAG} MIT\n" * 40_000, f"{TAG} " + "mit and " * 130_000 + "mit"):
+        begin = time.time()
+        license_scan.scan(text.encode(), find)
+        assert time.time() - begin < 5
