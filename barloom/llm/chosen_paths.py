@@ -26,7 +26,7 @@ TREES = 8
 SMALL, SMALL_SHINGLES = 512, 1 << 22
 #: Levels of branching; nodes that are still large then are compared block by block, and so are large nodes whose
 #: blocks together have no more than BLOCK_ROWS rows for each row of the first level.
-DEEPEST, BLOCK_ROWS = 8, 2
+DEEPEST, BLOCK_ROWS = 8, 0.1
 #: Members per large node that all others are held against.
 LEADERS = 4
 STEP = 2048
@@ -343,12 +343,33 @@ def dealt_in_blocks(big: DataFrame) -> DataFrame:
     return dealt.withColumn("node", F.xxhash64("node", F.least("block", "with"), F.greatest("block", "with"))).drop("blocks", "block", "with")
 
 
+def with_main_component(big: DataFrame) -> DataFrame:
+    """``big`` with the largest component of each node (``main``), and members and shingles outside of it."""
+    comps = big.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+    largest = F.max(F.struct("c", "t", "comp")).alias("top")
+    nodes = comps.groupBy("node").agg(largest, F.sum("c").alias("all"), F.sum("t").alias("shingles_all"))
+    nodes = nodes.select("node", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("others"), (F.col("shingles_all") - F.col("top.t")).alias("other_shingles"))
+    return big.join(nodes, "node")
+
+
+def dealt_to_others(big: DataFrame) -> DataFrame:
+    """Nodes with few members outside of their main component: the main one is cut into blocks, the others join every block.
+
+    At most half a block is others, so the rows are twice those of the nodes at most.
+    """
+    blocks = blocks_of(F.col("members"), F.col("shingles"))
+    block = F.pmod(F.xxhash64("cid", F.lit(2)), blocks)
+    inside = big.where("comp = main").withColumn("node", F.xxhash64("node", block))
+    outside = big.where("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumn("node", F.xxhash64("node", "block"))
+    return inside.unionByName(outside.drop("block"))
+
+
 def near_components(classes: DataFrame, docs: DataFrame, width: int, percent: int, trees: int = TREES, first: DataFrame | None = None) -> DataFrame:
     """(node, root): the smallest class that each class with a link reaches.
 
     Level by level: nodes of up to ``SMALL`` members are compared; in larger ones all members are held against a few
-    leaders, and what is then still in several components branches on, or is cut into blocks that meet two by two where
-    that costs less. At the end the small nodes with more close pairs than were tried, if they still have several
+    leaders. Of a node that then has one main component and few others, the others meet that component block by block;
+    other nodes of several components branch on, or are cut into blocks that meet two by two where that costs less. At the end the small nodes with more close pairs than were tried, if they still have several
     components, get the whole sets of their members and are compared in full. So every close pair that shares a small
     node is either inside a component or compared on its whole sets. ``first`` may bring candidates (a, b) of another
     search; they are verified like any other.
@@ -386,7 +407,10 @@ def near_components(classes: DataFrame, docs: DataFrame, width: int, percent: in
         if not more:
             break
         if tested:
-            big = stored(mixed_nodes(with_components(big, star_forest(links()))), "mixed")
+            big = stored(with_main_component(mixed_nodes(with_components(big, star_forest(links())))), "mixed")
+            near_one = (F.col("others") <= SMALL // 2) & (F.col("other_shingles") <= SMALL_SHINGLES // 2)
+            dense.append(dealt_to_others(big.where(near_one)))
+            big = big.where(~near_one)
         blocks = blocks_of(F.max("members"), F.max("shingles"))
         cost = big.groupBy("node").agg((F.max("members") * blocks).alias("rows")).agg(F.sum("rows")).first()[0] or 0
         if cost <= budget or level == DEEPEST:
