@@ -219,7 +219,9 @@ def search_grid(grid: DataFrame, weights: np.ndarray, queries: list[tuple[np.nda
                 doc_id = pa.array(best.ids, mask=best.ids == NO_ID)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best.ids), query, np.int32)), doc_id, pa.array(best.scores)], names=["query", "doc_id", "score"])
 
-    found = grid.where("n > 0").select("doc_id", "n", "terms", "counts").mapInArrow(run, "query int, doc_id long, score long")
+    # The grid is small for the work it makes: dealt out anew, in as many parts as there are slices, so that tasks stay alike.
+    parts = max(int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // slice_docs))
+    found = grid.where("n > 0").select("doc_id", "n", "terms", "counts").repartition(parts).mapInArrow(run, "query int, doc_id long, score long")
     return found.withColumn("task", F.spark_partition_id())
 
 
