@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import col, safe_sqrt, sdiv
+from barloom.functions.tails import exact_rank_sum_p, normal_two_sided, t_two_sided
 from barloom.operators.cross_section import (
     average_rank, group_quantiles, largest_group, pct_rank_average, positions, rank_counts, top_k,
 )
@@ -17,18 +18,6 @@ from barloom.operators.components import star_forest
 from barloom.session import attach_row
 
 
-def normal_sf(z: Column) -> Column:
-    """Upper tail of the standard normal for z >= 0 (rational approximation, error below 1e-7)."""
-    t = 1.0 / (1.0 + 0.2316419 * z)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return 0.3989422804014327 * F.exp(-0.5 * z * z) * poly
-
-
-def two_sided_p(z: Column) -> Column:
-    return F.least(F.lit(1.0), 2.0 * normal_sf(F.abs(z))) + 0.0 * z
-
-
-# ---------------------------------------------------------------- summaries
 def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n, win share, mean and median of the known values per group."""
     known = df.where(col(value).isNotNull())
@@ -80,7 +69,7 @@ def payoff(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 # ---------------------------------------------------------------- tests
 def welch(df: DataFrame, value: str, group: str, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Unequal-variance t of group a against b with its degrees of freedom; NULL below 10 per side."""
+    """Unequal-variance t of group a against b, its degrees of freedom and two-sided p; NULL below 10 per side."""
     def part(g: str) -> list[Column]:
         x = F.when(col(group) == g, col(value))
         return [F.count(x).alias(f"n_{g}"), F.avg(x).alias(f"m_{g}"), F.var_samp(x).alias(f"v_{g}")]
@@ -90,11 +79,12 @@ def welch(df: DataFrame, value: str, group: str, a: str, b: str, keys: Sequence[
     enough = (col(f"n_{a}") >= 10) & (col(f"n_{b}") >= 10)
     t = sdiv(col(f"m_{a}") - col(f"m_{b}"), safe_sqrt(ea + eb))
     dof = sdiv((ea + eb) * (ea + eb), ea * ea / (col(f"n_{a}") - 1) + eb * eb / (col(f"n_{b}") - 1))
-    return s.select(*keys, f"n_{a}", f"n_{b}", F.when(enough, t).alias("t"), F.when(enough, dof).alias("dof")).withColumn("p", two_sided_p(col("t")))
+    return s.select(*keys, f"n_{a}", f"n_{b}", F.when(enough, t).alias("t"), F.when(enough, dof).alias("dof")).withColumn("p", t_two_sided(col("t"), col("dof")))
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
-    """U of group a, and a two-sided normal z with tie and continuity correction."""
+    """U of group a, a two-sided normal z with tie and continuity correction, and p: from all orders where both groups
+    are small and have no ties, else from z."""
     both = df.where(col(group).isin(a, b) & col(value).isNotNull()).select(*keys, group, value)
     ranked = rank_counts(both, keys, value, "_")
     r = average_rank(col("_less"), col("_ties"))
@@ -108,7 +98,9 @@ def mann_whitney(df: DataFrame, value: str, group: str, a: str, b: str, keys: Se
     sigma = safe_sqrt(na * nb / 12.0 * ((n + 1) - sdiv("_tie", n * (n - 1))))
     z = sdiv(F.abs(u - na * nb / 2.0) - 0.5, sigma)
     enough = (na >= 10) & (nb >= 10)
-    return s.select(*keys, "n_a", "n_b", u.alias("u"), F.when(enough, z).alias("z")).withColumn("p", two_sided_p(col("z")))
+    out = s.select(*keys, "n_a", "n_b", u.alias("u"), F.when(enough, z).alias("z"), "_tie", na.alias("_na"), nb.alias("_nb"))
+    exact = F.when(col("_tie") == 0, exact_rank_sum_p(col("u"), col("_na"), col("_nb")))
+    return out.withColumn("p", F.coalesce(exact, normal_two_sided(col("z")))).drop("_tie", "_na", "_nb")
 
 
 def proportion_z(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:

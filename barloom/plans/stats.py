@@ -140,25 +140,38 @@ def two_groups(spark, sf_dir):
     return scored(spark, sf_dir).where("fwd is not null").withColumn("g", F.when(F.col("prob") >= 0.7, "a").otherwise("b"))
 
 
+def tail_sql(x: str, density: str, steps: int = 2000) -> str:
+    """Two-sided p of |x| by Simpson's rule over a density in ``y``."""
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    y = f"(abs({x}) * i / {steps})"
+    return f"1.0 - 2.0 * abs({x}) / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * {density.replace('y', y)}))"
+
+
+T_DENSITY = "(exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi()) * pow(1 + y * y / dof, -(dof + 1) / 2))"
+Z_DENSITY = "(exp(-0.5 * y * y) / sqrt(2 * pi()))"
+
+
 @query(
     "welch_t_by_segment", "G1",
-    TWO_SQL + f""", w AS (SELECT seg, count(*) FILTER (WHERE g = 'a') AS na, count(*) FILTER (WHERE g = 'b') AS nb, avg(fwd) FILTER (WHERE g = 'a') AS ma, avg(fwd) FILTER (WHERE g = 'b') AS mb, var_samp(fwd) FILTER (WHERE g = 'a') AS va, var_samp(fwd) FILTER (WHERE g = 'b') AS vb FROM ab GROUP BY 1)
-SELECT seg, na AS n_a, nb AS n_b, {r('(ma - mb) / sqrt(va / na + vb / nb)', 5)} AS t, {r('pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1))', 2)} AS dof FROM w""",
+    TWO_SQL + f""", w AS (SELECT seg, count(*) FILTER (WHERE g = 'a') AS na, count(*) FILTER (WHERE g = 'b') AS nb, avg(fwd) FILTER (WHERE g = 'a') AS ma, avg(fwd) FILTER (WHERE g = 'b') AS mb, var_samp(fwd) FILTER (WHERE g = 'a') AS va, var_samp(fwd) FILTER (WHERE g = 'b') AS vb FROM ab GROUP BY 1),
+x AS (SELECT *, (ma - mb) / sqrt(va / na + vb / nb) AS t, pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS dof FROM w)
+SELECT seg, na AS n_a, nb AS n_b, {r('t', 5)} AS t, {r('dof', 2)} AS dof, {r(tail_sql('t', T_DENSITY), 9)} AS p FROM x""",
 )
 def welch_t_by_segment(spark, sf_dir):
     out = G.welch(two_groups(spark, sf_dir), "fwd", "g", "a", "b", ["seg"])
-    return out.select("seg", "n_a", "n_b", rnd("t", 5).alias("t"), rnd("dof", 2).alias("dof"))
+    return out.select("seg", "n_a", "n_b", rnd("t", 5).alias("t"), rnd("dof", 2).alias("dof"), rnd("p", 9).alias("p"))
 
 
 @query(
     "mann_whitney_by_segment", "G2",
     TWO_SQL + f""", k AS (SELECT *, rank() OVER (PARTITION BY seg ORDER BY fwd) + (count(*) OVER (PARTITION BY seg, fwd) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY seg, fwd) AS t FROM ab),
-u AS (SELECT seg, count(*) FILTER (WHERE g = 'a') AS na, count(*) FILTER (WHERE g = 'b') AS nb, sum(rk) FILTER (WHERE g = 'a') AS ra, sum(t * t - 1) AS tie FROM k GROUP BY 1)
-SELECT seg, na AS n_a, nb AS n_b, {r('ra - na * (na + 1) / 2.0', 1)} AS u, {r('(abs(ra - na * (na + 1) / 2.0 - na * nb / 2.0) - 0.5) / sqrt(na * nb / 12.0 * ((na + nb + 1) - tie / ((na + nb) * (na + nb - 1.0))))', 5)} AS z FROM u""",
+u AS (SELECT seg, count(*) FILTER (WHERE g = 'a') AS na, count(*) FILTER (WHERE g = 'b') AS nb, sum(rk) FILTER (WHERE g = 'a') AS ra, sum(t * t - 1) AS tie FROM k GROUP BY 1),
+x AS (SELECT *, ra - na * (na + 1) / 2.0 AS u, (abs(ra - na * (na + 1) / 2.0 - na * nb / 2.0) - 0.5) / sqrt(na * nb / 12.0 * ((na + nb + 1) - tie / ((na + nb) * (na + nb - 1.0)))) AS z FROM u)
+SELECT seg, na AS n_a, nb AS n_b, {r('u', 1)} AS u, {r('z', 5)} AS z, {r(tail_sql('z', Z_DENSITY), 9)} AS p FROM x""",
 )
 def mann_whitney_by_segment(spark, sf_dir):
     out = G.mann_whitney(two_groups(spark, sf_dir), "fwd", "g", "a", "b", ["seg"])
-    return out.select("seg", "n_a", "n_b", rnd("u", 1).alias("u"), rnd("z", 5).alias("z"))
+    return out.select("seg", "n_a", "n_b", rnd("u", 1).alias("u"), rnd("z", 5).alias("z"), rnd("p", 9).alias("p"))
 
 
 @query(
