@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,15 +109,44 @@ def poisson_weight(seed: int, *cols: str):
     return out
 
 
-def day_bootstrap(per_day: DataFrame, total: str, count: str, draws: int, seed: int, day: str = "d") -> DataFrame:
-    """Means of ``draws`` day-resampled copies: each day is repeated Poisson(1) times per draw.
+#: Cumulative law of Poisson(1), to the last double below 1: a uniform is turned into a count by its place here.
+POISSON_ONE = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(19)])
+#: Days whose weights of all draws a task holds at a time.
+BOOTSTRAP_DAYS = 32
 
-    Input is one row per day, so the expansion is days x draws and never touches events.
-    """
-    w = poisson_weight(seed, "draw", day)
-    spread = per_day.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_w", w)
-    sums = spread.groupBy("draw").agg(F.sum(F.col("_w") * F.col(total)).alias("_s"), F.sum(F.col("_w") * F.col(count)).alias("_c"))
-    return sums.select("draw", F.try_divide("_s", F.col("_c").cast("double")).alias("mean"))
+
+def replicate_weights(days: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """How often each day (a 64-bit hash) counts in each draw: Poisson(1), fixed by seed, day and draw."""
+    mixed = days.astype(np.uint64)[:, None] ^ (np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03))[None, :]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    uniform = ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
+    return np.searchsorted(POISSON_ONE, uniform, side="right").astype(np.float64)
+
+
+def replicate_sums(per_day: DataFrame, values: Sequence[str], draws: int, seed: int, day: str = "d") -> DataFrame:
+    """(draw, values): sums of every draw. A task adds up the vectors of all draws over its days and hands on one row, so what
+    moves is tasks x draws, whatever the number of days."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(values), draws))
+        for batch in batches:
+            hashes = batch.column("_h").to_numpy(zero_copy_only=False).view(np.uint64)
+            x = np.stack([batch.column(v).to_numpy(zero_copy_only=False).astype(np.float64) for v in values])
+            for at in range(0, len(hashes), BOOTSTRAP_DAYS):
+                total += x[:, at : at + BOOTSTRAP_DAYS] @ replicate_weights(hashes[at : at + BOOTSTRAP_DAYS], draws, seed)
+        yield pa.RecordBatch.from_arrays([pa.array([row], pa.list_(pa.float64())) for row in total], names=list(values))
+
+    rows = per_day.select(F.xxhash64(day).alias("_h"), *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values])
+    vectors = rows.mapInArrow(run, ", ".join(f"{v} array<double>" for v in values))
+    each = vectors.select(F.posexplode(F.arrays_zip(*values)).alias("draw", "x")).select((F.col("draw") + 1).alias("draw"), "x.*")
+    return each.groupBy("draw").agg(*[F.sum(v).alias(v) for v in values])
+
+
+def day_bootstrap(per_day: DataFrame, total: str, count: str, draws: int, seed: int, day: str = "d") -> DataFrame:
+    """Means of ``draws`` day-resampled copies: each day is repeated Poisson(1) times per draw."""
+    sums = replicate_sums(per_day, [total, count], draws, seed, day)
+    return sums.select("draw", F.try_divide(total, count).alias("mean"))
 
 
 def shuffled_within(df: DataFrame, keys: Sequence[str], column: str, identity: Sequence[str], seed: int, out: str) -> DataFrame:

@@ -424,7 +424,8 @@ def describe_pairs(pairs: DataFrame) -> DataFrame:
     return out.select(
         "sym", F.col("low_pos"), "d", F.col("p.low_pos").alias("prev_pos"), F.col("p.d").alias("prev_d"), F.col("rank").cast("long").alias("rank"),
         "decline", "rise", "formation",
-        (F.col("formation") < 3).cast("long").alias("is_quick"),
+        # The detector's own flag, and the wider one of the daily pipeline.
+        (F.col("formation") < 3).cast("long").alias("is_quick"), (F.col("formation") <= 3).cast("long").alias("quick_pair"),
         (F.least(F.lit(1.0), F.abs("decline") / 0.1) * 0.4 + F.least(F.lit(1.0), F.col("rise") / 0.1) * 0.6).alias("strength"),
         F.when(F.col("volume") < F.col("p.volume"), "bullish").when(F.col("volume") > F.col("p.volume") * 1.5, "bearish").otherwise("neutral").alias("volume_signal"),
         F.abs(F.col("rise") / floor).alias("ratio"),

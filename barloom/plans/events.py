@@ -134,18 +134,18 @@ pc3 AS (SELECT *, (close - pc) / pc AS decline, CASE WHEN pm = 0 THEN 0 ELSE (di
 pairs AS (SELECT *, least(1.0, abs(decline) / 0.1) * 0.4 + least(1.0, rise / 0.1) * 0.6 AS strength,
  CASE WHEN vol < pv THEN 'bullish' WHEN vol > pv * 1.5 THEN 'bearish' ELSE 'neutral' END AS volume_signal,
  abs(rise / CASE WHEN abs(decline) > 1e-6 THEN decline ELSE 1e-6 END) AS ratio, (abs(decline) + abs(rise)) / 2.0 AS magnitude,
- CAST(decline < -0.02 AND rise > 0.01 AS BIGINT) AS confirmed, CAST(formation < 3 AS BIGINT) AS is_quick FROM pc3)"""
+ CAST(decline < -0.02 AND rise > 0.01 AS BIGINT) AS confirmed, CAST(formation < 3 AS BIGINT) AS is_quick, CAST(formation <= 3 AS BIGINT) AS quick_pair FROM pc3)"""
 
 
 PAIR_COLS = (f"sym, CAST(d AS VARCHAR) AS d, CAST(prev_d AS VARCHAR) AS prev_d, {longs_sql('low_pos', 'prev_pos', 'rank', 'formation')}, "
-             f"{r('decline')} AS decline, {r('rise', 4)} AS rise, {r('strength', 4)} AS strength, volume_signal, {r('magnitude', 4)} AS magnitude, confirmed, is_quick")
+             f"{r('decline')} AS decline, {r('rise', 4)} AS rise, {r('strength', 4)} AS strength, volume_signal, {r('magnitude', 4)} AS magnitude, confirmed, is_quick, quick_pair")
 
 
 def _pairs_out(pairs):
     return pairs.select(
         "sym", F.col("d").cast("string").alias("d"), F.col("prev_d").cast("string").alias("prev_d"), *longs(pairs, "low_pos", "prev_pos", "rank", "formation"),
         rnd("decline").alias("decline"), rnd("rise", 4).alias("rise"), rnd("strength", 4).alias("strength"), "volume_signal",
-        rnd("magnitude", 4).alias("magnitude"), "confirmed", "is_quick",
+        rnd("magnitude", 4).alias("magnitude"), "confirmed", "is_quick", "quick_pair",
     )
 
 

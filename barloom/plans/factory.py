@@ -90,14 +90,23 @@ _register("R", (20, 60), "generated_return")
 _register("RETID", (10,), "generated_intraday_return")
 _register("HLR", (20,), "generated_high_low_ratio")
 
-_PAIR_NAMES = {f"CORR_{a}_{b}_{w}": ("corr", a, b, w) for a, b in FX.CORR_PAIRS for w in (20, 60)}
-_PAIR_NAMES |= {f"COV_{a}_{b}_{w}": ("cov", a, b, w) for a, b in FX.COV_PAIRS for w in (20, 60)}
-PAIR_SQL = S.with_bars(
-    S.BRAND_WEEK, S.adjusted(), FIELD_SQL,
-    f"ib AS ({S.INDEX_WEEK})",
-    "ir AS (SELECT d, close / lag(close) OVER (ORDER BY d) - 1.0 AS RIDX FROM ib)",
-    "fi AS (SELECT f.*, ir.RIDX FROM fields f LEFT JOIN ir USING (d))",
-) + shown_sql("fi", {n: corr_sql(SQL_NAME.get(a, a), SQL_NAME.get(b, b), w, k) for n, (k, a, b, w) in _PAIR_NAMES.items()}, 5)
+#: The windows registered above, by field; all others follow here, so that every field is compared in every window.
+_ABOVE = {"CLOSE": (5, 20), "HIGH": (10,), "VWAP": (10,), "A": (5, 30), "LOGV": (10,), "R": (20, 60), "RETID": (10,), "HLR": (20,)}
+#: Digits compared where six don't fit: volumes are multiples of 1/64, which six digits cut in halves; the skewness of three
+#: nearly equal logarithms is known to four.
+_DIGITS = {"V": 7, "LOGV": 4}
+for _field in FX.FIELDS:
+    _register(_field, tuple(w for w in FX.WINDOWS if w not in _ABOVE.get(_field, ())), f"generated_rest_of_{_field.lower()}", _DIGITS.get(_field, 6))
+
+def pair_moments_sql(windows: tuple[int, ...]) -> str:
+    names = {f"CORR_{a}_{b}_{w}": ("corr", a, b, w) for a, b in FX.CORR_PAIRS for w in windows}
+    names |= {f"COV_{a}_{b}_{w}": ("cov", a, b, w) for a, b in FX.COV_PAIRS for w in windows}
+    return S.with_bars(
+        S.BRAND_WEEK, S.adjusted(), FIELD_SQL,
+        f"ib AS ({S.INDEX_WEEK})",
+        "ir AS (SELECT d, close / lag(close) OVER (ORDER BY d) - 1.0 AS RIDX FROM ib)",
+        "fi AS (SELECT f.*, ir.RIDX FROM fields f LEFT JOIN ir USING (d))",
+    ) + shown_sql("fi", {n: corr_sql(SQL_NAME.get(a, a), SQL_NAME.get(b, b), w, k) for n, (k, a, b, w) in names.items()}, 5)
 
 
 def index_returns(index):
@@ -105,13 +114,22 @@ def index_returns(index):
     return index.select("d", (sdiv("close", B.ref("close", 1)) - 1.0).alias("RIDX"))
 
 
-@query("generated_pair_moments", "F4 W20 J11 J28", PAIR_SQL)
-def generated_pair_moments(spark, sf_dir):
+def pair_moments(spark, sf_dir, windows):
     fields = FX.base_fields(adjust(bars_brand_week(spark, sf_dir)), index_returns(index_bars(spark, sf_dir)))
-    out = FX.pair_features(fields, (20, 60))
+    out = FX.pair_features(fields, windows)
     return shown(out, {c: F.col(c) for c in out.columns if c not in ("sym", "d")}, 5)
 
 
+@query("generated_pair_moments", "F4 W20 J11 J28", pair_moments_sql((20, 60)))
+def generated_pair_moments(spark, sf_dir):
+    return pair_moments(spark, sf_dir, (20, 60))
+
+
+@query("generated_rest_of_pairs", "F4 W20 J11 J28", pair_moments_sql((3, 5, 10, 30)))
+def generated_rest_of_pairs(spark, sf_dir):
+    return pair_moments(spark, sf_dir, (3, 5, 10, 30))
+
+
 SHAPE_SQL = {
     "KBAR_KMID": "(close - open) / open", "KBAR_KLEN": "(high - low) / open",
     "KBAR_KMID2": "(close - open) / (high - low + 1e-12::DOUBLE)",

@@ -315,12 +315,10 @@ def daily_hits_and_turnover(spark, sf_dir):
 @query(
     "neutral_long_short", "G29 W43",
     SCORED_SQL + f""", k AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY prob DESC, sym) AS hi, row_number() OVER (PARTITION BY d ORDER BY prob, sym) AS lo, dense_rank() OVER (ORDER BY d) AS dn FROM sc WHERE fwd IS NOT NULL)
-SELECT CAST(d AS VARCHAR) AS d, {r('avg(CASE WHEN hi <= 10 THEN fwd END) - avg(CASE WHEN lo <= 10 THEN fwd END) - 0.002')} AS long_short, {r('avg(CASE WHEN hi <= 10 THEN fwd END) - avg(fwd) - 0.002')} AS top_minus_universe FROM k WHERE (dn - 1) % 4 = 0 GROUP BY d""",
+SELECT CAST(d AS VARCHAR) AS d, {r('avg(CASE WHEN hi <= 10 THEN fwd END) - avg(CASE WHEN lo <= 10 THEN fwd END) - 0.002')} AS long_short, {r('avg(CASE WHEN hi <= 10 THEN fwd END) - avg(fwd) - 0.002')} AS top_minus_universe FROM k GROUP BY d""",
 )
 def neutral_long_short(spark, sf_dir):
-    df = scored(spark, sf_dir).where("fwd is not null")
-    cal = SRC.calendar(df).where(F.pmod(F.col("cal_pos") - 1, F.lit(4)) == 0).select("d")
-    return rounded(G.long_short(df.join(F.broadcast(cal), "d", "left_semi"), "prob", "fwd", 10, 0.002))
+    return rounded(G.long_short(scored(spark, sf_dir).where("fwd is not null"), "prob", "fwd", 10, 0.002))
 
 
 @query(
@@ -499,8 +497,10 @@ def duplicate_key_audit(spark, sf_dir):
 @query(
     "segment_integrity_check", "G24 P4",
     SCORED_SQL + """, cal AS (SELECT d, row_number() OVER (ORDER BY d) AS p FROM (SELECT DISTINCT d FROM sc)), s AS (SELECT seg, min(p) AS lo, max(p) AS hi FROM sc JOIN cal USING (d) GROUP BY 1)
-SELECT CAST(0 AS BIGINT) AS wrong_segment, CAST(0 AS BIGINT) AS in_embargo, CAST((SELECT lo FROM s WHERE seg = 'val') - (SELECT hi FROM s WHERE seg = 'train') - 1 AS BIGINT) AS gap_train_val,
- CAST((SELECT lo FROM s WHERE seg = 'test') - (SELECT hi FROM s WHERE seg = 'val') - 1 AS BIGINT) AS gap_val_test, CAST(0 AS BIGINT) AS gaps_ok""",
+SELECT (SELECT count(*) FROM sc WHERE seg IS DISTINCT FROM CASE WHEN d <= DATE '1997-12-31' THEN 'train' WHEN d BETWEEN DATE '1998-01-01' AND DATE '1999-12-31' THEN 'val' WHEN d >= DATE '2000-01-01' THEN 'test' ELSE 'embargo' END) AS wrong_segment,
+ (SELECT count(*) FROM sc WHERE seg = 'embargo') AS in_embargo, CAST((SELECT lo FROM s WHERE seg = 'val') - (SELECT hi FROM s WHERE seg = 'train') - 1 AS BIGINT) AS gap_train_val,
+ CAST((SELECT lo FROM s WHERE seg = 'test') - (SELECT hi FROM s WHERE seg = 'val') - 1 AS BIGINT) AS gap_val_test,
+ CAST((SELECT lo FROM s WHERE seg = 'val') - (SELECT hi FROM s WHERE seg = 'train') - 1 >= 30 AND (SELECT lo FROM s WHERE seg = 'test') - (SELECT hi FROM s WHERE seg = 'val') - 1 >= 30 AS BIGINT) AS gaps_ok""",
 )
 def segment_integrity_check(spark, sf_dir):
     rule = Segments.of(train=(None, "1997-12-31"), val=("1998-01-01", "1999-12-31"), test=("2000-01-01", None))
