@@ -117,7 +117,7 @@ BOOTSTRAP_DAYS = 32
 
 def replicate_weights(days: np.ndarray, draws: int, seed: int) -> np.ndarray:
     """How often each day (a 64-bit hash) counts in each draw: Poisson(1), fixed by seed, day and draw."""
-    mixed = days.astype(np.uint64)[:, None] ^ (np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03))[None, :]
+    mixed = days.astype(np.uint64)[:, None] ^ (np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD1B54A32D192ED03 % (1 << 64)))[None, :]
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
     uniform = ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53

@@ -8,17 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import col
-from barloom.operators.stats import segment_metrics
-from barloom.session import attach_row, cut_lineage
+from barloom.operators.stats import precision_at_k, segment_metrics
+from barloom.session import attach_row, cut_lineage, stored
 
 
 @dataclass(frozen=True)
@@ -172,3 +174,57 @@ def median_threshold(train: DataFrame, feature: str, label: str) -> DataFrame:
     from barloom.operators.cross_section import group_quantiles
 
     return group_quantiles(train.where((col(label) == 1) & col(feature).isNotNull()), [], feature, {"theta": 0.5})
+
+
+# ---------------------------------------------------------------- ladder of refits
+# Sizes tried of a ranked feature list, and the fewest features a ladder starts with.
+LADDER = (5, 10, 15, 20, 25, 30, 40, 50, 75, 100, 150, 200, 300, 500, 750, 1000, 1500)
+FEWEST = 5
+#: Fits that run at the same time; each is a job of its own over the same stored vectors.
+FITS_AT_ONCE = 4
+
+
+def ladder_sizes(n: int) -> list[int]:
+    """The sizes of the ladder up to ``n`` features, and ``n`` itself."""
+    if n < FEWEST:
+        raise ValueError(f"{n} features are too few for a ladder")
+    return sorted({k for k in LADDER if k <= n} | {n})
+
+
+def refit_ladder(train: DataFrame, val: DataFrame, ranked: Sequence[str], label: str, params: TreeParams, tie: Sequence[str], top: int = 5) -> DataFrame:
+    """(k, precision): a model of the first ``k`` ranked features for every size, scored by the mean daily precision on ``val``.
+
+    Missing values are filled and features put into one vector once; every size slices the same stored vectors.
+    """
+    filled = Pipeline(stages=_stages(ranked)).fit(train)
+    columns = [*tie, "d", label, "_features"]
+    both = [stored(filled.transform(df.where(col(label).isNotNull())).select(*columns), "ladder-vectors") for df in (train, val)]
+
+    def fit(k: int) -> DataFrame:
+        cut = VectorSlicer(inputCol="_features", outputCol="_cut", indices=list(range(k)))
+        trees = GBTClassifier(featuresCol="_cut", labelCol=label, maxIter=params.max_rounds, maxDepth=params.depth, stepSize=params.step, seed=params.seed, predictionCol="_pred")
+        model = trees.setProbabilityCol("_prob").setRawPredictionCol("_raw").fit(cut.transform(both[0]))
+        scored = model.transform(cut.transform(both[1])).withColumn("prob", F.get(vector_to_array("_prob"), F.lit(1)))
+        return precision_at_k(scored, "prob", label, top, tie=tie).select(F.lit(k).cast("long").alias("k"), F.col("precision_day").alias("precision"))
+
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        rows = pool.map(fit, ladder_sizes(len(ranked)))
+    return cut_lineage(reduce(DataFrame.unionByName, rows))
+
+
+def with_elbow(curve: DataFrame, k: str = "k", value: str = "precision") -> DataFrame:
+    """``curve`` with each point's distance to the line through its first and last point over log2(k), and ``chosen`` on the
+    farthest one; of equally far ones the smallest k. Sizes must differ; one point is its own elbow."""
+    counts = curve.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(k).alias("sizes"), F.count(value).alias("known")).first()
+    if not counts["n"] == counts["sizes"] == counts["known"]:
+        raise ValueError("a curve has one known value for every size")
+    end = F.struct(F.log2(k).alias("x"), F.col(value).cast("double").alias("y"))
+    placed = attach_row(curve, curve.agg(F.min_by(end, k).alias("_a"), F.max_by(end, k).alias("_b")))
+    dx, dy = F.col("_b.x") - F.col("_a.x"), F.col("_b.y") - F.col("_a.y")
+    away = F.abs(dx * (F.col(value) - F.col("_a.y")) - dy * (F.log2(k) - F.col("_a.x"))) / F.sqrt(dx * dx + dy * dy)
+    placed = placed.withColumn("distance", F.when(dx > 0, away).otherwise(F.lit(0.0))).drop("_a", "_b")
+    far = placed.agg(F.max("distance").alias("_far"))
+    near_far = F.col("distance") >= F.col("_far") - 1e-12 * F.greatest(F.lit(1.0), F.col("_far"))
+    tied = attach_row(placed, far).withColumn("_tied", near_far)
+    first = tied.agg(F.min(F.when(F.col("_tied"), F.col(k))).alias("_first"))
+    return attach_row(tied, first).withColumn("chosen", F.col(k) == F.col("_first")).drop("_far", "_tied", "_first")

@@ -65,8 +65,8 @@ def normalised_sql(op: str, field: str, w: int) -> str:
     return e
 
 
-def _register(field: str, windows: tuple[int, ...], name: str, digits: int = 6) -> None:
-    cols = {f"{op}_{field}_{w}": normalised_sql(op, field, w) for w in windows for op in FX.OPS}
+def _register(field: str, windows: tuple[int, ...], name: str, digits: int = 6, ops: tuple[str, ...] = FX.OPS) -> None:
+    cols = {f"{op}_{field}_{w}": normalised_sql(op, field, w) for w in windows for op in ops}
     if field in FX.RETURN_FIELDS:
         x = SQL_NAME.get(field, field)
         for w in windows:
@@ -78,7 +78,7 @@ def _register(field: str, windows: tuple[int, ...], name: str, digits: int = 6)
     def run(spark, sf_dir):
         fields = FX.base_fields(adjust(bars_supp_month(spark, sf_dir)))
         out = FX.field_features(fields, field, windows)
-        return shown(out, {c: F.col(c) for c in out.columns if c not in ("sym", "d")}, digits)
+        return shown(out, {c: F.col(c) for c in cols}, digits)
 
 
 _register("CLOSE", (5, 20), "generated_adjusted_close")
@@ -92,11 +92,15 @@ _register("HLR", (20,), "generated_high_low_ratio")
 
 #: The windows registered above, by field; all others follow here, so that every field is compared in every window.
 _ABOVE = {"CLOSE": (5, 20), "HIGH": (10,), "VWAP": (10,), "A": (5, 30), "LOGV": (10,), "R": (20, 60), "RETID": (10,), "HLR": (20,)}
-#: Digits compared where six don't fit: volumes are multiples of 1/64, which six digits cut in halves; the skewness of three
-#: nearly equal logarithms is known to four.
-_DIGITS = {"V": 7, "LOGV": 4}
 for _field in FX.FIELDS:
-    _register(_field, tuple(w for w in FX.WINDOWS if w not in _ABOVE.get(_field, ())), f"generated_rest_of_{_field.lower()}", _DIGITS.get(_field, 6))
+    _rest = tuple(w for w in FX.WINDOWS if w not in _ABOVE.get(_field, ()))
+    if _field == "V":
+        # Means of volumes end in a 5 at the seventh or eighth digit, where rounding would cut them in halves; moments of
+        # three nearly equal values are known to four digits.
+        _register("V", _rest, "generated_rest_of_v", 9, tuple(op for op in FX.OPS if op not in ("SKEW", "KURT")))
+        _register("V", _rest, "generated_rest_of_v_moments", 4, ("SKEW", "KURT"))
+    else:
+        _register(_field, _rest, f"generated_rest_of_{_field.lower()}", 4 if _field == "LOGV" else 6)
 
 def pair_moments_sql(windows: tuple[int, ...]) -> str:
     names = {f"CORR_{a}_{b}_{w}": ("corr", a, b, w) for a, b in FX.CORR_PAIRS for w in windows}

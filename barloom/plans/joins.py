@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barloom.functions.rolling import BARS as B
@@ -11,7 +13,9 @@ from barloom.plans import sqltext as S
 from barloom.plans.registry import query
 from barloom.plans.sqltext import r
 from barloom.plans.util import shown
+from barloom.session import ensure_checkpoint_dir, stored
 from barloom.sources import bars as SRC
+from barloom.sources import tables as T
 
 # One interval per user and day of its signup/error events; the last event of the day names it; it ends when the next one starts.
 STATUS_SQL = """st0 AS (SELECT user_id AS sym, CAST(ts AS DATE) AS start, arg_max(event_type, row(ts, event_id)) AS kind FROM events WHERE event_type IN ('signup', 'error') GROUP BY 1, 2),
@@ -210,6 +214,29 @@ def limits_at_event_dates(spark, sf_dir):
     return shown(out, {"up": F.col("up_limit"), "down": F.col("down_limit")}, 4)
 
 
+@query(
+    "limits_from_dated_table", "S4 S19",
+    S.with_bars(S.SUPP_MONTH, S.adjusted(), "c AS (SELECT *, dense_rank() OVER (ORDER BY d) AS p FROM adj)", "lim AS (SELECT sym, d, pre_close * 1.1 AS up, pre_close * 0.9 AS down FROM c WHERE p % 17 <> 0)",
+                "ev AS (SELECT sym, d FROM c WHERE pct > 150)")
+    + f"SELECT ev.sym, CAST(ev.d AS VARCHAR) AS d, {r('up', 4)} AS up, {r('down', 4)} AS down FROM ev LEFT JOIN lim ON lim.sym = ev.sym AND lim.d = ev.d",
+)
+def limits_from_dated_table(spark, sf_dir):
+    """Limits written by day, and read back for the days of the events only."""
+    events, table = events_and_dated_limits(spark, sf_dir)
+    out = events.join(T.rows_of_days(table, events), ["sym", "d"], "left")
+    return shown(out, {"up": F.col("up_limit"), "down": F.col("down_limit")}, 4)
+
+
+def events_and_dated_limits(spark, sf_dir):
+    """(large moves, the limit table as a folder per day)."""
+    from barloom.plans.sources import limits_of
+
+    adj = stored(SRC.adjust(SRC.bars_supp_month(spark, sf_dir)), "dated-bars")
+    folder = f"{ensure_checkpoint_dir(spark)}/limits-{uuid.uuid4().hex}"
+    T.write_by_day(limits_of(adj, SRC.calendar(adj)), folder)
+    return adj.where("pct > 150").select("sym", "d"), spark.read.parquet(folder)
+
+
 @query(
     "labels_joined_by_key", "J25 J26 J18",
     """WITH d AS (SELECT doc_id, source, lang, n_chars FROM documents) SELECT source, count(*) AS docs, count(quality) AS labelled, CAST(sum(quality) AS DOUBLE) AS good, count(*) FILTER (WHERE quality IS NULL) AS unlabelled FROM d LEFT JOIN labels USING (doc_id) GROUP BY 1""",

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.functions.rolling import BARS as B
 from barloom.functions.scalar import rnd
 from barloom.operators import model as K
 from barloom.operators import stats as G
+from barloom.operators.cross_section import positions
+from barloom.plans import sqltext as S
 from barloom.plans.registry import query
 from barloom.plans.sqltext import r
 from barloom.plans.stats import SCORED_SQL, scored
 from barloom.session import attach_row, cut_lineage
+from barloom.sources import bars as SRC
 
 FEATURES = ("mom", "vol10", "amount", "vol", "prob")
 QUICK = K.TreeParams(max_rounds=4, depth=2)
@@ -96,3 +100,43 @@ def median_threshold_rule(spark, sf_dir):
     return both.groupBy("seg").agg(rnd(F.first("theta")).alias("theta"), F.count(F.lit(1)).alias("n"), rnd(F.avg(ok.cast("double"))).alias("accepted"), rnd(F.avg(F.when(ok, F.col("lab")))).alias("hit"))
 
 
+
+
+def many_features(spark, sf_dir):
+    """The scored panel with windows of the monthly bars, twelve features in all."""
+    adj = SRC.adjust(SRC.bars_supp_month(spark, sf_dir))
+    windows = {f"move{n}": B.pct_change("cf", n) for n in (1, 2, 3, 8)} | {f"calm{n}": B.agg("std", "r", n) for n in (4, 6)} | {"drift6": B.agg("mean", "r", 6)}
+    wide = adj.select("sym", "d", *[c.alias(n) for n, c in windows.items()])
+    return cut_lineage(scored(spark, sf_dir).where("lab is not null").join(wide, ["sym", "d"])), [*FEATURES, *windows]
+
+
+@query("refit_ladder", "G18 G19 K3")
+def refit_ladder(spark, sf_dir):
+    """Models of the first 5, 10 and 12 features by importance, their daily precision on validation, and the elbow."""
+    df, names = many_features(spark, sf_dir)
+    train, val = df.where("seg = 'train'"), df.where("seg = 'val'")
+    found = [f for _, f, _ in K.importance_ranking(K.fit_trees(train, names, "lab", K.TreeParams(max_rounds=5, depth=3)), names)]
+    ranked = [*found, *[n for n in names if n not in found]]
+    curve = K.with_elbow(K.refit_ladder(train, val, ranked, "lab", QUICK, ["sym"]))
+    return curve.select("k", rnd("precision").alias("precision"), rnd("distance").alias("distance"), F.col("chosen").cast("long").alias("chosen"))
+
+
+@query(
+    "elbow_of_turnover_share", "G19 A16",
+    S.with_bars(S.SUPP_MONTH).rstrip() + f""", a AS (SELECT sym, sum(amount) AS s FROM bars GROUP BY 1), o AS (SELECT row_number() OVER (ORDER BY s DESC, sym) AS k, sum(s) OVER (ORDER BY s DESC, sym ROWS UNBOUNDED PRECEDING) / sum(s) OVER () AS share FROM a),
+n AS (SELECT max(k) AS n FROM o), c AS (SELECT k, share FROM o, n WHERE k IN {K.LADDER} OR k = n), e AS (SELECT arg_min(share, k) AS y0, arg_max(share, k) AS y1, log2(min(k)) AS x0, log2(max(k)) AS x1 FROM c),
+d AS (SELECT k, share, abs((x1 - x0) * (share - y0) - (y1 - y0) * (log2(k) - x0)) / sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS distance FROM c, e)
+SELECT k, {r('share')} AS share, {r('distance')} AS distance, CAST(k = (SELECT min(k) FROM d WHERE distance >= (SELECT max(distance) FROM d) - 1e-12) AS BIGINT) AS chosen FROM d""",
+)
+def elbow_of_turnover_share(spark, sf_dir):
+    """The share of all turnover that the k largest symbols hold, at the sizes of the ladder, and its elbow."""
+    sums = SRC.bars_supp_month(spark, sf_dir).groupBy("sym").agg(F.sum("amount").alias("s"))
+    placed = cut_lineage(positions(sums.withColumns({"minus": -F.col("s"), "all": F.lit(1)}), ["all"], ["minus", "sym"], "k"))
+    sizes = K.ladder_sizes(placed.agg(F.max("k_n")).first()[0])
+    ladder = spark.createDataFrame([(k,) for k in sizes], "size int")
+    # Each symbol counts towards the ladder sizes at or above its place: a lookup of at most one row per size.
+    reach = placed.withColumn("size", F.explode(F.filter(F.lit(sizes), lambda x: x >= F.col("k"))))
+    held = reach.groupBy("size").agg(F.sum("s").alias("held")).join(ladder, "size")
+    curve = attach_row(held, sums.agg(F.sum("s").alias("total"))).select(F.col("size").cast("long").alias("k"), (F.col("held") / F.col("total")).alias("share"))
+    out = K.with_elbow(curve, "k", "share")
+    return out.select("k", rnd("share").alias("share"), rnd("distance").alias("distance"), F.col("chosen").cast("long").alias("chosen"))

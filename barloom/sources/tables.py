@@ -63,6 +63,15 @@ def write_by_day(df: DataFrame, path: str, day: str = "d") -> None:
     )
 
 
+def rows_of_days(table: DataFrame, wanted: DataFrame, day: str = "d") -> DataFrame:
+    """Rows of a table partitioned by day on the days of ``wanted``.
+
+    Join on the partition column: Spark reads the wanted days first and lists only their folders (dynamic partition
+    pruning), so what is read follows the events, not the table's history. ``wanted`` shrinks to one row per day.
+    """
+    return table.join(F.broadcast(wanted.select(day).distinct()), day, "left_semi")
+
+
 def compact(df: DataFrame, digits: int = 4) -> DataFrame:
     """Double columns rounded and stored as float; the input is untouched."""
     return df.select(
