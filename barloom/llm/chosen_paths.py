@@ -26,7 +26,7 @@ TREES = 8
 SMALL, SMALL_SHINGLES = 512, 1 << 22
 #: Levels of branching; nodes that are still large then are compared block by block, and so are large nodes whose
 #: blocks together have no more than BLOCK_ROWS rows for each row of the first level.
-DEEPEST, BLOCK_ROWS = 8, 0.1
+DEEPEST, BLOCK_ROWS = 8, 0.5
 #: Members per large node that all others are held against.
 LEADERS = 4
 STEP = 2048
