@@ -352,3 +352,44 @@ def test_a_megabyte_of_tags_is_linear():
         begin = time.time()
         license_scan.scan(text.encode(), find)
         assert time.time() - begin < 5
+
+
+def ngram_counts(text):
+    """The definition of the features: folded text between blanks, byte 2- to 4-grams, one hash each."""
+    import re as plain
+
+    line = " " + " ".join(plain.sub(r"[\x00-\x60\x7b-\x7f]", " ", plain.sub(r"[A-Z]", lambda m: m[0].lower(), text)).split(" ")) + " "
+    line = plain.sub(" +", " ", line)
+    data, out = line.encode(), {}
+    for n in (2, 3, 4):
+        for i in range(len(data) - n + 1):
+            code = data[i]
+            for b in data[i + 1 : i + n]:
+                code = (code * 257 + b) % 2**32
+            f = (code * 2654435761 % 2**32 >> 20) ^ n
+            out[f] = out.get(f, 0) + 1
+    return out
+
+
+def test_nearest_centroid_by_hand(odd, corpus):
+    import math
+
+    idf, names, centres = language_id.train(corpus, per_language=40, k=3, rounds=2)
+    texts = [t for _, t in pairs(odd) if t and len(t) < 2000] + [t for _, t in pairs(corpus) if t and len(t) < 300][:25]
+    got = language_id.nearest([t.encode() for t in texts], (idf, names, centres))
+    for text, lang, score in zip(texts, *got[:2]):
+        counts = ngram_counts(text)
+        w = {f: (1 + math.log(c)) * float(idf[f]) for f, c in counts.items()}
+        size = math.sqrt(sum(v * v for v in w.values())) or 1.0
+        near = [sum(v / size * float(centre[f]) for f, v in w.items()) for centre in centres]
+        if any(ch.isalpha() for ch in text):
+            assert score == pytest.approx(min(1.0, max(near)), abs=1e-4)
+            assert near[names.index(lang)] <= max(near) and max(n for n, x in zip(near, names) if x == lang) == pytest.approx(max(near), abs=1e-4)
+        else:
+            assert (lang, score) == ("und", 0.0)
+
+
+def test_openings_are_the_same_for_every_text():
+    assert list(language_id.openings(b"a b c d e")) == [b"a", b"a b", b"a b c d", b"a b c d e"]
+    assert list(language_id.openings(b"a b c d f")) == [b"a", b"a b", b"a b c d", b"a b c d f"]
+    assert list(language_id.openings(b"")) == [b""]
