@@ -607,6 +607,25 @@ def two_pool_elimination(spark, sf_dir):
     return kept("train").intersect(kept("val"))
 
 
+@query(
+    "two_pool_two_rounds", "RP14",
+    SCORED_SQL + """, a AS (SELECT sym, avg(mom) AS s FROM sc WHERE seg = 'train' GROUP BY 1), b AS (SELECT sym, avg(mom) AS s FROM sc WHERE seg = 'val' GROUP BY 1),
+pa AS (SELECT sym, s, (rank() OVER (ORDER BY s) - 1 + (count(*) OVER (PARTITION BY s) + 1) / 2.0) / count(*) OVER () AS p FROM a WHERE s IS NOT NULL), pb AS (SELECT sym, s, (rank() OVER (ORDER BY s) - 1 + (count(*) OVER (PARTITION BY s) + 1) / 2.0) / count(*) OVER () AS p FROM b WHERE s IS NOT NULL),
+one AS (SELECT pa.sym, pa.s AS sa, pb.s AS sb FROM pa JOIN pb USING (sym) WHERE pa.p > 0.5 AND pb.p > 0.5),
+two AS (SELECT *, (rank() OVER (ORDER BY sa) - 1 + (count(*) OVER (PARTITION BY sa) + 1) / 2.0) / count(*) OVER () AS p, (rank() OVER (ORDER BY sb) - 1 + (count(*) OVER (PARTITION BY sb) + 1) / 2.0) / count(*) OVER () AS q FROM one)
+SELECT sym, CAST(p > 0.25 AND q > 0.25 AS BIGINT) AS second_round FROM two""",
+)
+def two_pool_two_rounds(spark, sf_dir):
+    """Symbols above the median score in both pools, and which of them also leave the lowest quarter behind in both."""
+    df = scored(spark, sf_dir)
+    first = two_pool_elimination(spark, sf_dir)
+    marks = first
+    for seg in ("train", "val"):
+        means = df.where(F.col("seg") == seg).groupBy("sym").agg(F.avg("mom").alias("s")).join(first, "sym", "left_semi")
+        marks = marks.join(X.add_pct_rank(means, [], "s", f"p_{seg}").select("sym", f"p_{seg}"), "sym")
+    return marks.select("sym", ((F.col("p_train") > 0.25) & (F.col("p_val") > 0.25)).cast("long").alias("second_round"))
+
+
 @query("permutation_importance_by_day", "RP13 G8")
 def permutation_importance_by_day(spark, sf_dir):
     """Drop of the mean daily rank correlation when one input of a fixed score is shuffled inside the day, 2 repeats."""

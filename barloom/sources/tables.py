@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from barloom.functions.scalar import finite, rnd, to_day
 from barloom.operators.cross_section import positions
@@ -15,17 +16,28 @@ from barloom.session import attach_row
 SYMBOL_IN_PATH = r"([0-9A-Za-z]+)(?:\.[A-Z]{2})?\.csv$"
 
 
+def decoded(read_as: str, written_as: str):
+    """A column function: text read in a single-byte charset, decoded again as what it was written in."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else v.encode(read_as, "replace").decode(written_as, "replace"))
+
+    return F.pandas_udf(run, StringType())
+
+
 def read_csv_bars(
     spark: SparkSession, folder: str, schema: StructType | str, day: str, first=None, last=None, encoding: str = "ISO-8859-1",
-    symbol_pattern: str = SYMBOL_IN_PATH,
+    symbol_pattern: str = SYMBOL_IN_PATH, names: Sequence[str] = (), names_encoding: str = "gb18030",
 ) -> DataFrame:
     """Bars from one CSV per symbol; the symbol is taken from the file path, days outside the range are dropped.
 
-    Bar files hold digits only and column names come from ``schema``, so a single-byte charset also reads files whose
-    header is GBK (its second bytes are never comma, quote or line end). Other charsets need
-    ``spark.sql.legacy.javaCharsets``.
+    Column names come from ``schema``, and a single-byte charset keeps every byte, so files in a multi-byte charset
+    whose second bytes are never comma, quote or line end (GBK) are cut right. The text columns ``names`` are then
+    decoded from those bytes; what isn't valid there becomes the replacement character.
     """
     raw = spark.read.csv(folder, schema=schema, header=True, encoding=encoding)
+    for name in names:
+        raw = raw.withColumn(name, decoded(encoding, names_encoding)(F.col(name)))
     bars = raw.withColumn("sym", F.regexp_extract(F.input_file_name(), symbol_pattern, 1)).withColumn("d", to_day(day))
     if first is not None:
         bars = bars.where(F.col("d") >= F.lit(first).cast("date"))
