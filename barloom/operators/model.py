@@ -13,7 +13,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import Imputer, QuantileDiscretizer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +23,10 @@ from barloom.operators.stats import precision_at_k, segment_metrics
 from barloom.session import attach_row, cut_lineage, stored
 
 
+#: Fits that run at the same time; each is a job of its own over the same stored vectors.
+FITS_AT_ONCE = 4
+
+
 @dataclass(frozen=True)
 class TreeParams:
     max_rounds: int = 20
@@ -140,19 +144,37 @@ def run_config(train: DataFrame, val: DataFrame, features: Sequence[str], label:
     return metrics, calibrator, final
 
 
-def race(train: DataFrame, val: DataFrame, features: Sequence[str], labels: Sequence[str], grid: Sequence[TreeParams], n_splits: int, tie: Sequence[str]) -> DataFrame:
-    """Metric rows of every label and setting, tagged; pick winners with the ranking operators."""
-    out = None
-    for label in labels:
-        for i, params in enumerate(grid):
-            metrics, calibrator, _ = run_config(train, val, features, label, params, n_splits, tie)
-            tagged = metrics.select(
-                F.lit(label).alias("candidate"), F.lit(i).alias("config_id"), "*", F.lit(calibrator.coef[0]).alias("calib_p"), F.lit(calibrator.coef[1]).alias("calib_p2")
-            )
-            out = tagged if out is None else out.unionByName(tagged)
+def shared_bins(train: DataFrame, others: Sequence[DataFrame], features: Sequence[str], bins: int = 32) -> list[DataFrame]:
+    """``train`` and ``others`` with every feature cut into quantile bins of ``train``, stored once for all fits; missing values
+    are a bin of their own."""
+    names = [f"_b_{f}" for f in features]
+    cut = QuantileDiscretizer(numBuckets=bins, inputCols=list(features), outputCols=names, handleInvalid="keep", relativeError=0.0005).fit(train)
+    out = []
+    for df in (train, *others):
+        binned = cut.transform(df)
+        rest = [c for c in df.columns if c not in features]
+        out.append(stored(binned.select(*rest, *[F.col(n).alias(f) for n, f in zip(names, features)]), "binned"))
     return out
 
 
+def race(train: DataFrame, val: DataFrame, features: Sequence[str], labels: Sequence[str], grid: Sequence[TreeParams], n_splits: int, tie: Sequence[str]) -> DataFrame:
+    """Metric rows of every label and setting, tagged; pick winners with the ranking operators.
+
+    Candidates don't depend on one another: ``FITS_AT_ONCE`` of them run at a time, each as jobs of its own.
+    """
+
+    def one(candidate: tuple[str, int]) -> DataFrame:
+        label, i = candidate
+        metrics, calibrator, _ = run_config(train, val, features, label, grid[i], n_splits, tie)
+        return metrics.select(
+            F.lit(label).alias("candidate"), F.lit(i).alias("config_id"), "*", F.lit(calibrator.coef[0]).alias("calib_p"), F.lit(calibrator.coef[1]).alias("calib_p2")
+        )
+
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        rows = pool.map(one, [(label, i) for label in labels for i in range(len(grid))])
+    return reduce(DataFrame.unionByName, rows)
+
+
 def importance_ranking(model: PipelineModel, features: Sequence[str]) -> list[tuple[int, str, float]]:
     """(rank, feature, importance) of features with positive importance; names break ties."""
     weights = model.stages[-1].featureImportances.toArray()
@@ -180,8 +202,6 @@ def median_threshold(train: DataFrame, feature: str, label: str) -> DataFrame:
 # Sizes tried of a ranked feature list, and the fewest features a ladder starts with.
 LADDER = (5, 10, 15, 20, 25, 30, 40, 50, 75, 100, 150, 200, 300, 500, 750, 1000, 1500)
 FEWEST = 5
-#: Fits that run at the same time; each is a job of its own over the same stored vectors.
-FITS_AT_ONCE = 4
 
 
 def ladder_sizes(n: int) -> list[int]:

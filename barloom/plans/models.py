@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions.rolling import BARS as B
@@ -41,7 +42,7 @@ def train_and_val(spark, sf_dir):
 def out_of_fold_calibrated_metrics(spark, sf_dir):
     """Metric rows per segment of one label and one setting: folds, calibration, final fit, scoring."""
     train, later = train_and_val(spark, sf_dir)
-    metrics, _, _ = K.run_config(train, later.where("seg = 'val'"), FEATURES, "lab", QUICK, 3, ["sym"])
+    metrics, _, _ = K.run_config(train, later.where("seg = 'val'"), FEATURES, "lab", QUICK, 5, ["sym"])
     return metrics.select("seg", "n", rnd("base_rate").alias("base_rate"), rnd("ap").alias("ap"), rnd("precision_day").alias("precision_day"))
 
 
@@ -62,6 +63,21 @@ def label_race_two_labels(spark, sf_dir):
     )
 
 
+RACE_LABELS = {"lab": 0.0, "gain5": 0.05, "gain10": 0.1}
+RACE_GRID = tuple(K.TreeParams(max_rounds=2, depth=depth, step=step) for depth in (2, 3) for step in (0.1, 0.2))
+
+
+@query("label_race_grid", "K5 K2 T4 T5")
+def label_race_grid(spark, sf_dir):
+    """Three labels in four settings over five folds, all from one table of binned features, ranked on validation."""
+    train, later = train_and_val(spark, sf_dir)
+    labelled = [df.select("sym", "d", "seg", *FEATURES, *[(F.col("fwd") > level).cast("double").alias(name) for name, level in RACE_LABELS.items()]) for df in (train, later.where("seg = 'val'"))]
+    binned, val = K.shared_bins(labelled[0], labelled[1:], FEATURES)
+    rows = cut_lineage(K.race(binned, val, FEATURES, list(RACE_LABELS), RACE_GRID, 5, ["sym"]).where("seg = 'val'"))
+    place = F.row_number().over(Window.partitionBy("seg").orderBy(F.desc("precision_day"), F.desc("ap"), "candidate", "config_id"))  # one row per candidate
+    return rows.select("candidate", F.col("config_id").cast("long").alias("config_id"), rnd("precision_day").alias("precision_day"), rnd("ap").alias("ap"), place.cast("long").alias("place"))
+
+
 @query("importance_and_elbow", "G18 G19 K3")
 def importance_and_elbow(spark, sf_dir):
     """Features with positive importance in rank order, and the elbow of cumulative importance."""

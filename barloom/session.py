@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +58,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_writers: dict[int, list] = {}
+_writers_lock = threading.Lock()
+
+
+@contextmanager
+def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when a write inside ends: a written table is their only reader.
+
+    The setting belongs to the session, so writers in several threads share it: the first one sets it and the last one
+    puts back what was there.
+    """
+    with _writers_lock:
+        state = _writers.setdefault(id(spark), [0, None])
+        if state[0] == 0:
+            state[1] = spark.conf.get(SHUFFLE_CLEANUP, None)
+            spark.conf.set(SHUFFLE_CLEANUP, "true")
+        state[0] += 1
+    try:
+        yield
+    finally:
+        with _writers_lock:
+            state[0] -= 1
+            if state[0] == 0:
+                if state[1] is None:
+                    spark.conf.unset(SHUFFLE_CLEANUP)
+                else:
+                    spark.conf.set(SHUFFLE_CLEANUP, state[1])
+
+
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a frame that several branches of a plan use as a parquet table in the shared folder, and read it.
 
@@ -63,16 +95,8 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    # Once the table is written its shuffle files have no further reader.
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with shuffle_cleanup(spark):
         df.write.parquet(folder)
-    finally:
-        if before is None:
-            spark.conf.unset(SHUFFLE_CLEANUP)
-        else:
-            spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(folder)
     out.scratch_folder = folder
     return out
