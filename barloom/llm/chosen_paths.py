@@ -28,7 +28,7 @@ SMALL, SMALL_SHINGLES = 512, 1 << 22
 #: blocks together have no more than BLOCK_ROWS rows for each row of the first level.
 DEEPEST, BLOCK_ROWS = 8, 0.5
 #: Members per large node that all others are held against.
-LEADERS = 4
+LEADERS = 16
 STEP = 2048
 
 
@@ -269,15 +269,14 @@ def members_of(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return stored(texts.mapInArrow(run, "cid long, members binary"), "members")
 
 
-def sketches_close(x: Column, n: Column, percent: int, apart: int) -> Column:
-    """Whether a struct ``x`` (n, sketch) is close to the row's own size and sketch."""
+def sketch_distance(x: Column) -> Column:
+    """Tokens in which a struct ``x`` with a sketch differs from the row's own."""
     words = [F.col(s).bitwiseXOR(x[s]) for s in SKETCH]
-    away = reduce(lambda u, v: u + v, [F.bit_count(w.bitwiseOR(F.shiftrightunsigned(w, 1)).bitwiseAND(F.lit(PAIR_BITS))) for w in words])
-    return (away <= apart) & (100 * F.least(n, x["n"]) >= percent * F.greatest(n, x["n"]))
+    return reduce(lambda u, v: u + v, [F.bit_count(w.bitwiseOR(F.shiftrightunsigned(w, 1)).bitwiseAND(F.lit(PAIR_BITS))) for w in words])
 
 
 def leader_pairs(big: DataFrame, percent: int, apart: int) -> DataFrame:
-    """(a, b, node) of every member of a large node with the first of its leaders that it is close to.
+    """(a, b, node) of every member of a large node with the closest of its leaders, if it is close enough.
 
     Leaders are the members of smallest hash in each of ``LEADERS`` lanes: one record per task and lane before they
     meet, and one array per node, so a node of a third of all rows is as many tasks as its rows need.
@@ -285,8 +284,9 @@ def leader_pairs(big: DataFrame, percent: int, apart: int) -> DataFrame:
     lane, rank = F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(LEADERS)), F.xxhash64("cid")
     heads = big.groupBy("node", lane.alias("lane")).agg(F.min(F.struct(rank.alias("rank"), "cid", "n", *SKETCH)).alias("head"))
     leaders = heads.groupBy("node").agg(F.array_sort(F.collect_list("head")).alias("leaders"))
-    met = big.join(leaders, "node").withColumn("met", F.filter("leaders", lambda x: (x["cid"] != F.col("cid")) & sketches_close(x, F.col("n"), percent, apart)))
-    met = met.where(F.size("met") > 0).withColumn("other", F.col("met")[0]["cid"])
+    fits = lambda x: (x["cid"] != F.col("cid")) & (100 * F.least(F.col("n"), x["n"]) >= percent * F.greatest(F.col("n"), x["n"]))
+    nearest = F.array_min(F.transform(F.filter("leaders", fits), lambda x: F.struct(sketch_distance(x).alias("away"), x["cid"].alias("cid"))))
+    met = big.join(leaders, "node").withColumn("met", nearest).where(F.col("met.away") <= apart).withColumn("other", F.col("met.cid"))
     return met.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"), F.lit(0).cast("long").alias("node"))
 
 
@@ -387,8 +387,15 @@ def near_components(classes: DataFrame, docs: DataFrame, width: int, percent: in
             tested.append(verified(pairs, classes, docs, width, percent))
         discard(pairs)
 
-    def links() -> DataFrame:
-        return reduce(DataFrame.unionByName, tested).where("linked").select("a", "b")
+    searched: dict[int, DataFrame] = {}
+
+    def forest() -> DataFrame:
+        """The components of all links so far, searched once for as many tested tables as there are."""
+        if not tested:
+            return nothing
+        if len(tested) not in searched:
+            searched[len(tested)] = star_forest(reduce(DataFrame.unionByName, tested).where("linked").select("a", "b"))
+        return searched[len(tested)]
 
     if first is not None:
         test(first)
@@ -407,7 +414,7 @@ def near_components(classes: DataFrame, docs: DataFrame, width: int, percent: in
         if not more:
             break
         if tested:
-            big = stored(with_main_component(mixed_nodes(with_components(big, star_forest(links())))), "mixed")
+            big = stored(with_main_component(mixed_nodes(with_components(big, forest()))), "mixed")
             near_one = (F.col("others") <= SMALL // 2) & (F.col("other_shingles") <= SMALL_SHINGLES // 2)
             dense.append(dealt_to_others(big.where(near_one)))
             big = big.where(~near_one)
@@ -419,16 +426,17 @@ def near_components(classes: DataFrame, docs: DataFrame, width: int, percent: in
             break
         rows = grown(big.select("cid", "node").join(classes.select("cid", "n", "tokens"), "cid"), similarity)
     again = reduce(DataFrame.unionByName, [d.select("node", "cid", "n", *SKETCH) for d in dense])
-    forest = star_forest(links()) if tested else nothing
-    again = stored(mixed_nodes(with_components(again, forest)), "again")
+    again = stored(mixed_nodes(with_components(again, forest())), "again")
     if again.isEmpty():
-        return forest
+        return forest()
     wanted = again.select("cid").distinct().join(classes.select("cid", "row"), "cid")
     sets = members_of(wanted, docs, width)
     more_links = stored(exact_links(again.join(sets, "cid"), percent, apart), "links")
     discard(sets)
     # Roots stand for what is linked already.
-    known = forest.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if more_links.isEmpty():
+        return forest()
+    known = forest().select(F.col("node").alias("a"), F.col("root").alias("b"))
     return star_forest(known.unionByName(more_links))
 
 
