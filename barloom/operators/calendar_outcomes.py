@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import SLIPPAGE
-from barloom.operators.joins import bars_after
+from barloom.operators.joins import bars_after, shuffled_join
 from barloom.operators.labels import TOL, ExitRule, _entered, _exit_price, settled
 
 # Fixed values of the stand-in rule on days without a limit table.
@@ -48,7 +48,7 @@ def _range(first: int, last: int):
 def quote_entries(events: DataFrame, bars: DataFrame, n_days: int, day: Column) -> DataFrame:
     """Buy at the open of the calendar day ``day``: dropped without that day, without a quote, or locked."""
     side = bars.select("sym", F.col("cal_pos").alias("entry_pos"), F.col("open").alias("_open"), F.col("locked").alias("_locked"))
-    out = events.withColumn("entry_pos", day.cast("long")).join(side, ["sym", "entry_pos"], "left")
+    out = shuffled_join(events.withColumn("entry_pos", day.cast("long")), side, ["sym", "entry_pos"], "left")
     status = (
         F.when(F.col("entry_pos") > n_days, "dropped_no_next_day").when(F.col("_open").isNull(), "dropped_no_quote")
         .when(F.col("_locked"), "dropped_limitup").otherwise("entered")
@@ -58,7 +58,7 @@ def quote_entries(events: DataFrame, bars: DataFrame, n_days: int, day: Column)
 
 def with_event_close(events: DataFrame, bars: DataFrame) -> DataFrame:
     """``_ref``: the close of the event's day, NULL when the symbol has no quote then."""
-    return events.join(bars.select("sym", F.col("cal_pos").alias("sig_pos"), F.col("close").alias("_ref")), ["sym", "sig_pos"], "left")
+    return shuffled_join(events, bars.select("sym", F.col("cal_pos").alias("sig_pos"), F.col("close").alias("_ref")), ["sym", "sig_pos"], "left")
 
 
 def next_day_entries(events: DataFrame, bars: DataFrame, n_days: int) -> DataFrame:
@@ -75,7 +75,7 @@ def limit_order_entries(events: DataFrame, bars: DataFrame, n_days: int, margin:
     path = bars_after(events.select("sym", "sig_pos", "anchor_close"), _days(bars, ["open", "low", "locked"]), ["open", "low", "locked"], 1, valid)
     hit = ~F.col("x_locked") & (F.col("x_low") <= limit)
     first = path.groupBy("sym", "sig_pos").agg(F.min(F.when(hit, F.struct("step", F.least("x_open", limit).alias("raw")))).alias("_f"))
-    out = with_event_close(events, bars).join(first, ["sym", "sig_pos"], "left")
+    out = shuffled_join(with_event_close(events, bars), first, ["sym", "sig_pos"], "left")
     status = (
         F.when(F.col("sig_pos") + 1 > n_days, "dropped_no_next_day").when(F.col("_ref").isNull(), "dropped_no_close_T")
         .when(F.col("_f").isNull(), "no_fill").otherwise("entered")
@@ -88,7 +88,7 @@ def limit_order_entries(events: DataFrame, bars: DataFrame, n_days: int, margin:
 def not_breached_entries(events: DataFrame, bars: DataFrame, n_days: int, k: int, drop: float) -> DataFrame:
     """Enter k + 1 calendar days on if no low of the k days between falls below the event's close by more than ``drop``."""
     ahead = bars.select("sym", F.col("cal_pos").alias("sig_pos"), F.min("low").over(_range(1, k)).alias("_low"))
-    out = quote_entries(with_event_close(events, bars).join(ahead, ["sym", "sig_pos"], "left"), bars, n_days, F.col("sig_pos") + k + 1)
+    out = quote_entries(shuffled_join(with_event_close(events, bars), ahead, ["sym", "sig_pos"], "left"), bars, n_days, F.col("sig_pos") + k + 1)
     status = (
         F.when(F.col("sig_pos") + k + 1 > n_days, "dropped_no_next_day").when(F.col("_ref").isNull(), "dropped_no_close_T")
         .when(F.col("_low").isNull(), "skipped_no_window_data").when(F.col("_low") < F.col("_ref") * (1.0 - drop) - TOL, "skipped_breach")
@@ -106,7 +106,7 @@ def breakout_entries(events: DataFrame, bars: DataFrame, n_days: int, k: int, wa
     later = F.when(F.col("step") > k, F.struct("step", F.col("x_close").alias("close")))
     seen = path.groupBy("sym", "sig_pos").agg(F.max(F.when(F.col("step") <= k, F.col("x_high"))).alias("_high"), F.collect_list(later).alias("_later"))
     above = F.array_min(F.transform(F.filter("_later", lambda x: x["close"] > F.col("_high") + TOL), lambda x: x["step"]))
-    out = events.join(seen, ["sym", "sig_pos"], "left").withColumn("_step", above)
+    out = shuffled_join(events, seen, ["sym", "sig_pos"], "left").withColumn("_step", above)
     out = quote_entries(out, bars, n_days, F.col("sig_pos") + F.col("_step") + 1)
     status = (
         F.when(F.col("sig_pos") + k > n_days, "dropped_no_next_day").when(F.col("_high").isNull(), "skipped_no_window_data")
@@ -127,7 +127,7 @@ def first_free_from(points: DataFrame, bars: DataFrame, at: str, out: str) -> Da
     series = series.unionByName(asked.select("sym", at, F.lit(None).cast(series.schema[out].dataType).alias(out), F.lit(1).alias("_point")))
     backward = Window.partitionBy("sym").orderBy(F.desc(at), F.asc("_point")).rowsBetween(Window.unboundedPreceding, 0)
     found = series.withColumn(out, F.last(out, ignorenulls=True).over(backward)).where("_point = 1").drop("_point")
-    return points.join(found, ["sym", at], "left")
+    return shuffled_join(points, found, ["sym", at], "left")
 
 
 def outcomes(entries: DataFrame, bars: DataFrame, rule: ExitRule, keys: tuple[str, ...] = ("sym", "sig_pos")) -> DataFrame:
@@ -153,7 +153,7 @@ def outcomes(entries: DataFrame, bars: DataFrame, rule: ExitRule, keys: tuple[st
         path = path.withColumns({"_p": p, "_why": why})
         early = F.struct("step", F.col("x_d").alias("d"), F.col("_p").alias("p"), F.col("_why").alias("why"))
         first = path.groupBy(*keys).agg(F.min(F.when(F.col("_p").isNotNull() & free, early)).alias("_early"))
-        live = live.join(first, list(keys), "left")
+        live = shuffled_join(live, first, list(keys), "left")
     else:
         live = live.withColumn("_early", F.expr(found))
     e = F.col("_early")

@@ -126,12 +126,21 @@ def neighbour_day(
     return placed.join(other, [key, "cal_pos"], "left")
 
 
+def shuffled_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Join of two tables that both grow with the input: both sides are shuffled, neither is ever broadcast.
+
+    Left to itself Spark judges a side by its compressed files and ignores what ``explode`` adds, so it would send
+    through the driver a side many times larger than the broadcast limit.
+    """
+    return left.hint("merge").join(right, on, how)
+
+
 def with_roles(events: DataFrame, bars: DataFrame, roles: dict[str, str], columns: Sequence[str], key: str = "sym", pos: str = "pos") -> DataFrame:
     """Columns of the symbol's bar at several positions: ``roles`` maps a prefix to the event's position column."""
     out = events
     for prefix, place in roles.items():
         side = bars.select(key, F.col(pos).alias(place), *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
-        out = out.join(side, [key, place], "left")
+        out = shuffled_join(out, side, [key, place], "left")
     return out
 
 
@@ -184,7 +193,7 @@ def bars_after(events: DataFrame, bars: DataFrame, columns: Sequence[str], first
     steps = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("step")
     want = events.select("*", steps).withColumn("_pos", F.col(sig) + F.col("step"))
     side = bars.select(key, F.col("pos").alias("_pos"), *[F.col(c).alias(f"x_{c}") for c in columns])
-    return want.join(side, [key, "_pos"]).drop("_pos")
+    return shuffled_join(want, side, [key, "_pos"]).drop("_pos")
 
 
 def bars_after_wide(events: DataFrame, bars: DataFrame, columns: Sequence[str], last: int, key: str = "sym", sig: str = "sig_pos", out: str = "ahead") -> DataFrame:
@@ -195,7 +204,7 @@ def bars_after_wide(events: DataFrame, bars: DataFrame, columns: Sequence[str],
     item = F.struct(F.col("pos").alias("pos"), *[F.col(c) for c in columns])
     frame = Window.partitionBy(key).orderBy("pos").rowsBetween(1, last)
     ahead = bars.select(key, F.col("pos").alias(sig), F.collect_list(item).over(frame).alias(out))
-    return events.join(ahead, [key, sig], "left")
+    return shuffled_join(events, ahead, [key, sig], "left")
 
 
 def densify(bars: DataFrame, calendar: DataFrame, key: str = "sym", day: str = "d") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.rolling import BARS as B
 from barloom.functions.scalar import LOT, COMMISSION_MIN, COMMISSION_RATE, SLIPPAGE, commission, sdiv, stamp_rate
-from barloom.operators.joins import bars_after
+from barloom.operators.joins import bars_after, shuffled_join
 
 TOL = 0.005
 
@@ -89,7 +89,7 @@ def dynamic_return(events: DataFrame, bars: DataFrame, scale: float, cap: int =
     now = bars.select("sym", F.col("pos").cast("long").alias("sig_pos"), F.col("cf").alias("_cf0"))
     later = bars.select("sym", F.col("pos").cast("long").alias("_at"), F.col("cf").alias("_cf1"))
     out = events.withColumn("h", h).withColumn("_at", F.col("sig_pos") + F.col("h"))
-    out = out.join(now, ["sym", "sig_pos"]).join(later, ["sym", "_at"], "left")
+    out = shuffled_join(shuffled_join(out, now, ["sym", "sig_pos"]), later, ["sym", "_at"], "left")
     return out.withColumn("dyn", sdiv("_cf1", "_cf0") - 1.0).drop("_at", "_cf0", "_cf1")
 
 
@@ -103,7 +103,7 @@ def capped_returns(events: DataFrame, bars: DataFrame, h: int, gain: float = 1.1
         "sym", F.col("pos").cast("long").alias("sig_pos"), F.col("close").alias("buy"), B.lead("low", 1).alias("next_low"),
         B.lead("close", h + 1).alias("last_close"), B.lead("d", h + 1).alias("last_d"),
     )
-    base = events.join(at, ["sym", "sig_pos"])
+    base = shuffled_join(events, at, ["sym", "sig_pos"])
     base = base.where((F.col("next_low") <= F.col("buy")) & F.col("last_close").isNotNull())
     path = bars_after(base.select("sym", "sig_pos", "buy"), bars, ["d", "open", "high", "low"], 2, h + 1)
     buy = F.col("buy")
@@ -117,8 +117,8 @@ def capped_returns(events: DataFrame, bars: DataFrame, h: int, gain: float = 1.1
         F.min(F.when(code.isNotNull(), F.struct(F.col("step"), F.col("x_d").alias("d"), code.alias("r")))).alias("_sl"),
     )
     final = sdiv("last_close", buy) - 1.0
-    out = events.join(base.select("sym", "sig_pos", "buy", "last_close", "last_d"), ["sym", "sig_pos"], "left")
-    out = out.join(first, ["sym", "sig_pos"], "left")
+    out = shuffled_join(events, base.select("sym", "sig_pos", "buy", "last_close", "last_d"), ["sym", "sig_pos"], "left")
+    out = shuffled_join(out, first, ["sym", "sig_pos"], "left")
     known = F.col("buy").isNotNull()
     return out.select(
         *events.columns,
@@ -162,7 +162,7 @@ def market_entries(events: DataFrame, bars: DataFrame, offset: int = 1, sig: str
     side = bars.select(
         "sym", F.col("pos").cast("long").alias("entry_pos"), F.col("open").alias("_open"), F.col("up_limit").alias("_up")
     )
-    out = events.withColumn("entry_pos", (F.col(sig) + offset).cast("long")).join(side, ["sym", "entry_pos"], "left")
+    out = shuffled_join(events.withColumn("entry_pos", (F.col(sig) + offset).cast("long")), side, ["sym", "entry_pos"], "left")
     locked = F.coalesce(F.col("_open") >= F.col("_up") - TOL, F.lit(False))
     status = F.when(F.col("_open").isNull(), "dropped_no_next").when(locked, "dropped_limitup").otherwise("entered")
     return out.withColumns({"status": status, "entry_price": F.col("_open") * (1.0 + SLIPPAGE)}).drop("_open", "_up")
@@ -177,7 +177,7 @@ def limit_order_entries(events: DataFrame, bars: DataFrame, margin: float, valid
     first = path.groupBy("sym", "sig_pos").agg(
         F.min(F.when(hit, F.struct(F.col("step"), F.least("x_open", limit).alias("raw")))).alias("_f"), F.count(F.lit(1)).alias("_rows")
     )
-    out = events.join(first, ["sym", "sig_pos"], "left")
+    out = shuffled_join(events, first, ["sym", "sig_pos"], "left")
     status = F.when(F.col("_rows").isNull(), "dropped_no_next").when(F.col("_f").isNull(), "no_fill").otherwise("entered")
     return out.withColumns(
         {"status": status, "entry_pos": F.col("sig_pos") + F.col("_f.step"), "entry_price": F.col("_f.raw") * (1.0 + SLIPPAGE)}
@@ -190,7 +190,7 @@ def not_breached_entries(events: DataFrame, bars: DataFrame, k: int, drop: float
         "sym", F.col("pos").cast("long").alias("sig_pos"), F.col("close").alias("_ref"), F.min("low").over(B.rows(1, k)).alias("_low"),
         B.lead("pos", k + 1).alias("_next"),
     )
-    out = events.join(at, ["sym", "sig_pos"])
+    out = shuffled_join(events, at, ["sym", "sig_pos"])
     entered = market_entries(out, bars, k + 1)
     status = (
         F.when(F.col("_next").isNull(), "dropped_no_next").when(F.col("_low") < F.col("_ref") * (1.0 - drop) - TOL, "skipped_breach")
@@ -204,10 +204,10 @@ def breakout_entries(events: DataFrame, bars: DataFrame, k: int, watch: int = 5)
     at = bars.select(
         "sym", F.col("pos").cast("long").alias("sig_pos"), F.max("high").over(B.rows(1, k)).alias("_high"), B.lead("pos", k).alias("_kth")
     )
-    out = events.join(at, ["sym", "sig_pos"])
+    out = shuffled_join(events, at, ["sym", "sig_pos"])
     path = bars_after(out.select("sym", "sig_pos", "_high"), bars, ["close"], k + 1, k + watch)
     first = path.groupBy("sym", "sig_pos").agg(F.min(F.when(F.col("x_close") > F.col("_high") + TOL, F.col("step"))).alias("_step"))
-    out = out.join(first, ["sym", "sig_pos"], "left").withColumn("trigger_pos", F.col("sig_pos") + F.col("_step"))
+    out = shuffled_join(out, first, ["sym", "sig_pos"], "left").withColumn("trigger_pos", F.col("sig_pos") + F.col("_step"))
     entered = market_entries(out, bars, 1, "trigger_pos")
     status = (
         F.when(F.col("_kth").isNull(), "dropped_no_next").when(F.col("_step").isNull(), "skipped_no_trigger").otherwise(F.col("status"))
@@ -265,7 +265,7 @@ def outcomes(entries: DataFrame, bars: DataFrame, rule: ExitRule, keys: tuple[st
     live = sized.where("status = 'entered'")
     # At the horizon: the first free row from there on.
     late = ahead.select("sym", F.col("pos").alias("_due"), F.col("next_free").alias("nf"))
-    live = live.withColumn("_due", F.col("entry_pos") + rule.horizon - 1).join(late, ["sym", "_due"], "left")
+    live = shuffled_join(live.withColumn("_due", F.col("entry_pos") + rule.horizon - 1), late, ["sym", "_due"], "left")
     price, reason = _exit_price("nf.", F.col("entry_price"), barrier("tp", "nf."), barrier("sl", "nf."), F.lit(True))
     live = live.withColumns({"_lp": F.when(F.col("nf").isNotNull(), price), "_lr": F.when(F.col("nf").isNotNull(), reason)})
     if (has_bands or rule.tp is not None or rule.sl is not None) and rule.horizon > 2:
@@ -276,7 +276,7 @@ def outcomes(entries: DataFrame, bars: DataFrame, rule: ExitRule, keys: tuple[st
         path = path.withColumns({"_p": p, "_why": why})
         found = F.struct(F.col("step"), F.col("x_d").alias("d"), F.col("_p").alias("p"), F.col("_why").alias("why"))
         first = path.groupBy(*keys).agg(F.min(F.when(F.col("_p").isNotNull() & F.col("x_free"), found)).alias("_early"))
-        live = live.join(first, list(keys), "left")
+        live = shuffled_join(live, first, list(keys), "left")
     else:
         live = live.withColumn("_early", F.expr("cast(null as struct<step:int,d:date,p:double,why:string>)"))
     e = F.col("_early")
@@ -292,7 +292,7 @@ def outcomes(entries: DataFrame, bars: DataFrame, rule: ExitRule, keys: tuple[st
 
 def settled(sized: DataFrame, exits: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Fees, net result and final status of sized entries with their exits (exit_pos, exit_d, exit_reason, exit_price)."""
-    out = sized.join(exits, list(keys), "left")
+    out = shuffled_join(sized, exits, list(keys), "left")
     amount = F.col("shares") * F.col("exit_price")
     fees = F.col("buy_fee") + commission(amount) + amount * stamp_rate("exit_d")
     paid = F.col("shares") * F.col("entry_price") + F.col("buy_fee")
@@ -309,7 +309,7 @@ def next_open_exit(entries: DataFrame, bars: DataFrame, rule: ExitRule, keys: tu
     """Sell at the open of the first later row that does not close at its down limit."""
     sized = _entered(entries, rule)
     late = sellable_ahead(bars).select("sym", F.col("pos").alias("_due"), F.col("next_free").alias("nf"))
-    live = sized.where("status = 'entered'").withColumn("_due", F.col("entry_pos") + 1).join(late, ["sym", "_due"], "left")
+    live = shuffled_join(sized.where("status = 'entered'").withColumn("_due", F.col("entry_pos") + 1), late, ["sym", "_due"], "left")
     live = live.withColumns(
         {"exit_pos": F.col("nf.pos"), "exit_d": F.col("nf.d"), "exit_price": F.col("nf.open") * (1.0 - SLIPPAGE), "exit_reason": F.lit("next_open")}
     )
@@ -326,7 +326,7 @@ def eve_entries(candidates: DataFrame, bars: DataFrame, design: str) -> DataFram
     ``confirmed`` tells whether that row's close really crossed.
     """
     at = bars.select("sym", F.col("pos").cast("long").alias("target_pos"), "open", "low", "close", "up_limit")
-    out = candidates.withColumn("target_pos", F.col("target_pos").cast("long")).join(at, ["sym", "target_pos"], "left")
+    out = shuffled_join(candidates.withColumn("target_pos", F.col("target_pos").cast("long")), at, ["sym", "target_pos"], "left")
     locked = F.coalesce(F.col("open") >= F.col("up_limit") - TOL, F.lit(False))
     if design == "open":
         price = F.col("open") * (1.0 + SLIPPAGE)
