@@ -360,8 +360,8 @@ def csv_bars_round_trip(spark, sf_dir):
 
     folder = scratch(spark, "csv")
     bars = SRC.bars_user_day(spark, sf_dir).select("sym", F.date_format("d", "yyyyMMdd").alias("trade_date"), "close")
-    bars.write.partitionBy("sym").option("header", True).csv(folder)
-    out = T.read_csv_bars(spark, f"{folder}/*/*.csv", "trade_date string, close double", "trade_date", "2024-01-05", "2024-01-20", symbol_pattern=r"sym=([^/]+)/")
+    T.write_csv_by_symbol(bars, folder)
+    out = T.read_csv_bars(spark, folder, "trade_date string, close double", "trade_date", "2024-01-05", "2024-01-20", symbol_pattern=r"sym=([^/]+)/")
     return out.select("sym", F.col("d").cast("string").alias("d"), rnd("close", 4).alias("close"))
 
 

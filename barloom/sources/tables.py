@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType, StructType
 
 from barloom.functions.scalar import finite, rnd, to_day
 from barloom.operators.cross_section import positions
-from barloom.session import attach_row
+from barloom.session import attach_row, by_series
 
 SYMBOL_IN_PATH = r"([0-9A-Za-z]+)(?:\.[A-Z]{2})?\.csv$"
 
@@ -33,9 +33,10 @@ def read_csv_bars(
 
     Column names come from ``schema``, and a single-byte charset keeps every byte, so files in a multi-byte charset
     whose second bytes are never comma, quote or line end (GBK) are cut right. The text columns ``names`` are then
-    decoded from those bytes; what isn't valid there becomes the replacement character.
+    decoded from those bytes; what isn't valid there becomes the replacement character. Sub-folders are read too: name
+    the folder above them and not a pattern, which the driver would expand one folder at a time.
     """
-    raw = spark.read.csv(folder, schema=schema, header=True, encoding=encoding)
+    raw = spark.read.csv(folder, schema=schema, header=True, encoding=encoding, recursiveFileLookup=True)
     for name in names:
         raw = raw.withColumn(name, decoded(encoding, names_encoding)(F.col(name)))
     bars = raw.withColumn("sym", F.regexp_extract(F.input_file_name(), symbol_pattern, 1)).withColumn("d", to_day(day))
@@ -46,6 +47,14 @@ def read_csv_bars(
     return bars.where((F.col("sym") != "") & F.col("d").isNotNull())
 
 
+def write_csv_by_symbol(bars: DataFrame, folder: str, key: str = "sym") -> None:
+    """One folder ``key=value`` with one CSV file per symbol, into a new folder.
+
+    The rows of a symbol meet in one task first, or every task would write a file for every symbol.
+    """
+    by_series(bars, (key,)).write.partitionBy(key).option("header", True).csv(folder)
+
+
 def read_index(raw: DataFrame, day: str = "trade_date") -> DataFrame:
     """Index rows: text days to dates, rows without close dropped, first row per day kept, day number added."""
     first = Window.partitionBy("d").orderBy(*[F.col(c) for c in raw.columns])
