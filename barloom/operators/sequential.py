@@ -7,13 +7,17 @@ inside are pandas' compiled ``ewm``; only the zigzag automaton steps row by row.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, NumericType, StructField, StructType
+
+from barloom.functions.series_arrays import whole_series
 
 # Indicator lengths.
 MACD_FAST, MACD_SLOW, MACD_SIGNAL = 12, 26, 9
@@ -24,29 +28,43 @@ class Recursion:
     """``outputs`` columns made by ``step(group) -> dict of arrays`` from one symbol's ordered rows."""
 
     outputs: tuple[str, ...]
-    step: Callable[[pd.DataFrame], dict[str, np.ndarray]] = field(compare=False)
+    step: Callable[[Mapping[str, np.ndarray]], dict[str, np.ndarray]] = field(compare=False)
 
 
 def add_recursions(
     df: DataFrame, recursions: Sequence[Recursion], keys: Sequence[str] = ("sym",), order: str = "d"
 ) -> DataFrame:
-    """Append the outputs of all recursions in one grouped pass (one shuffle by the series key)."""
+    """Append the outputs of all recursions in one Arrow pass over sorted series (one shuffle by the series key).
+
+    A task takes the many short series of a batch as arrays at once; a grouped call for each would cost more than its rows.
+    """
     outputs = [o for r in recursions for o in r.outputs]
     schema = StructType([*df.schema.fields, *[StructField(o, DoubleType()) for o in outputs]])
     names = [f.name for f in schema.fields]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="mergesort").reset_index(drop=True)
-        made: dict[str, np.ndarray] = {}
-        for r in recursions:
-            made.update(r.step(group))
-        return group.assign(**{k: pd.Series(v, index=group.index) for k, v in made.items()})[names]
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
-
-
-def _values(group: pd.DataFrame, name: str) -> np.ndarray:
-    return group[name].to_numpy(dtype=np.float64, na_value=np.nan)
+    df_columns = df.columns
+    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_series(batches):
+            columns = {c: table.column(c).to_numpy().astype(np.float64) for c in numbers}
+            starts = np.flatnonzero(table.column("_row").to_numpy() == 1).tolist()
+            made = {o: np.full(table.num_rows, np.nan) for o in outputs}
+            for a, b in zip(starts, [*starts[1:], table.num_rows]):
+                group = {c: x[a:b] for c, x in columns.items()}
+                for r in recursions:
+                    for o, values in r.step(group).items():
+                        made[o][a:b] = values
+            kept = [table.column(c).combine_chunks() for c in df_columns]
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(v, mask=np.isnan(v)) for v in made.values()]], names)
+
+    # The window of the row number is the last step before the pass: it brings the series together in order.
+    numbered = df.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    return numbered.mapInArrow(run, schema)
+
+
+def _values(group: Mapping[str, np.ndarray | pd.Series], name: str) -> np.ndarray:
+    x = group[name]
+    return x if isinstance(x, np.ndarray) else x.to_numpy(dtype=np.float64, na_value=np.nan)
 
 
 def _smooth_from(x: np.ndarray, start: int, seed: float, alpha: float) -> np.ndarray:
