@@ -4,8 +4,8 @@ A time series is bounded by its calendar; the number of symbols on one date is n
 here therefore has two physical forms with the same result:
 
 * groups known to be small: one window per group;
-* larger groups: values are counted per (group, value) with map-side combine, cut into value ranges
-  by per-group quantile cuts, ranked inside each range, and shifted by the size of the ranges below.
+* larger groups: values are counted per (group, value) with map-side combine, partitioned by ranges of
+  (group, value), ranked inside each range, and shifted by the size of the ranges below.
   Only ranges, never whole groups, meet in one task, and rows find their rank by an equi-join that
   adaptive execution may split when one value is very frequent.
 
@@ -23,7 +23,6 @@ from barloom.functions.scalar import sdiv
 from barloom.session import attach_row, cut_lineage
 
 WINDOW_GROUP_ROWS = 1_000_000
-RANGES = 256
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -76,21 +75,16 @@ def rank_counts(
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """One row per (group, value): less, ties, total. Work is split by value range inside a group."""
+    """One row per (group, value): less, ties, total. Work is split by value range inside a group.
+
+    Counts are range-partitioned by group and value together and written once: the ranges must be the same for the
+    sizes and for the ranks, and nothing before them runs again.
+    """
     keys = list(keys)
     known = df.where(F.col(value).isNotNull()).select(*keys, value)
     counted = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
-    steps = [i / RANGES for i in range(1, RANGES)]
-    cuts = counted.groupBy(*keys).agg(F.percentile_approx(value, steps, 10_000).alias("_cuts"))
-    # The sketch may differ between runs of the plan, so it is fixed before two branches use it.
-    cuts = cut_lineage(cuts)
-    if keys:
-        ranged = join_groups(counted, cuts, keys)
-    else:
-        ranged = attach_row(counted, cuts)
-    ranged = ranged.withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    ).drop("_cuts")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(counted.repartitionByRange(n, *keys, value).withColumn("_range", F.spark_partition_id()))
     sizes = ranged.groupBy(*keys, "_range").agg(F.sum("ties").alias("_n"))
     below = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(
