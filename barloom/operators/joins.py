@@ -268,7 +268,7 @@ def merge_sources(
             else:
                 owner[c] = name
                 renamed.append(F.col(c))
-        out = out.join(source.select(*renamed), list(keys), "left")
+        out = shuffled_join(out, source.select(*renamed), list(keys), "left")
     if repeats:
         bad = []
         for kept, again in repeats:

@@ -132,7 +132,8 @@ def outer_join_of_two_sources(spark, sf_dir):
     + f"SELECT sym, CAST(d AS VARCHAR) AS d, {r('m5')} AS m5, {r('s10')} AS s10, {r('vol')} AS vol FROM f",
 )
 def feature_sources_merged(spark, sf_dir):
-    adj = SRC.adjust(SRC.bars_supp_month(spark, sf_dir))
+    # Read by the spine, by every source, by the key checks and by the check of repeated columns.
+    adj = stored(SRC.adjust(SRC.bars_supp_month(spark, sf_dir)).select("sym", "d", "r", "vol"), "merged-bars")
     spine = adj.select("sym", "d")
     one = adj.select("sym", "d", B.agg("mean", "r", 5).alias("m5"))
     two = adj.select("sym", "d", B.agg("mean", "r", 5).alias("m5"), B.agg("std", "r", 10).alias("s10"))

@@ -36,3 +36,14 @@ def test_limit_orders_on_the_calendar_are_not_broadcast(spark):
     assert "Broadcast" not in plan(entries) and "Broadcast" not in plan(out)
     got = {r["sig_pos"]: (r["status"], r["entry_pos"], r["exit_pos"]) for r in out.collect()}
     assert got == {1: ("closed", 11, 15), 30: ("dropped_no_next_day", None, None)}
+
+
+def test_merged_sources_read_one_table_of_bars(spark, monkeypatch):
+    """The fills are aggregated once for the spine, three sources and all checks, and no source is broadcast."""
+    from barloom.plans import joins as P
+    from barloom.session import stored as store
+
+    written = []
+    monkeypatch.setattr(P, "stored", lambda df, name: written.append(name) or store(df, name))
+    text = plan(P.feature_sources_merged(spark, "/root/testdata/sf0.001"))
+    assert written == ["merged-bars"] and "lineitem" not in text and "Broadcast" not in text
