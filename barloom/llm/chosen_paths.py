@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.simhash_groups import shingle_hashes, text_mark
 from barloom.llm.text import chunks, row_key, runs, utf8
-from barloom.operators.components import star_forest
+from barloom.operators.components import contracted, star_forest
 from barloom.session import discard, stored
 
 #: Minwise tokens of a document; two bits of each make its sketch.
@@ -27,6 +27,9 @@ SMALL, SMALL_SHINGLES = 512, 1 << 22
 #: Levels of branching; nodes that are still large then are compared block by block, and so are large nodes whose
 #: blocks together have no more than BLOCK_ROWS rows for each row of the first level.
 DEEPEST, BLOCK_ROWS = 8, 0.5
+#: Blocks are compared by sketches first, which need no sets: so many times ``SMALL`` members then meet in one step,
+#: ``TILE`` of them at a time. Of a tile's close pairs the closest of each member are tried ``PICKS`` times before all are.
+WIDE, TILE, PICKS = 8, 512, 3
 #: Members per large node that all others are held against.
 LEADERS = 16
 STEP = 2048
@@ -203,24 +206,123 @@ def small_node_pairs(rows: DataFrame, percent: int, apart: int) -> DataFrame:
     return rows.select(*names).repartition("node").sortWithinPartitions("node", "cid").mapInArrow(run, "a long, b long, node long")
 
 
-def common_members(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of all sets with one another: products of their incidence, ``step`` members at a time."""
-    values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    shared = times[place] > 1
-    column = (np.cumsum(times > 1) - 1)[place[shared]]
-    owner = owner[shared]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-        lo, hi = np.searchsorted(column, [first, first + step])
-        block = np.zeros((len(sets), step), np.float32)
-        block[owner[lo:hi], column[lo:hi] - first] = 1
-        out += block @ block.T
+def common_members(left: list[np.ndarray], right: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every left set with every right one: products of their incidence, ``step`` members at a time."""
+    values, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    border = sum(map(len, left))
+    in_both = np.zeros(len(values), np.int8)
+    in_both[place[:border]] = 1
+    in_both[place[border:]] |= 2
+    shared = in_both == 3
+    column = np.cumsum(shared) - 1
+    sides = []
+    for sets, at in ((left, place[:border]), (right, place[border:])):
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[shared[at]]
+        at = column[at[shared[at]]]
+        order = np.argsort(at, kind="stable")
+        sides.append((len(sets), at[order], owner[order]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(shared.sum()), step):
+        blocks = []
+        for size, at, owner in sides:
+            lo, hi = np.searchsorted(at, [first, first + step])
+            blocks.append(np.zeros((size, step), np.float32))
+            blocks[-1][owner[lo:hi], at[lo:hi] - first] = 1
+        out += blocks[0] @ blocks[1].T
     return out.astype(np.int64)
 
 
+def node_links(n: np.ndarray, sketch: np.ndarray, comp: np.ndarray, members: np.ndarray, percent: int, apart: int) -> np.ndarray:
+    """Pairs of members that link on their whole sets, as many as connect what all such pairs connect beyond the components.
+
+    Pairs inside a component need no test, and every link found joins two, so the closest pair of each member goes first;
+    what is still apart after ``PICKS`` of them is compared in full.
+    """
+    order = np.argsort(n, kind="stable")
+    n, sketch = n[order], sketch[order]
+    group = np.unique(comp[order], return_inverse=True)[1]
+    sets = [np.frombuffer(x, np.uint64) for x in members[order]]
+    links = [np.zeros((0, 2), np.int64)]
+    for own, others, away, close in size_tiles(n, sketch, percent, apart):
+        i, j = np.nonzero(close & (group[own, None] != group[None, others]))
+        near = away[i, j]
+        i, j = i + own.start, j + others.start
+        for turn in range(PICKS + 1):
+            apart_still = group[i] != group[j]
+            i, j, near = i[apart_still], j[apart_still], near[apart_still]
+            if not len(i):
+                break
+            if turn < PICKS:
+                by = np.lexsort((near, i))
+                picked = by[np.flatnonzero(np.r_[True, np.diff(i[by]) > 0])]
+                common = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i[picked], j[picked])])
+            else:
+                picked = np.arange(len(i))
+                (rows, r), (cols, c) = (np.unique(x, return_inverse=True) for x in (i, j))
+                common = common_members([sets[a] for a in rows], [sets[a] for a in cols])[r, c]
+            a, b = i[picked], j[picked]
+            linked = 100 * common >= percent * (n[a] + n[b] - common)
+            a, b = a[linked], b[linked]
+            low, high = np.minimum(group[a], group[b]), np.maximum(group[a], group[b])
+            first = np.unique(low * len(n) + high, return_index=True)[1]
+            for x, y in zip(a[first].tolist(), b[first].tolist()):
+                if group[x] != group[y]:
+                    links.append(np.array([[x, y]]))
+                    group[group == group[y]] = group[x]
+            rest = np.ones(len(i), bool)
+            rest[picked] = False
+            i, j, near = i[rest], j[rest], near[rest]
+    return order[np.concatenate(links)]
+
+
+def size_tiles(n: np.ndarray, sketch: np.ndarray, percent: int, apart: int) -> Iterator[tuple[slice, slice, np.ndarray, np.ndarray]]:
+    """(members, others, tokens apart, close) of a node sorted by size: ``TILE`` members against all from the first of them on
+    whose sizes can fit. A pair of one tile comes in both orders."""
+    for at in range(0, len(n), TILE):
+        end = min(at + TILE, len(n))
+        stop = int(np.searchsorted(n, 100 * n[end - 1] // percent, side="right"))
+        away = np.zeros((end - at, stop - at), np.uint8)
+        for word in range(sketch.shape[1]):
+            differ = sketch[at:end, word, None] ^ sketch[None, at:stop, word]
+            away += np.bitwise_count((differ | (differ >> np.uint64(1))) & np.uint64(PAIR_BITS))
+        fits = (100 * n[at:end, None] >= percent * n[None, at:stop]) & (100 * n[None, at:stop] >= percent * n[at:end, None])
+        yield slice(at, end), slice(at, stop), away, (away <= apart) & fits
+
+
+def rivals(n: np.ndarray, sketch: np.ndarray, comp: np.ndarray, percent: int, apart: int) -> np.ndarray:
+    """Members of a node that have a close one in another component."""
+    order = np.argsort(n, kind="stable")
+    n, sketch, comp = n[order], sketch[order], comp[order]
+    met = np.zeros(len(n), bool)
+    for own, others, _, close in size_tiles(n, sketch, percent, apart):
+        close &= comp[own, None] != comp[None, others]
+        met[own] |= close.any(axis=1)
+        met[others] |= close.any(axis=0)
+    out = np.zeros(len(n), bool)
+    out[order] = met
+    return out
+
+
+def contested(rows: DataFrame, percent: int, apart: int) -> DataFrame:
+    """The rows whose member has a close one in another component of its node, by sizes and sketches.
+
+    Only these can link components, so only they bring their whole sets along.
+    """
+    names = ["node", "cid", "n", *SKETCH, "comp"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in node_runs(batches, names):
+            node, _, n, *words, comp = columns
+            sketch = np.stack(words, axis=1).view(np.uint64)
+            keep = np.zeros(len(node), bool)
+            for at in node_slices(node):
+                if (comp[at] != comp[at.start]).any():
+                    keep[at] = rivals(n[at], sketch[at], comp[at], percent, apart)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=names)
+
+    return rows.select(*names).repartition("node").sortWithinPartitions("node", "cid").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
 def exact_links(rows: DataFrame, percent: int, apart: int) -> DataFrame:
     """(a, b): links between the components of a node, on the whole sets that its members bring along.
 
@@ -234,22 +336,9 @@ def exact_links(rows: DataFrame, percent: int, apart: int) -> DataFrame:
             sketch = np.stack(words, axis=1).view(np.uint64)
             found = [(np.zeros(0, np.int64),) * 2]
             for at in node_slices(node):
-                if (comp[at] == comp[at.start]).all():
-                    continue
-                pairs = close_pairs(n[at], sketch[at], percent, apart)
-                pairs = pairs[comp[at][pairs[:, 0]] != comp[at][pairs[:, 1]]]
-                if not len(pairs):
-                    continue
-                some, ends = np.unique(pairs, return_inverse=True)
-                ends = ends.reshape(pairs.shape)
-                common = common_members([np.frombuffer(x, np.uint64) for x in members[at][some]])[ends[:, 0], ends[:, 1]]
-                either = n[at][pairs].sum(axis=1) - common
-                pairs = pairs[100 * common >= percent * either]
-                names_, groups = np.unique(comp[at], return_inverse=True)
-                keep = {tuple(sorted(g)): p for g, p in zip(groups[pairs].tolist(), pairs.tolist())}
-                joined = spanning(np.array(list(keep), np.int64).reshape(-1, 2), len(names_))
-                pairs = np.array([keep[tuple(g)] for g in joined.tolist()], np.int64).reshape(-1, 2)
-                found.append((cid[at][pairs[:, 0]], cid[at][pairs[:, 1]]))
+                if (comp[at] != comp[at.start]).any():
+                    pairs = node_links(n[at], sketch[at], comp[at], members[at], percent, apart)
+                    found.append((cid[at][pairs[:, 0]], cid[at][pairs[:, 1]]))
             a, b = (np.concatenate(x) for x in zip(*found))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -329,27 +418,28 @@ def with_components(rows: DataFrame, forest: DataFrame) -> DataFrame:
     return rows.join(named, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 
 
-def blocks_of(members: Column, shingles: Column) -> Column:
-    """Blocks that a node is cut into, so that two of them are a small node."""
-    by_bytes = F.least(members, F.ceil(2 * shingles / SMALL_SHINGLES))
-    return F.greatest(F.ceil(2 * members / SMALL), by_bytes)
+def wide_blocks(members: Column, shingles: Column | None = None) -> Column:
+    """Blocks that a node is cut into, so that two of them are few enough members, and ``shingles`` if given, for one step."""
+    fits, blocks = members <= WIDE * SMALL, F.ceil(2 * members / (WIDE * SMALL))
+    if shingles is not None:
+        fits = fits & ((shingles <= SMALL_SHINGLES) | (members == 2))
+        blocks = F.greatest(blocks, F.least(members, F.ceil(2 * shingles / SMALL_SHINGLES)))
+    return F.when(fits, F.lit(1).cast("long")).otherwise(blocks)
 
 
-def dealt_in_blocks(big: DataFrame) -> DataFrame:
-    """Large nodes that no branching splits, cut into blocks; every two blocks meet in a node of their own."""
-    sizes = big.groupBy("node").agg(blocks_of(F.count(F.lit(1)), F.sum("n")).alias("blocks"))
+def dealt_in_blocks(big: DataFrame, blocks: Column) -> DataFrame:
+    """Nodes cut into ``blocks`` (an aggregate of their rows); every two blocks meet in a node of their own."""
+    sizes = big.groupBy("node").agg(blocks.alias("blocks"))
     block = F.pmod(F.xxhash64("cid", F.lit(2)), F.col("blocks"))
-    dealt = big.join(sizes, "node").withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = big.join(sizes, "node").withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return dealt.withColumn("node", F.xxhash64("node", F.least("block", "with"), F.greatest("block", "with"))).drop("blocks", "block", "with")
 
 
 def with_main_component(big: DataFrame) -> DataFrame:
-    """``big`` with the largest component of each node (``main``), and members and shingles outside of it."""
-    comps = big.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
-    largest = F.max(F.struct("c", "t", "comp")).alias("top")
-    nodes = comps.groupBy("node").agg(largest, F.sum("c").alias("all"), F.sum("t").alias("shingles_all"))
-    nodes = nodes.select("node", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("others"), (F.col("shingles_all") - F.col("top.t")).alias("other_shingles"))
-    return big.join(nodes, "node")
+    """``big`` with the largest component of each node (``main``), and members outside of it."""
+    comps = big.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
+    nodes = comps.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
+    return big.join(nodes.select("node", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("others")), "node")
 
 
 def dealt_to_others(big: DataFrame) -> DataFrame:
@@ -357,7 +447,7 @@ def dealt_to_others(big: DataFrame) -> DataFrame:
 
     At most half a block is others, so the rows are twice those of the nodes at most.
     """
-    blocks = blocks_of(F.col("members"), F.col("shingles"))
+    blocks = wide_blocks(F.col("members"))
     block = F.pmod(F.xxhash64("cid", F.lit(2)), blocks)
     inside = big.where("comp = main").withColumn("node", F.xxhash64("node", block))
     outside = big.where("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumn("node", F.xxhash64("node", "block"))
@@ -369,9 +459,10 @@ def near_components(classes: DataFrame, docs: DataFrame, width: int, percent: in
 
     Level by level: nodes of up to ``SMALL`` members are compared; in larger ones all members are held against a few
     leaders. Of a node that then has one main component and few others, the others meet that component block by block;
-    other nodes of several components branch on, or are cut into blocks that meet two by two where that costs less. At the end the small nodes with more close pairs than were tried, if they still have several
-    components, get the whole sets of their members and are compared in full. So every close pair that shares a small
-    node is either inside a component or compared on its whole sets. ``first`` may bring candidates (a, b) of another
+    other nodes of several components branch on, or are cut into blocks that meet two by two where that costs less. At the
+    end these blocks, and small nodes with more close pairs than were tried, are compared by sketches; members with a
+    close one in another component get their whole sets and are compared in full. So every close pair that shares a
+    small node or a block is either inside a component or compared on its whole sets. ``first`` may bring candidates (a, b) of another
     search; they are verified like any other.
     """
     similarity, apart = percent / 100, most_apart(percent / 100)
@@ -394,7 +485,7 @@ def near_components(classes: DataFrame, docs: DataFrame, width: int, percent: in
         if not tested:
             return nothing
         if len(tested) not in searched:
-            searched[len(tested)] = star_forest(reduce(DataFrame.unionByName, tested).where("linked").select("a", "b"))
+            searched[len(tested)] = star_forest(contracted(reduce(DataFrame.unionByName, tested).where("linked").select("a", "b")))
         return searched[len(tested)]
 
     if first is not None:
@@ -415,20 +506,22 @@ def near_components(classes: DataFrame, docs: DataFrame, width: int, percent: in
             break
         if tested:
             big = stored(with_main_component(mixed_nodes(with_components(big, forest()))), "mixed")
-            near_one = (F.col("others") <= SMALL // 2) & (F.col("other_shingles") <= SMALL_SHINGLES // 2)
+            near_one = F.col("others") <= WIDE * SMALL // 2
             dense.append(dealt_to_others(big.where(near_one)))
             big = big.where(~near_one)
-        blocks = blocks_of(F.max("members"), F.max("shingles"))
+        blocks = wide_blocks(F.max("members"))
         cost = big.groupBy("node").agg((F.max("members") * blocks).alias("rows")).agg(F.sum("rows")).first()[0] or 0
         if cost <= budget or level == DEEPEST:
             if cost:
-                dense.append(dealt_in_blocks(big))
+                dense.append(dealt_in_blocks(big, wide_blocks(F.count(F.lit(1)))))
             break
         rows = grown(big.select("cid", "node").join(classes.select("cid", "n", "tokens"), "cid"), similarity)
     again = reduce(DataFrame.unionByName, [d.select("node", "cid", "n", *SKETCH) for d in dense])
     again = stored(mixed_nodes(with_components(again, forest())), "again")
+    again = stored(contested(again, percent, apart), "contested")
     if again.isEmpty():
         return forest()
+    again = dealt_in_blocks(again, wide_blocks(F.count(F.lit(1)), F.sum("n")))
     wanted = again.select("cid").distinct().join(classes.select("cid", "row"), "cid")
     sets = members_of(wanted, docs, width)
     more_links = stored(exact_links(again.join(sets, "cid"), percent, apart), "links")
@@ -437,7 +530,7 @@ def near_components(classes: DataFrame, docs: DataFrame, width: int, percent: in
     if more_links.isEmpty():
         return forest()
     known = forest().select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return star_forest(known.unionByName(more_links))
+    return star_forest(contracted(known.unionByName(more_links)))
 
 
 def mixed_nodes(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,33 @@ def _points_at_roots(edges: DataFrame) -> bool:
     return nodes.where((F.col("own") > 1) | ((F.col("own") == 1) & (F.col("root") == 1))).count() == 0
 
 
+def contracted(links: DataFrame, per_task: int = 1 << 18) -> DataFrame:
+    """(a, b): links that connect what ``links`` connect, each slice's nodes led to the smallest one they reach inside it.
+
+    There are as many slices as ``per_task`` links each need, so few links meet in one task and a search over them has
+    little left to do; more links are more tasks.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while (up := group.setdefault(i, i)) != i:
+                group[i] = i = group[up]
+            return i
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                a, b = root(a), root(b)
+                group[max(a, b)] = min(a, b)
+        ends = [(i, r) for i in group if (r := root(i)) != i]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in ends], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    known = links.where(F.col("a") != F.col("b")).select("a", "b")
+    slices = -(-known.count() // per_task)
+    return known.repartition(max(slices, 1)).mapInArrow(run, "a long, b long")
+
+
 def star_forest(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable through links (a, b), for every node that has a link.
 

@@ -77,6 +77,42 @@ def test_blocks_alone_are_exact(spark, monkeypatch):
     check(spark.createDataFrame(family(3, 200, 80, 7), "doc_id long, text string"))
 
 
+def test_wide_blocks_meet_two_by_two(spark, monkeypatch):
+    """Nodes beyond the wide limit, so that both comparisons, by sketches and on sets, are cut into blocks."""
+    monkeypatch.setattr(chosen_paths, "SMALL", 24)
+    monkeypatch.setattr(chosen_paths, "WIDE", 2)
+    monkeypatch.setattr(chosen_paths, "DEEPEST", 1)
+    monkeypatch.setattr(chosen_paths, "TILE", 16)
+    check(spark.createDataFrame(family(4, 200, 80, 9), "doc_id long, text string"))
+
+
+def test_sets_go_to_few_rows_of_large_nodes(spark, monkeypatch):
+    """Members of a node far larger than a small one bring their sets once per node, and only if a close one is elsewhere."""
+    monkeypatch.setattr(chosen_paths, "SMALL", 24)
+    monkeypatch.setattr(chosen_paths, "DEEPEST", 1)
+    seen, plain = [], chosen_paths.exact_links
+    monkeypatch.setattr(chosen_paths, "exact_links", lambda rows, *rest: seen.append(rows.count()) or plain(rows, *rest))
+    phrase = "every text has these words in it and so they all meet"
+    rng = random.Random(8)
+    apart = [(1000 + i, phrase + " " + " ".join(f"r{rng.randrange(10**6)}" for _ in range(20))) for i in range(150)]
+    rows = family(5, 150, 80, 9) + apart
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(seen) <= 150 * 2 * chosen_paths.TREES
+
+
+def test_close_pairs_by_tiles():
+    rng = np.random.default_rng(9)
+    n, comp = rng.integers(50, 90, 70), rng.integers(0, 4, 70)
+    sketch = rng.integers(0, 1 << 63, (70, 4), dtype=np.uint64) & rng.integers(0, 1 << 63, (70, 4), dtype=np.uint64)
+    want = np.zeros(70, bool)
+    for limit in (60, 75):
+        pairs = chosen_paths.close_pairs(n, sketch, 80, limit)
+        pairs = pairs[comp[pairs[:, 0]] != comp[pairs[:, 1]]]
+        want[:] = False
+        want[pairs.ravel()] = True
+        assert (chosen_paths.rivals(n, sketch, comp, 80, limit) == want).all()
+
+
 def test_similarity_at_the_border(spark):
     """27 of 33 shingles in common stay below 80 in a hundred, 28 of 35 reach it."""
     words = [f"w{i}" for i in range(40)]
