@@ -160,14 +160,23 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows are sorted by the shard that drew them and their place in it, so the partitions in their order are the shards
     one after another. Rows that share a doc_id share the copies of one another in doc_id: each of them is taken its
-    own number of times, dealt in the order of size.
+    own number of times, dealt in the order of size. The texts meet the mix in one shuffle; only rows that agree in
+    doc_id and size are numbered, in a second one.
     """
-    copies = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("places").alias("_mix_places"), "row")
+    mixed = mix(docs, **options).select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("places").alias("_mix_places"), "copies", "row")
+    mixed = stored(mixed, "mix-copies")
+    keys = mixed.groupBy(F.col("_mix_id").alias("_mix_key"), F.col("_mix_size").alias("_mix_key_size")).agg(
+        F.count(F.lit(1)).alias("_mix_rows"), F.max("copies").alias("_mix_most"), F.first("_mix_places").alias("_mix_only")
+    )
+    same_key = F.col("doc_id").eqNullSafe(F.col("_mix_key")) & (F.col("_mix_words") == F.col("_mix_key_size"))
+    met = docs.withColumn("_mix_words", word_count(F.col("text"))).join(keys.where("_mix_most > 0"), same_key)
+    alone = met.where("_mix_rows = 1").withColumn("_mix_places", F.col("_mix_only"))
     nth = F.row_number().over(Window.partitionBy("_mix_id", "_mix_size").orderBy("row"))
-    copies = copies.withColumn("_mix_nth", nth).drop("row")
-    sized = docs.withColumn("_mix_words", word_count(F.col("text")))
+    copies = mixed.where("copies > 0").withColumn("_mix_nth", nth).drop("row", "copies")
     again = Window.partitionBy("doc_id", "_mix_words").orderBy(F.xxhash64("text"), "source")
-    sized = sized.withColumn("_mix_place", F.row_number().over(again))
-    same = sized["doc_id"].eqNullSafe(copies["_mix_id"]) & (sized["_mix_words"] == copies["_mix_size"]) & (sized["_mix_place"] == copies["_mix_nth"])
-    taken = sized.join(copies, same).withColumn("_mix_at", F.explode("_mix_places"))
+    shared = met.where("_mix_rows > 1").withColumn("_mix_place", F.row_number().over(again))
+    same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_words") == F.col("_mix_size")) & (F.col("_mix_place") == F.col("_mix_nth"))
+    columns = [*docs.columns, "_mix_places"]
+    taken = alone.select(*columns).unionByName(shared.join(copies, same).select(*columns))
+    taken = taken.withColumn("_mix_at", F.explode("_mix_places"))
     return taken.orderBy("_mix_at.shard", "_mix_at.order").select(*docs.columns)

@@ -1,5 +1,7 @@
 """Every operator against its plain definition, on odd texts and on the smallest table."""
 
+import re
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -393,3 +395,20 @@ def test_openings_are_the_same_for_every_text():
     assert list(language_id.openings(b"a b c d e")) == [b"a", b"a b", b"a b c d", b"a b c d e"]
     assert list(language_id.openings(b"a b c d f")) == [b"a", b"a b", b"a b c d", b"a b c d f"]
     assert list(language_id.openings(b"")) == [b""]
+
+
+def test_mix_moves_texts_once_and_sorts_them(spark, corpus):
+    """Rows of their own in doc_id and size meet the mix in one shuffle of the texts; the sort by shard is the other."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        df = mixing.mixed_documents(corpus)
+        assert df.collect()
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set(threshold, before)
+    tree, nodes = plan.split("== Initial Plan ==")[0], plan.split("\n\n(1) ")[1]
+    final = set(re.findall(r"(?<!Reused)Exchange \((\d+)\)", tree))
+    moved = [k for k, kind, rest in re.findall(r"\((\d+)\) (Exchange)\n(.*)", nodes) if k in final and re.search(r"\btext#", rest)]
+    assert len(moved) == 2, moved
