@@ -47,8 +47,12 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(other, match, how).drop(*[f"_g_{k}" for k in keys])
 
 
+def fits_window(group_rows: int) -> bool:
+    return group_rows <= WINDOW_GROUP_ROWS
+
+
 def _small(df: DataFrame, keys: Sequence[str], group_rows: int | None) -> bool:
-    return (largest_group(df, keys) if group_rows is None else group_rows) <= WINDOW_GROUP_ROWS
+    return fits_window(largest_group(df, keys) if group_rows is None else group_rows)
 
 
 def rank_counts(

@@ -105,17 +105,17 @@ class SquaredLogit:
     intercept: float
 
     @classmethod
-    def fit(cls, df: DataFrame, prob: str, label: str, c: float = 1.0, max_iter: int = 1000) -> "SquaredLogit":
-        known = df.where(col(prob).isNotNull() & col(label).isNotNull())
-        bad = known.where(F.isnan(prob) | ~col(prob).between(0.0, 1.0))
-        if not bad.isEmpty():
+    def fit(cls, df: DataFrame, prob: str, label: str, c: float = 1.0, max_iter: int = 1000, weight: str | None = None) -> "SquaredLogit":
+        """Rows count by score and label: one row per pair of these is fitted. With ``weight`` rows are such pairs already."""
+        known = df.where(col(prob).isNotNull() & col(label).isNotNull()).select(col(prob).alias("_p"), col(label).cast("double").alias("_y"), (col(weight) if weight else F.lit(1)).cast("double").alias("_w"))
+        if weight is None:
+            known = cut_lineage(known.groupBy("_p", "_y").agg(F.sum("_w").alias("_w")))
+        if not known.where(F.isnan("_p") | ~F.col("_p").between(0.0, 1.0)).isEmpty():
             raise ValueError("calibration needs finite probabilities in [0, 1]")
-        design = VectorAssembler(inputCols=["_p", "_pp"], outputCol="_x").transform(
-            known.select(col(prob).alias("_p"), (col(prob) * col(prob)).alias("_pp"), col(label).cast("double").alias("_y"))
-        )
-        n = known.count()
+        design = VectorAssembler(inputCols=["_p", "_pp"], outputCol="_x").transform(known.withColumn("_pp", F.col("_p") * F.col("_p")))
+        n = known.agg(F.sum("_w")).first()[0]
         # Same penalty as a summed loss with strength 1/c on unscaled columns.
-        lr = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / (c * n), standardization=False, maxIter=max_iter)
+        lr = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1.0 / (c * n), standardization=False, maxIter=max_iter)
         m = lr.fit(design)
         return cls((float(m.coefficients[0]), float(m.coefficients[1])), float(m.intercept))
 

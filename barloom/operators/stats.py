@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from barloom.functions.scalar import col, safe_sqrt, sdiv
 from barloom.functions.tails import exact_rank_sum_p, normal_two_sided, t_two_sided
 from barloom.operators.cross_section import (
-    average_rank, group_quantiles, largest_group, pct_rank_average, positions, rank_counts, top_k,
+    average_rank, fits_window, group_quantiles, largest_group, pct_rank_average, positions, rank_counts, top_k,
 )
 from barloom.operators.components import star_forest
-from barloom.session import attach_row
+from barloom.session import attach_row, cut_lineage
 
 
 def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -214,7 +214,12 @@ def value_cut_buckets(df: DataFrame, value: str, k: int, out: str = "bucket") ->
 def average_precision(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """Area under the precision steps: mean over positives of precision at their score, ties as one step."""
     known = df.where(col(score).isNotNull() & col(label).isNotNull()).select(*keys, score, label)
-    rows = largest_group(known, keys)  # an upper bound for the positives as well
+    steps = cut_lineage(known.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_a"), F.count_if(col(label) == 1).alias("_p")))
+    rows = largest_group(steps, keys)
+    if fits_window(rows):  # one row per score, not per row scored
+        reached = Window.partitionBy(*keys).orderBy(F.desc(score))
+        precise = steps.withColumn("_precision", F.sum("_p").over(reached) / F.sum("_a").over(reached)).where("_p > 0")
+        return precise.groupBy(*keys).agg((F.sum(col("_p") * col("_precision")) / F.sum("_p")).alias("ap"))
     ranked = rank_counts(known, keys, score, "_a", rows)
     hits = rank_counts(ranked.where(col(label) == 1), keys, score, "_p", rows)
     precision = (col("_ptotal") - col("_pless")) / (col("_atotal") - col("_aless"))
@@ -230,12 +235,13 @@ def precision_at_k(df: DataFrame, score: str, label: str, k: int, keys: Sequence
     )
 
 
-def segment_metrics(df: DataFrame, score: str, label: str, seg: str, k: int, tie: Sequence[str]) -> DataFrame:
-    """n, base rate, AP and precision@k per segment."""
-    base = df.where(col(label).isNotNull()).groupBy(seg).agg(F.count(label).alias("n"), F.avg(label).alias("base_rate"))
+def segment_metrics(df: DataFrame, score: str, label: str, seg: str, k: int, tie: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """n, base rate, AP and precision@k per segment (and ``keys``)."""
+    by = [*keys, seg]
+    base = df.where(col(label).isNotNull()).groupBy(*by).agg(F.count(label).alias("n"), F.avg(label).alias("base_rate"))
     return (
-        base.join(average_precision(df, score, label, [seg]), seg, "left")
-        .join(precision_at_k(df, score, label, k, [seg], tie=tie), seg, "left")
+        base.join(average_precision(df, score, label, by), by, "left")
+        .join(precision_at_k(df, score, label, k, by, tie=tie), by, "left")
     )
 
 

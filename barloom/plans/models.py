@@ -10,6 +10,7 @@ from barloom.functions.scalar import rnd
 from barloom.operators import model as K
 from barloom.operators import stats as G
 from barloom.operators.cross_section import positions
+from barloom.operators.tree_race import race_on_codes
 from barloom.plans import sqltext as S
 from barloom.plans.registry import query
 from barloom.plans.sqltext import r
@@ -70,10 +71,10 @@ RACE_GRID = tuple(K.TreeParams(max_rounds=2, depth=depth, step=step) for depth i
 @query("label_race_grid", "K5 K2 T4 T5")
 def label_race_grid(spark, sf_dir):
     """Three labels in four settings over five folds, all from one table of binned features, ranked on validation."""
-    train, later = train_and_val(spark, sf_dir)
-    labelled = [df.select("sym", "d", "seg", *FEATURES, *[(F.col("fwd") > level).cast("double").alias(name) for name, level in RACE_LABELS.items()]) for df in (train, later.where("seg = 'val'"))]
-    binned, val = K.shared_bins(labelled[0], labelled[1:], FEATURES)
-    rows = cut_lineage(K.race(binned, val, FEATURES, list(RACE_LABELS), RACE_GRID, 5, ["sym"]).where("seg = 'val'"))
+    known = scored(spark, sf_dir).where("lab is not null")  # stored by ``scored``
+    labelled = known.select("sym", "d", "seg", *FEATURES, *[(F.col("fwd") > level).cast("double").alias(name) for name, level in RACE_LABELS.items()])
+    binned, val = K.shared_bins(labelled.where("seg = 'train'"), [labelled.where("seg = 'val'")], FEATURES)
+    rows = cut_lineage(race_on_codes(binned, val, FEATURES, list(RACE_LABELS), RACE_GRID, 5, ["sym"]).where("seg = 'val'"))
     place = F.row_number().over(Window.partitionBy("seg").orderBy(F.desc("precision_day"), F.desc("ap"), "candidate", "config_id"))  # one row per candidate
     return rows.select("candidate", F.col("config_id").cast("long").alias("config_id"), rnd("precision_day").alias("precision_day"), rnd("ap").alias("ap"), place.cast("long").alias("place"))
 
