@@ -12,14 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.model import FITS_AT_ONCE, SquaredLogit, TreeParams, date_folds, final_rounds
+from barloom.operators.model import SquaredLogit, TreeParams, date_folds, final_rounds
 from barloom.operators.stats import segment_metrics
 from barloom.session import stored
 
@@ -335,12 +334,8 @@ def race_on_codes(
     # The calibration sees rows only through their score and label: one row per pair of these, weighted by its count.
     pairs = long_scores(oof, candidates, []).where("y is not null").groupBy("candidate", "config_id", "prob", "y").agg(F.count(F.lit(1)).alias("w"))
     pairs = stored(pairs, "race-pairs")
-
-    def calibration(candidate: tuple[str, int]) -> SquaredLogit:
-        return SquaredLogit.fit(pairs.where((F.col("candidate") == candidate[0]) & (F.col("config_id") == candidate[1])), "prob", "y", weight="w")
-
-    with ThreadPool(FITS_AT_ONCE) as pool:
-        fits = pool.map(calibration, candidates)
+    # One after another: the tables are small, and fits at the same time cost the driver more memory than they save time.
+    fits = [SquaredLogit.fit(pairs.where((F.col("candidate") == y) & (F.col("config_id") == i)), "prob", "y", weight="w") for y, i in candidates]
 
     both = oof.unionByName(later.select(*tie, "d", "seg", *[F.when(F.col("seg") != "test", F.col(y)).alias(y) for y in labels], *[f"_p{c}" for c in range(len(candidates))]))
     scored = long_scores(both, candidates, [*tie, "d", "seg"], lambda c: fits[c].column(f"_p{c}"))
