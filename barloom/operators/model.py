@@ -7,10 +7,11 @@ determinism and output columns are what this module keeps.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, QuantileDiscretizer, StandardScaler, VectorAssembler, VectorSlicer
@@ -33,6 +34,9 @@ class TreeParams:
     depth: int = 3
     step: float = 0.1
     seed: int = 42
+    #: Rows that both sides of a split have at least, and the share of the features that is drawn for splits.
+    min_rows: int = 1
+    share: float = 1.0
 
 
 def date_folds(df: DataFrame, n_splits: int = 5, day: str = "d", out: str = "fold") -> DataFrame:
@@ -61,7 +65,7 @@ def fit_trees(train: DataFrame, features: Sequence[str], label: str, params: Tre
     """Boosted trees on mean-imputed features. With a boolean ``validation`` column rounds stop early on those rows."""
     gbt = GBTClassifier(
         featuresCol="_features", labelCol=label, maxIter=params.max_rounds, maxDepth=params.depth, stepSize=params.step, seed=params.seed,
-        predictionCol="_pred", validationTol=0.001,
+        predictionCol="_pred", validationTol=0.001, minInstancesPerNode=params.min_rows, featureSubsetStrategy="all" if params.share >= 1.0 else str(params.share),
     )
     gbt = gbt.setProbabilityCol("_prob").setRawPredictionCol("_raw")
     if validation is not None:
@@ -119,6 +123,54 @@ class SquaredLogit:
         m = lr.fit(design)
         return cls((float(m.coefficients[0]), float(m.coefficients[1])), float(m.intercept))
 
+    @classmethod
+    def fit_groups(cls, counts: DataFrame, group: str, prob: str, n: str, pos: str, groups: int, c: float = 1.0, max_iter: int = 100) -> list["SquaredLogit"]:
+        """The calibrations of the groups 0, 1, ... from rows and positive ones per (group, score): the optimum that ``fit`` looks
+        for, by Newton steps of all groups together. Each is one pass that adds up slopes and curvatures per group."""
+        spark, p = counts.sparkSession, col(prob)
+        counts = counts.select(col(group).alias("_g"), p.alias("_p"), col(n).cast("double").alias("_n"), col(pos).cast("double").alias("_k"))
+        seen = {r["_g"]: r for r in counts.groupBy("_g").agg(F.sum("_n").alias("n"), F.sum("_k").alias("k"), F.max(F.isnan("_p") | ~F.col("_p").between(0.0, 1.0)).alias("bad")).collect()}
+        if any(r["bad"] for r in seen.values()):
+            raise ValueError("calibration needs finite probabilities in [0, 1]")
+        if len(seen) < groups:
+            raise ValueError("a group has no row to calibrate on")
+        # One class only: its probability is 1, as with ``fit``.
+        out = {g: cls((0.0, 0.0), float("inf") if r["k"] else float("-inf")) for g, r in seen.items() if r["k"] in (0, r["n"])}
+        at = {g: np.array([np.log(r["k"] / (r["n"] - r["k"])), 0.0, 0.0]) for g, r in seen.items() if g not in out}  # intercept, p, p * p
+        before: dict[int, tuple[np.ndarray, float]] = {}
+        ridge = np.array([0.0, 1.0 / c, 1.0 / c])
+        z = F.col("_b0") + F.col("_b1") * F.col("_p") + F.col("_b2") * F.col("_p") * F.col("_p")
+        q, square = 1.0 / (1.0 + F.exp(-F.col("_z"))), F.col("_n") * F.col("_q") * (1.0 - F.col("_q"))
+        loss = F.col("_n") * (F.log1p(F.exp(-F.abs("_z"))) + F.greatest(F.col("_z"), F.lit(0.0))) - F.col("_k") * F.col("_z")
+        sums = [F.sum(loss).alias("loss")]
+        sums += [F.sum((F.col("_n") * F.col("_q") - F.col("_k")) * F.col("_p") ** i).alias(f"g{i}") for i in range(3)]
+        sums += [F.sum(square * F.col("_p") ** i).alias(f"h{i}") for i in range(5)]
+        for _ in range(max_iter):
+            if not at:
+                break
+            here = spark.createDataFrame([(g, *map(float, b)) for g, b in sorted(at.items())], "_g int, _b0 double, _b1 double, _b2 double")
+            rows = counts.join(F.broadcast(here), "_g").withColumn("_z", z).withColumn("_q", q).groupBy("_g").agg(*sums).collect()
+            for r in rows:
+                g, b = r["_g"], at[r["_g"]]
+                value = r["loss"] + 0.5 * float(ridge @ b**2)
+                if g in before and value > before[g][1] + 1e-9 * abs(before[g][1]):  # too far: half the way back
+                    at[g] = (before[g][0] + b) / 2.0
+                    continue
+                slope = np.array([r["g0"], r["g1"], r["g2"]]) + ridge * b
+                curve = np.array([[r[f"h{i + j}"] for j in range(3)] for i in range(3)]) + np.diag(ridge + 1e-12)
+                step = np.linalg.solve(curve, slope)
+                before[g], at[g] = (b, value), b - step
+                if np.abs(step).max() <= 1e-9 * (1.0 + np.abs(b).max()):
+                    done = np.round(at.pop(g), 12)
+                    out[g] = cls((float(done[1]), float(done[2])), float(done[0]))
+        if at:
+            raise ValueError(f"{len(at)} calibrations have not settled after {max_iter} steps")
+        return [out[g] for g in range(groups)]
+
+    def of(self, p: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return 1.0 / (1.0 + np.exp(-(self.intercept + self.coef[0] * p + self.coef[1] * p * p)))
+
     def column(self, prob: Column | str) -> Column:
         p = col(prob)
         return 1.0 / (1.0 + F.exp(-(self.intercept + self.coef[0] * p + self.coef[1] * p * p)))
@@ -138,7 +190,7 @@ def run_config(train: DataFrame, val: DataFrame, features: Sequence[str], label:
     oof, best = out_of_fold(train, features, label, n_splits, params)
     oof = cut_lineage(oof)
     calibrator = SquaredLogit.fit(oof, "oof", label)
-    final = fit_trees(train.where(col(label).isNotNull()), features, label, TreeParams(final_rounds(best), params.depth, params.step, params.seed))
+    final = fit_trees(train.where(col(label).isNotNull()), features, label, replace(params, max_rounds=final_rounds(best)))
     tables = score_table(oof, val, final, calibrator, label, [*tie, "d"])
     metrics = segment_metrics(tables.where("prob is not null"), "prob", "y", "seg", k, tie)
     return metrics, calibrator, final

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from barloom.functions.scalar import col, safe_sqrt, sdiv
 from barloom.functions.tails import exact_rank_sum_p, normal_two_sided, t_two_sided
 from barloom.operators.cross_section import (
-    average_rank, fits_window, group_quantiles, largest_group, pct_rank_average, positions, rank_counts, top_k,
+    average_rank, fits_window, group_quantiles, join_groups, largest_group, pct_rank_average, positions, rank_counts, top_k,
 )
 from barloom.operators.components import star_forest
 from barloom.session import attach_row, cut_lineage
@@ -226,6 +226,23 @@ def average_precision(df: DataFrame, score: str, label: str, keys: Sequence[str]
     return hits.groupBy(*keys).agg(F.avg(precision).alias("ap"))
 
 
+def average_precision_of_counts(counts: DataFrame, score: str, n: str, pos: str, keys: Sequence[str]) -> DataFrame:
+    """``average_precision`` of rows that are counted already: one row per group and score, with its rows and its positive ones."""
+    if fits_window(largest_group(counts, keys)):
+        reached = Window.partitionBy(*keys).orderBy(F.desc(score))
+        steps = counts.select(*keys, col(pos).alias("_p"), F.sum(n).over(reached).alias("_a_to"), F.sum(pos).over(reached).alias("_p_to"))
+    else:  # split by range of the score inside a group; written once, so that the ranges stay the same
+        parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = cut_lineage(counts.select(*keys, (-col(score)).alias("_s"), col(n).alias("_a"), col(pos).alias("_p")).repartitionByRange(parts, *keys, "_s").withColumn("_range", F.spark_partition_id()))
+        above = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = ranged.groupBy(*keys, "_range").agg(F.sum("_a").alias("_ra"), F.sum("_p").alias("_rp"))
+        sizes = sizes.select(*keys, "_range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("_ra", "_rp")])
+        inside = Window.partitionBy(*keys, "_range").orderBy("_s")
+        placed = join_groups(ranged.withColumns({"_a_in": F.sum("_a").over(inside), "_p_in": F.sum("_p").over(inside)}), sizes, [*keys, "_range"], safe=keys)
+        steps = placed.select(*keys, "_p", (col("_a_in") + col("_ra_above")).alias("_a_to"), (col("_p_in") + col("_rp_above")).alias("_p_to"))
+    return steps.where("_p > 0").groupBy(*keys).agg((F.sum(col("_p") * (col("_p_to") / col("_a_to"))) / F.sum("_p")).alias("ap"))
+
+
 def precision_at_k(df: DataFrame, score: str, label: str, k: int, keys: Sequence[str] = (), day: str = "d", tie: Sequence[str] = ("sym", "event_id")) -> DataFrame:
     """Label share of each day's top k: averaged over days, and over picks."""
     picks = top_k(df.where(col(label).isNotNull()), [*keys, day], [F.desc(score), *[F.asc(t) for t in tie]], k)

@@ -2,16 +2,19 @@
 
 A model per label, setting and fold is some hundred passes over the panel when each is a fit of its own. Here every level of
 every model reads the same stored table of feature codes once: tasks count rows and add up targets per (model, node,
-feature, code), Spark adds these cells up, and the best split of each node is chosen from the sums. The trees are those of
-``GBTClassifier`` (variance gain, log loss, the first tree with weight 1, later ones with ``step``, early stopping on the
-validation block, missing values filled with the mean of the rows seen), except that split points come from the counts of all
-rows instead of a sample of 10,000.
+feature, code), Spark brings the parts of a model together, and tasks choose the best split of each node from the sums. Only
+the splits reach the driver. The trees are those of ``GBTClassifier`` (variance gain, log loss, the first tree with weight 1,
+later ones with ``step``, early stopping on the validation block, missing values filled with the mean of the rows seen), except
+that split points come from the counts of all rows instead of a sample of 10,000, and that a share of the features is drawn
+once for a tree and not for every node. A model whose validation error has stopped falling leaves the passes; the model of all
+rows gets a round more as soon as its folds are sure to ask for it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,60 +22,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.model import SquaredLogit, TreeParams, date_folds, final_rounds
-from barloom.operators.stats import segment_metrics
+from barloom.operators.stats import average_precision_of_counts, precision_at_k
 from barloom.session import stored
 
-#: Rows worked on at a time inside a task.
-CHUNK = 1 << 18
+#: Rows a task holds at a time, and rows of them worked on at a time.
+CHUNK, BLOCK = 1 << 20, 1 << 15
 #: Leaf values are rounded, so that equal means stay equal whatever the order of their rows.
 DIGITS = 12
 #: As in Spark ML: thresholds per feature, and how much a further round must lower the validation error.
 SPLITS, TOLERANCE = 31, 0.001
 #: A gain below this is rounding.
 LEAST_GAIN = 1e-12
+#: Levels whose nodes fit the bits of a word, and bytes of a batch on its way to the shuffle.
+WORD_LEVELS, BATCH_BYTES = 6, 1 << 22
 
 
 @dataclass(frozen=True)
 class Line:
     """Models that share a round's tree: the label's index, the block validated (the number of blocks: none, all rows are
-    learnt), the depth, and the step from the third round on (the first two don't depend on it)."""
+    learnt), what the setting says of a tree, and the step from the third round on (the first two don't depend on it)."""
 
     label: int
     block: int
     depth: int
+    min_rows: int
+    features: tuple[int, ...]
     step: float | None = None
 
 
 class Tree:
-    """Per level and node the feature asked and which codes go right; the mean target per node of the last level."""
+    """A complete binary tree over feature codes.
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        self.values = np.zeros(1)
+    A row's node is the one bit that is set in the words of all its codes: the word of a (feature, code) has the nodes that it
+    doesn't rule out. Levels below the first six ask node by node.
+    """
 
-    def places(self, codes: np.ndarray) -> np.ndarray:
-        rows, place = np.arange(codes.shape[1]), np.zeros(codes.shape[1], np.int64)
-        for feature, right in self.levels:
-            code = codes[feature[0]] if len(feature) == 1 else codes[feature[place], rows]
-            place = 2 * place + right.ravel()[place * right.shape[1] + code]
-        return place
+    def __init__(self, n_features: int, width: int) -> None:
+        self.values, self.alive = np.zeros(1), np.ones(1, bool)
+        self.allowed = np.ones((n_features, width, 1), bool)
+        self.words: list[tuple[int, np.ndarray]] = []
+        self.deeper: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def grow(self, choices: list[tuple[int, np.ndarray, float, float]]) -> None:
-        """``choices``: feature, codes that go right, and the mean targets on both sides, per node of the last level."""
-        self.levels.append((np.array([c[0] for c in choices]), np.stack([c[1] for c in choices]).astype(np.int64)))
-        self.values = np.round([v for c in choices for v in c[2:]], DIGITS)
+    def __getstate__(self) -> dict:
+        return {"values": self.values, "words": self.words, "deeper": self.deeper}
 
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        if self.words:
+            open_ = reduce(np.bitwise_and, [word[codes[f]] for f, word in self.words])
+            place = (open_.astype(np.float64).view(np.int64) >> 52) - 1023  # the exponent: which bit is set
+        else:
+            place = np.zeros(codes.shape[1], np.int64)
+        rows = np.arange(codes.shape[1]) if self.deeper else None
+        for feature, right in self.deeper:
+            place = 2 * place + right.ravel()[place * right.shape[1] + codes[feature[place], rows]]
+        return place
 
-def margins(trees: Sequence[Tree], step: float, codes: np.ndarray) -> np.ndarray:
-    """One row per number of trees: the weighted sum of the first 1, 2, ... trees."""
-    parts = [tree.values[tree.places(codes)] * (1.0 if i == 0 else step) for i, tree in enumerate(trees)]
-    return np.cumsum(parts, axis=0)
+    def grow(self, bins: np.ndarray, node: np.ndarray, feature: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        """The next level: the splits chosen for ``node`` (``feature`` -1: none), all rows of other nodes go left."""
+        nodes, width = len(self.values), bins.shape[1]
+        asked, goes, self.values = np.zeros(nodes, np.int64), np.zeros((nodes, width), bool), np.repeat(self.values, 2)
+        self.values[2 * node], self.values[2 * node + 1] = np.round(left, DIGITS), np.round(right, DIGITS)
+        split = feature >= 0
+        node, feature = node[split], feature[split]
+        asked[node], goes[node] = feature, bins[feature] > cut[split, None]
+        self.alive = np.zeros(2 * nodes, bool)
+        self.alive[2 * node] = self.alive[2 * node + 1] = True
+        if 2 * nodes > 1 << WORD_LEVELS:
+            self.deeper.append((asked, goes.astype(np.int64)))
+            return
+        self.allowed = np.repeat(self.allowed, 2, axis=2)
+        f, code, p = asked[:, None], np.arange(width)[None, :], np.arange(nodes)[:, None]
+        self.allowed[f, code, 2 * p] &= ~goes
+        self.allowed[f, code, 2 * p + 1] &= goes
+        bits = np.zeros((*self.allowed.shape[:2], 64), bool)
+        bits[:, :, : 2 * nodes] = self.allowed
+        words = np.packbits(bits, axis=-1, bitorder="little").view(np.uint64)[:, :, 0]
+        self.words = [(f, words[f]) for f in range(len(words)) if not self.allowed[f].all()]
+
+    def close(self) -> None:
+        self.allowed = self.alive = None
+
+
+def margin(trees: Sequence[Tree], step: float, codes: np.ndarray) -> np.ndarray:
+    """The first tree's value and ``step`` times those of later ones, added up in order."""
+    total = trees[0].values[trees[0].places(codes)]
+    for tree in trees[1:]:
+        total = total + step * tree.values[tree.places(codes)]
+    return total
 
 
 def chance(margin: np.ndarray) -> np.ndarray:
     return 1.0 - 1.0 / (1.0 + np.exp(2.0 * margin))
 
 
+def drawn(n: int, setting: TreeParams, m: int) -> tuple[int, ...]:
+    """The features that round ``m`` may ask: as in LightGBM the draws follow the seed alone, so all fits make the same ones."""
+    if setting.share >= 1.0:
+        return tuple(range(n))
+    order = np.random.default_rng([setting.seed, m]).permutation(n)
+    return tuple(sorted(int(f) for f in order[: max(1, round(setting.share * n))]))
+
+
 class CodeTable:
     """The stored table of codes: features (``width`` - 1: missing), labels and blocks (-1: label unknown)."""
 
@@ -135,8 +185,8 @@ def thresholds(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def bins_of(learnt: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Each code's bin from its counts among the rows learnt and seen (with the validation block); the last code is missing
     and stands at the mean of the rows seen."""
-    if not seen[:-1].sum():
-        raise ValueError("a feature has no known value in the rows of a fold")
+    if not seen[:-1].sum():  # no row of the fold knows the feature: it is never asked
+        return np.zeros(len(seen), np.int64)
     known = np.arange(len(seen) - 1, dtype=float)
     at = np.append(known, (known * seen[:-1]).sum() / seen[:-1].sum())
     values, group = np.unique(at, return_inverse=True)
@@ -144,27 +194,147 @@ def bins_of(learnt: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return np.searchsorted(thresholds(values[counts > 0], counts[counts > 0]), at, side="left")
 
 
-def best_split(n: np.ndarray, s: np.ndarray, bins: np.ndarray, mean: float) -> tuple[int, np.ndarray, float, float]:
-    """The split of highest gain in variance of a node, from its counts and sums per (feature, code); of equal ones the first
-    feature and point. Without one all rows go left."""
-    total, whole = n[0].sum(), s[0].sum()
-    best, choice = LEAST_GAIN, (0, np.zeros(n.shape[1], bool), mean, mean)
-    for f in range(len(n)):
-        ln, ls = (np.cumsum(np.bincount(bins[f], weights=x[f], minlength=SPLITS + 1))[:-1] for x in (n, s))
-        ok = (ln > 0) & (ln < total)
-        if not ok.any():
-            continue
-        rn, rs = total - ln, whole - ls
-        gain = np.full(len(ln), -np.inf)
-        gain[ok] = (ls[ok] ** 2 / ln[ok] + rs[ok] ** 2 / rn[ok] - whole**2 / total) / total
-        j = int(np.argmax(gain))
-        if gain[j] > best:
-            best, choice = gain[j], (f, bins[f] > j, ls[j] / ln[j], rs[j] / rn[j])
-    return choice
-
+def ordered(rows: np.ndarray, nf: int, nl: int, i: int, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and signs of the rows that know label ``i``, by block, and where blocks 0, 1, ... start."""
+    block = rows[nf + nl + i]
+    order = np.argsort(block, kind="stable")
+    order = order[np.searchsorted(block[order], 0) :]
+    return rows[:nf, order].astype(np.intp), 2.0 * rows[nf + i, order] - 1.0, np.searchsorted(block[order], np.arange(blocks + 1))
+
+
+def blocks_of(first: int, last: int) -> Iterator[slice]:
+    for a in range(first, last, BLOCK):
+        yield slice(a, min(a + BLOCK, last))
+
+
+def best_splits(n: np.ndarray, s: np.ndarray, put: np.ndarray, min_rows: int) -> tuple[np.ndarray, ...]:
+    """Per node the place of the feature (-1: none) and the bin after which codes go right, of highest gain in variance, and the
+    mean targets on both sides; of equal ones the first feature and point. From counts and sums per (node, feature, code);
+    ``put`` (feature, code, bin) is 1 where a code belongs to a bin."""
+    total, whole = n[:, 0].sum(axis=1).astype(float), s[:, 0].sum(axis=1)
+    ln, ls = (np.cumsum(np.matmul(x.transpose(1, 0, 2).astype(float), put).transpose(1, 0, 2), axis=2)[:, :, :-1] for x in (n, s))
+    rn, rs = total[:, None, None] - ln, whole[:, None, None] - ls
+    ok = (ln >= max(min_rows, 1)) & (rn >= max(min_rows, 1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = (ls**2 / ln + rs**2 / rn - (whole**2 / total)[:, None, None]) / total[:, None, None]
+    gain = np.where(ok, gain, -np.inf).reshape(len(n), -1)
+    j, at = gain.argmax(axis=1), np.arange(len(n))
+    split, (feature, cut) = gain[at, j] > LEAST_GAIN, np.divmod(j, ln.shape[2])
+    mean = whole / total
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left, right = (np.where(split, (a / b)[at, feature, cut], mean) for a, b in ((ls, ln), (rs, rn)))
+    return np.where(split, feature, -1), cut, left, right
+
+
+def grow_level(table: CodeTable, lines: Sequence[tuple[Line, list[Tree], Tree]], level: int, bins: dict[tuple[int, int], np.ndarray], blocks: int) -> None:
+    """One pass over the table for the next level of every line's tree. ``lines``: the line, the trees before, the tree."""
+    nf, nl, width, nodes = table.n_features, table.n_labels, table.width, 1 << level
+    of_label = {i: [(j, *one) for j, one in enumerate(lines) if one[0].label == i] for i in range(nl)}
+    alive = [np.flatnonzero(tree.alive) for _, _, tree in lines]
+    asked = [(line.label, line.block, line.features, line.min_rows) for line, _, _ in lines]
+
+    def sums(line: Line, before: list[Tree], tree: Tree, codes: np.ndarray, sign: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        n, s = np.zeros((nodes, len(line.features), width), np.int64), np.zeros((nodes, len(line.features), width))
+        for cut in blocks_of(0, rows):
+            part, target = codes[:, cut], sign[cut]
+            if before:
+                target = 4.0 * target / (1.0 + np.exp(2.0 * target * margin(before, line.step or 0.0, part)))
+            base = tree.places(part) * width
+            for q, f in enumerate(line.features):
+                cell = base + part[f]
+                n[:, q] += np.bincount(cell, minlength=nodes * width).reshape(nodes, width)
+                s[:, q] += np.bincount(cell, weights=target, minlength=nodes * width).reshape(nodes, width)
+        return n, s
 
-def grown(table: CodeTable, grid: Sequence[TreeParams], n_splits: int) -> tuple[dict[tuple[Line, int], Tree], Callable]:
-    """All trees by (line, round), and ``trees_of(label, setting, block, rounds)``."""
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slab, rows in enumerate(chunks(batches)):
+            held, size = [], 0
+            for i, mine in of_label.items():
+                if not mine:
+                    continue
+                codes, sign, starts = ordered(rows, nf, nl, i, blocks)
+                for j, line, before, tree in mine:
+                    known = int(starts[line.block])
+                    if not known:
+                        continue
+                    n, s = sums(line, before, tree, codes, sign, known)
+                    hit = alive[j][n[alive[j], 0].any(axis=1)]
+                    if not len(hit):
+                        continue
+                    held.append((np.full(len(hit), j), hit, n[hit].astype(np.int32), s[hit]))
+                    size += held[-1][2].nbytes + held[-1][3].nbytes
+                    if size > BATCH_BYTES:
+                        yield packed(held, slab)
+                        held, size = [], 0
+            if held:
+                yield packed(held, slab)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches hold the parts by line, node and part; a line that may go on in the next batch is held back."""
+        held, puts = None, {key: (one[:, :, None] == np.arange(SPLITS + 1)).astype(float) for key, one in bins.items()}
+        for batch in batches:
+            held = batch if held is None else pa.concat_batches([held, batch])
+            line = held.column(0).to_numpy()
+            last = int(np.searchsorted(line, line[-1]))
+            if last:
+                yield chosen(held.slice(0, last), puts)
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield chosen(held, puts)
+
+    def chosen(batch: pa.RecordBatch, puts: dict) -> pa.RecordBatch:
+        line, node = (batch.column(c).to_numpy().astype(np.int64) for c in (0, 1))
+        out = []
+        for rows in np.split(np.arange(len(line)), np.flatnonzero(np.diff(line)) + 1):
+            a, b = rows[0], rows[-1] + 1
+            label, block, features, min_rows = asked[line[a]]
+            first = np.flatnonzero(np.diff(node[a:b], prepend=-1))
+            n, s = (
+                np.add.reduceat(payload(batch.column(c), a, b, kind).reshape(b - a, len(features), width), first, axis=0)
+                for c, kind in ((4, np.int32), (5, np.float64))
+            )
+            place, cut, left, right = best_splits(n, s, puts[label, block][list(features)], min_rows)
+            out.append((np.full(len(first), line[a]), node[a:b][first], np.where(place < 0, -1, np.array(features)[place]), cut, left, right))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["line", "node", "feature", "cut", "left", "right"])
+
+    parts = table.table.mapInArrow(partial, "line int, node int, slab int, n binary, s binary")
+    parts = parts.select("line", "node", F.spark_partition_id().alias("part"), "slab", "n", "s")
+    # Parts are added up in their order, so that reruns agree.
+    together = parts.repartition("line").sortWithinPartitions("line", "node", "part", "slab")
+    found = together.mapInArrow(choose, "line long, node long, feature long, cut long, left double, right double").toArrow()
+    columns = [found[c].to_numpy() for c in ("line", "node", "feature", "cut", "left", "right")]
+    order = np.lexsort((columns[1], columns[0]))
+    line, *rest = (c[order] for c in columns)
+    starts = np.searchsorted(line, np.arange(len(lines) + 1))
+    for j, (of, _, tree) in enumerate(lines):
+        tree.grow(bins[of.label, of.block], *[c[starts[j] : starts[j + 1]] for c in rest])
+
+
+def packed(held: list, slab: int) -> pa.RecordBatch:
+    """Counts and sums of nodes as bytes, one row per (line, node)."""
+
+    def binary(parts: list[np.ndarray]) -> pa.Array:
+        sizes = np.concatenate([np.full(len(p), p[0].nbytes) for p in parts])
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(p.tobytes() for p in parts))])
+
+    line, node, n, s = zip(*held)
+    line, node = np.concatenate(line).astype(np.int32), np.concatenate(node).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(line), pa.array(node), pa.array(np.full(len(line), slab, np.int32)), binary(n), binary(s)], ["line", "node", "slab", "n", "s"])
+
+
+def payload(column: pa.Array, a: int, b: int, kind: type) -> np.ndarray:
+    """The numbers in rows ``a`` to ``b`` of a column of bytes."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset + a : column.offset + b + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy().view(kind)
+
+
+Fits = dict[tuple[int, int], list[Tree]]
+
+
+def grown(table: CodeTable, candidates: Sequence[tuple[int, TreeParams]], n_splits: int) -> Fits:
+    """The trees kept of every candidate (label, setting) by (candidate, block): blocks 1.. are validated, the last fit has all
+    rows and as many rounds as its folds kept on average."""
     nf, width, labels, blocks = table.n_features, table.width, table.n_labels, n_splits + 1
 
     def count_codes(codes, y, block, n, s):
@@ -181,70 +351,66 @@ def grown(table: CodeTable, grid: Sequence[TreeParams], n_splits: int) -> tuple[
             learnt, seen = counts[i, k - 1], counts[i, min(k, blocks - 1)]
             bins[i, k] = np.stack([bins_of(learnt[f], seen[f]) for f in range(nf)])
 
-    def line(label: int, setting: TreeParams, block: int, m: int) -> Line:
-        return Line(label, block, setting.depth, setting.step if m > 2 else None)
-
-    trees: dict[tuple[Line, int], Tree] = {}
-
-    def trees_of(label: int, setting: TreeParams, block: int, rounds: int) -> list[Tree]:
-        return [trees[line(label, setting, block, m), m] for m in range(1, rounds + 1)]
-
-    for m in range(1, max(p.max_rounds for p in grid) + 1):
-        before = {line(i, p, k, m): trees_of(i, p, k, m - 1) for p in grid if p.max_rounds >= m for i in range(labels) for k in range(1, blocks + 1)}
-        growing = {of: Tree() for of in before}
-        for level in range(max(of.depth for of in before)):
-            grow_level(table, {of: (before[of], tree) for of, tree in growing.items() if level < of.depth}, level, bins)
-        trees.update({(of, m): tree for of, tree in growing.items()})
-    return trees, trees_of
-
-
-def grow_level(table: CodeTable, lines: dict[Line, tuple[list[Tree], Tree]], level: int, bins: dict[tuple[int, int], np.ndarray]) -> None:
-    """One pass over the table for the next level of every line's tree."""
-    nf, width, nodes = table.n_features, table.width, 1 << level
-    size = nodes * nf * width
-
+    fits: Fits = {(c, k): [] for c in range(len(candidates)) for k in range(1, blocks + 1)}
+    errors: dict[tuple[int, int], list[float]] = {of: [] for of in fits if of[1] < blocks}
+    active, early = set(errors), {}
+
+    def kept(c: int) -> list[int]:
+        return [stopped(errors[c, k]) for k in range(1, blocks)]
+
+    def wanted() -> list[tuple[int, int]]:
+        # What folds keep only grows, so the rounds of the last fit can be grown before the folds have ended.
+        sure = [(c, blocks) for c in range(len(candidates)) if len(fits[c, blocks]) < (final_rounds(kept(c)) if errors[c, 1] else 1)]
+        return [*sorted(active), *sure]
+
+    while now := wanted():
+        todo: dict[tuple, tuple[list[Tree], Tree]] = {}
+        at = {}
+        for c, k in now:
+            (i, p), m = candidates[c], len(fits[c, k]) + 1
+            line = Line(i, k, p.depth, p.min_rows, drawn(nf, p, m), p.step if m > 2 else None)
+            at[c, k] = key = line, m, p.share, p.seed if p.share < 1.0 else None
+            if key not in early and key not in todo:
+                todo[key] = list(fits[c, k]), Tree(nf, width)
+        for level in range(max((key[0].depth for key in todo), default=0)):
+            open_ = [(key[0], *pair) for key, pair in todo.items() if level < key[0].depth and pair[1].alive.any()]
+            if open_:
+                grow_level(table, open_, level, bins, blocks)
+        for tree in (pair[1] for pair in todo.values()):
+            tree.close()
+        early.update({key: pair[1] for key, pair in todo.items() if key[0].step is None})
+        for of, key in at.items():
+            fits[of].append(early[key] if key in early else todo[key][1])
+        validate(table, candidates, fits, sorted(active), errors, blocks)
+        active -= {of for of in active if len(fits[of]) >= candidates[of[0]][1].max_rounds or ended(errors[of])}
+    return {(c, k): trees[: stopped(errors[c, k])] if k < blocks else trees for (c, k), trees in fits.items()}
+
+
+def validate(table: CodeTable, candidates: Sequence[tuple[int, TreeParams]], fits: Fits, active: Sequence[tuple[int, int]], errors: dict, blocks: int) -> None:
+    """Append the validation error of all trees so far of the ``active`` fits."""
+    if not active:
+        return
+    models = [(candidates[c][0], k, candidates[c][1].step, fits[c, k]) for c, k in active]
+    nf, nl = table.n_features, table.n_labels
     def add(codes, y, block, n, s):
-        for i in {of.label for of in lines}:
-            order = np.argsort(block[i], kind="stable")
-            ordered, sign, place = codes[:, order], 2.0 * y[i][order] - 1.0, block[i][order]
-            first = np.searchsorted(place, 0)
-            for j, (of, (before, tree)) in enumerate(lines.items()):
-                if of.label != i:
-                    continue
-                mine = slice(first, np.searchsorted(place, of.block))
-                part, target = ordered[:, mine], sign[mine]
-                if not part.size:
-                    continue
-                if before:
-                    target = 4.0 * target / (1.0 + np.exp(2.0 * target * margins(before, of.step or 0.0, part)[-1]))
-                base = tree.places(part) * (nf * width)
-                for f in range(nf):
-                    cell = base + (f * width + part[f].astype(np.int64))
-                    n[j * size : (j + 1) * size] += np.bincount(cell, minlength=size)
-                    s[j * size : (j + 1) * size] += np.bincount(cell, weights=target, minlength=size)
+        rows = np.concatenate([codes, y, block])
+        for i in sorted({model[0] for model in models}):
+            known, sign, starts = ordered(rows, nf, nl, i, blocks)
+            for j, (label, k, step, trees) in enumerate(models):
+                if label == i:
+                    n[j] += starts[k + 1] - starts[k]
+                    for cut in blocks_of(int(starts[k]), int(starts[k + 1])):
+                        s[j] += (2.0 * np.logaddexp(0.0, -2.0 * sign[cut] * margin(trees, step, known[:, cut]))).sum()
 
-    n, s = (x.reshape(len(lines), nodes, nf, width) for x in table.cells(add, len(lines) * size))
-    for j, (of, (_, tree)) in enumerate(lines.items()):
-        tree.grow([best_split(n[j, p], s[j, p], bins[of.label, of.block], tree.values[p]) if n[j, p].any() else (0, np.zeros(width, bool), tree.values[p], tree.values[p]) for p in range(nodes)])
+    n, s = table.cells(add, len(models))
+    found = np.divide(s, n, out=np.full(s.shape, np.nan), where=n > 0)  # a block without rows keeps the first round
+    for of, error in zip(active, found):
+        errors[of].append(float(error))
 
 
-def rounds_kept(table: CodeTable, candidates: Sequence[tuple[int, TreeParams]], trees_of: Callable, n_splits: int) -> list[list[int]]:
-    """Per candidate and block the rounds kept: up to the lowest validation error, stopped where a round lowers it too little."""
-    most = max(p.max_rounds for _, p in candidates)
-
-    def add(codes, y, block, n, s):
-        for c, (i, p) in enumerate(candidates):
-            for k in range(1, n_splits + 1):
-                at = block[i] == k
-                if at.any():
-                    loss = 2.0 * np.logaddexp(0.0, -2.0 * (2.0 * y[i][at] - 1.0) * margins(trees_of(i, p, k, p.max_rounds), p.step, codes[:, at]))
-                    first = (c * n_splits + k - 1) * most
-                    n[first : first + p.max_rounds] += at.sum()
-                    s[first : first + p.max_rounds] += loss.sum(axis=1)
-
-    n, s = (x.reshape(len(candidates), n_splits, most) for x in table.cells(add, len(candidates) * n_splits * most))
-    errors = np.divide(s, n, out=np.full(s.shape, np.nan), where=n > 0)  # a block without rows keeps the first round
-    return [[stopped(errors[c, k, : p.max_rounds]) for k in range(n_splits)] for c, (_, p) in enumerate(candidates)]
+def ended(errors: Sequence[float]) -> bool:
+    """Whether the last round lowered the validation error too little."""
+    return len(errors) > 1 and not min(errors[:-1]) - errors[-1] >= TOLERANCE * max(errors[-1], 0.01)
 
 
 def stopped(errors: Sequence[float]) -> int:
@@ -257,40 +423,123 @@ def stopped(errors: Sequence[float]) -> int:
     return kept
 
 
-def with_chances(df: DataFrame, codes: Sequence, keep: Sequence[str], n_features: int, models: Callable[[np.ndarray], np.ndarray], n: int, blocks: Sequence[str] = ()) -> DataFrame:
-    """The columns ``keep`` of ``df`` and its probabilities _p0.. . ``models`` maps the codes (and the columns ``blocks`` below
-    them) to a matrix (candidate, row), NaN: none."""
+def score_margins(rows: np.ndarray, n_features: int, candidates: Sequence[tuple[int, TreeParams]], fits: Fits, blocks: int, folds: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(candidate, rows that know its label, their margins): of the models that validate their block (``folds``; none in block
+    0), or of the last fits. Below codes and labels (-1: unknown) the matrix has the blocks."""
+    nl = (len(rows) - n_features) // (2 if folds else 1)
+    codes = rows[:n_features].astype(np.intp)
+    for i in range(nl):
+        label = rows[n_features + i]
+        known = (label >= 0) & (rows[n_features + nl + i] > 0) if folds else label >= 0
+        at = np.flatnonzero(known)
+        if not len(at):
+            continue
+        if folds:  # by block, so that a model's rows are a slice
+            block = rows[n_features + nl + i, at]
+            order = np.argsort(block, kind="stable")
+            starts, back = np.searchsorted(block[order], np.arange(1, blocks + 1)), np.argsort(order, kind="stable")
+            cuts = [(k, starts[k - 1], starts[k]) for k in range(1, blocks)]
+            mine = codes[:, at[order]]
+        else:
+            cuts, mine, back = [(blocks, 0, len(at))], codes[:, at], slice(None)
+        for c, (of, p) in enumerate(candidates):
+            if of == i:
+                out = np.empty(len(at))
+                for k, a, b in cuts:
+                    for cut in blocks_of(int(a), int(b)):
+                        out[cut] = margin(fits[c, k], p.step, mine[:, cut])
+                yield c, at, out[back]
+
+
+def matrix(columns: Sequence[pa.Array]) -> np.ndarray:
+    return np.stack([c.to_numpy(zero_copy_only=False) for c in columns])
+
+
+def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``CHUNK`` rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CHUNK:
+            yield pa.concat_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.concat_batches(held)
+
+
+def counted_margins(df: DataFrame, names: Sequence[str], score: Callable) -> DataFrame:
+    """Rows per candidate, segment and margin, and the positive ones of them. Tasks count their own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = len(keep)
-            found = models(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[m:]]))
-            columns = [pa.array(row, from_pandas=True) for row in found]  # NaN becomes NULL
-            yield pa.RecordBatch.from_arrays([*batch.columns[:m], *columns], [*batch.schema.names[:m], *[f"_p{c}" for c in range(n)]])
+        for slab in slabs(batches):
+            seg = slab.column(0).dictionary_encode()
+            which, rows = seg.indices.to_numpy(), matrix(slab.columns[1:])
+            for g, name in enumerate(seg.dictionary.to_pylist()):
+                part = rows[:, which == g]
+                for c, at, found in score(part):
+                    value, group = np.unique(found, return_inverse=True)
+                    hits = np.bincount(group, weights=part[label_row(c), at] == 1, minlength=len(value)).astype(np.int64)
+                    n = np.bincount(group, minlength=len(value))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(value), c, np.int32)), pa.repeat(pa.scalar(name, pa.string()), len(value)), pa.array(value), pa.array(n.astype(np.int64)), pa.array(hits)], ["c", "seg", "margin", "n", "pos"]
+                    )
+
+    label_row = score.label_row
+    parts = df.select("seg", *names).mapInArrow(run, "c int, seg string, margin double, n long, pos long")
+    return parts.groupBy("c", "seg", "margin").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+
+
+def task_tops(df: DataFrame, names: Sequence[str], score: Callable, calibrators: Sequence[SquaredLogit], tie: Sequence[str], k: int) -> DataFrame:
+    """The ``k`` best rows of every task, day, segment and candidate by calibrated score, ties by ``tie``: all that can be among
+    the best of all tasks."""
+    keep = ["seg", "d", *tie]
+    label_row = score.label_row
 
-    read = df.select(*keep, *codes, *blocks)
-    kinds = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[: len(keep)]], *[f"_p{c} double" for c in range(n)]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slab in slabs(batches):
+            seg, rows = slab.column(0).dictionary_encode(), matrix(slab.columns[len(keep) :])
+            day = slab.column(1).dictionary_encode().indices.to_numpy().astype(np.int64) * len(seg.dictionary) + seg.indices.to_numpy()
+            for c, at, found in score(rows):
+                prob = calibrators[c].of(chance(found))
+                order = np.argsort(-prob, kind="stable")  # rows come sorted by ``tie``
+                order = order[np.argsort(day[at[order]], kind="stable")]
+                group = day[at[order]]
+                first = np.searchsorted(group, group)
+                order = order[np.arange(len(order)) - first < k]
+                picked = slab.select(keep).take(pa.array(at[order]))
+                y = rows[label_row(c), at[order]].astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), c, np.int32)), *picked.columns, pa.array(prob[order]), pa.array(y)], ["c", *keep, "prob", "y"])
+
+    read = df.select(*keep, *names).sortWithinPartitions(*tie)
+    kinds = ", ".join(["c int", *[f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[: len(keep)]], "prob double", "y double"])
     return read.mapInArrow(run, kinds)
 
 
-def long_scores(wide: DataFrame, candidates: Sequence[tuple[str, int]], keep: Sequence[str], probability: Callable | None = None) -> DataFrame:
-    """One row per candidate and scored row: candidate, config_id, ``keep``, prob, y."""
-    each = [
-        F.struct(F.lit(label).alias("candidate"), F.lit(i).alias("config_id"), (probability(c) if probability else F.col(f"_p{c}")).alias("prob"), F.col(label).cast("double").alias("y"))
-        for c, (label, i) in enumerate(candidates)
-    ]
-    return wide.select(*keep, F.explode(F.array(*each)).alias("_e")).select(*keep, "_e.*").where("prob is not null")
+class Scores:
+    """Margins of a frame's rows by candidate; what tasks need, nothing of the frame."""
+
+    def __init__(self, n_features: int, candidates: Sequence[tuple[int, TreeParams]], fits: Fits, blocks: int, folds: bool) -> None:
+        self.n_features, self.candidates, self.blocks, self.folds = n_features, candidates, blocks, folds
+        self.fits = {of: trees for of, trees in fits.items() if (of[1] < blocks) == folds}
+
+    def __call__(self, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        return score_margins(rows, self.n_features, self.candidates, self.fits, self.blocks, self.folds)
+
+    def label_row(self, c: int) -> int:
+        return self.n_features + self.candidates[c][0]
 
 
 def race_on_codes(
-    train: DataFrame, val: DataFrame, features: Sequence[str], labels: Sequence[str], grid: Sequence[TreeParams], n_splits: int, tie: Sequence[str], bins: int = 32, k: int = 5
+    train: DataFrame, val: DataFrame, features: Sequence[str], labels: Sequence[str], grid: Sequence[TreeParams], n_splits: int, tie: Sequence[str], bins: int = 32, k: int = 5,
+    segments: Sequence[str] | None = None,
 ) -> DataFrame:
     """What ``race`` returns, for features that are codes from 0 to ``bins`` or NULL (``shared_bins``). Models are grown
     together, so the passes over the rows follow depth and rounds, not the number of labels, settings and folds.
 
-    Nothing is drawn: the settings' seeds have no effect.
+    A seed has an effect only where a share of the features is drawn. ``segments``: those whose metrics are wanted (all).
     """
-    width, nf = bins + 2, len(features)
+    width, nf, spark = bins + 2, len(features), train.sparkSession
     if width > 128 or n_splits > 126:
         raise ValueError("codes and blocks are kept as bytes")
     codes = code_columns(features, width)
@@ -299,47 +548,51 @@ def race_on_codes(
         raise ValueError(f"features are codes from 0 to {bins}")
     # One row per calendar day and label.
     days = stored(train.groupBy("d").agg(*[F.count(y).alias(y) for y in labels]), "race-days")
-    folded = train
+    placed = days.select("d")
     for i, y in enumerate(labels):
-        blocks = date_folds(days.where(F.col(y) > 0).select("d"), n_splits, out=f"_b{i}")
-        folded = folded.join(F.broadcast(blocks), "d", "left")
+        placed = placed.join(F.broadcast(date_folds(days.where(F.col(y) > 0).select("d"), n_splits, out=f"_b{i}")), "d", "left")
+    placed = stored(placed, "race-blocks")
+
+    def coded(df: DataFrame, known: Sequence, blocks: Sequence = ()) -> DataFrame:
+        # As many parts as there are cores, and no part of more than a chunk of rows.
+        parts = max(spark.sparkContext.defaultParallelism, -(-df.count() // CHUNK))
+        y = [F.coalesce(y, F.lit(-1)).cast("byte").alias(f"_y{i}") for i, y in enumerate(known)]
+        return stored(df.select(*tie, "d", "seg", *codes, *y, *blocks).repartition(parts, *tie, "d"), "race-codes")
+
     block = [F.when(F.col(y).isNotNull(), F.col(f"_b{i}")).otherwise(-1).cast("byte").alias(f"_b{i}") for i, y in enumerate(labels)]
-    folded = stored(folded.select(*tie, "d", "seg", *labels, *codes, *block, *[F.coalesce(F.col(y), F.lit(0)).cast("byte").alias(f"_y{i}") for i, y in enumerate(labels)]), "race-codes")
+    folded = coded(train.join(F.broadcast(placed), "d", "left"), [F.col(y) for y in labels], block)
+    later = coded(val, [F.when(F.col("seg") != "test", F.col(y)) for y in labels])
     names = [f"_f{i}" for i in range(nf)], [f"_y{i}" for i in range(len(labels))], [f"_b{i}" for i in range(len(labels))]
-    table = CodeTable(folded.select(*[n for part in names for n in part]), nf, len(labels), width)
+    learn = [n for part in names for n in part]
+    table = CodeTable(folded.select(*learn), nf, len(labels), width)
 
-    _, trees_of = grown(table, grid, n_splits)
     candidates = [(y, i) for y in labels for i in range(len(grid))]
     numbered = [(labels.index(y), grid[i]) for y, i in candidates]
-    kept = rounds_kept(table, numbered, trees_of, n_splits)
-    per_block = [[trees_of(i, p, b, kept[c][b - 1]) for b in range(1, n_splits + 1)] for c, (i, p) in enumerate(numbered)]
-    last = [trees_of(i, p, n_splits + 1, final_rounds(kept[c])) for c, (i, p) in enumerate(numbered)]
-
-    def out_of_fold(rows: np.ndarray) -> np.ndarray:
-        out = np.full((len(numbered), rows.shape[1]), np.nan)
-        for c, (i, p) in enumerate(numbered):
-            for b in range(1, n_splits + 1):
-                at = rows[nf + i] == b
-                if at.any():
-                    out[c, at] = chance(margins(per_block[c][b - 1], p.step, rows[:nf, at])[-1])
-        return out
-
-    def final(rows: np.ndarray) -> np.ndarray:
-        return np.stack([chance(margins(last[c], p.step, rows)[-1]) for c, (_, p) in enumerate(numbered)])
-
-    keep = [*tie, "d", "seg", *labels]
-    oof = stored(with_chances(folded, names[0], keep, nf, out_of_fold, len(candidates), names[2]), "race-oof")
-    later = stored(with_chances(val, codes, keep, nf, final, len(candidates)), "race-later")
-
-    # The calibration sees rows only through their score and label: one row per pair of these, weighted by its count.
-    pairs = long_scores(oof, candidates, []).where("y is not null").groupBy("candidate", "config_id", "prob", "y").agg(F.count(F.lit(1)).alias("w"))
-    pairs = stored(pairs, "race-pairs")
-    # One after another: the tables are small, and fits at the same time cost the driver more memory than they save time.
-    fits = [SquaredLogit.fit(pairs.where((F.col("candidate") == y) & (F.col("config_id") == i)), "prob", "y", weight="w") for y, i in candidates]
-
-    both = oof.unionByName(later.select(*tie, "d", "seg", *[F.when(F.col("seg") != "test", F.col(y)).alias(y) for y in labels], *[f"_p{c}" for c in range(len(candidates))]))
-    scored = long_scores(both, candidates, [*tie, "d", "seg"], lambda c: fits[c].column(f"_p{c}"))
-    metrics = segment_metrics(scored, "prob", "y", "seg", k, tie, ["candidate", "config_id"])
-    coefficient = [F.element_at(F.array(*[F.lit(f.coef[j]) for f in fits]), F.col("_c")).alias(name) for j, name in enumerate(("calib_p", "calib_p2"))]
-    number = F.array_position(F.array(*[F.lit(f"{y}/{i}") for y, i in candidates]), F.concat_ws("/", "candidate", F.col("config_id").cast("string"))).cast("int")
-    return metrics.withColumn("_c", number).select(*metrics.columns, *coefficient)
+    fits = grown(table, numbered, n_splits)
+    oof, final = (Scores(nf, numbered, fits, n_splits + 1, folds) for folds in (True, False))
+
+    # Calibration and average precision see rows only through their score and label: rows are counted by these.
+    p = (1.0 - 1.0 / (1.0 + F.exp(2.0 * F.col("margin")))).alias("p")
+    learnt = stored(counted_margins(folded, learn, oof), "race-pairs")
+    calibrators = SquaredLogit.fit_groups(learnt.select("c", p, "n", "pos"), "c", "p", "n", "pos", len(candidates))
+    named = F.broadcast(spark.createDataFrame(
+        [(c, y, i, *map(float, f.coef), float(f.intercept)) for c, ((y, i), f) in enumerate(zip(candidates, calibrators))],
+        "c int, candidate string, config_id int, calib_p double, calib_p2 double, calib_0 double",
+    ))
+    by = ["c", "seg"]
+    wanted = F.col("seg").isin(list(segments)) if segments is not None else F.lit(True)
+    sides = [(folded, learn, oof, learnt), (later, [*names[0], *names[1]], final, None)]
+    pairs, tops = [], []
+    for frame, columns, score, counted in sides:
+        if segments is None or not frame.where(wanted).isEmpty():
+            pairs.append(counted if counted is not None else counted_margins(frame, columns, score))
+            tops.append(task_tops(frame, columns, score, calibrators, tie, k))
+    if not pairs:
+        raise ValueError(f"no row in {segments}")
+    pairs, tops = reduce(DataFrame.unionByName, pairs).where(wanted), reduce(DataFrame.unionByName, tops).where(wanted)
+    z = F.col("calib_0") + F.col("calib_p") * F.col("p") + F.col("calib_p2") * F.col("p") * F.col("p")
+    steps = pairs.select(*by, p, "n", "pos").join(named, "c").groupBy(*by, (1.0 / (1.0 + F.exp(-z))).alias("prob")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    steps = stored(steps, "race-steps")
+    base = steps.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("pos") / F.sum("n")).alias("base_rate"))
+    metrics = base.join(average_precision_of_counts(steps, "prob", "n", "pos", by), by, "left").join(precision_at_k(tops, "prob", "y", k, by, tie=tie), by, "left")
+    return metrics.join(named, "c").select("candidate", "config_id", *[c for c in metrics.columns if c != "c"], "calib_p", "calib_p2")

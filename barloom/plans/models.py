@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from barloom.functions.rolling import BARS as B
 from barloom.functions.scalar import rnd
+from barloom.operators import labels as L
 from barloom.operators import model as K
+from barloom.operators import sequential as Q
 from barloom.operators import stats as G
 from barloom.operators.cross_section import positions
+from barloom.operators.joins import shuffled_join
 from barloom.operators.tree_race import race_on_codes
 from barloom.plans import sqltext as S
 from barloom.plans.registry import query
 from barloom.plans.sqltext import r
 from barloom.plans.stats import SCORED_SQL, scored
-from barloom.session import attach_row, cut_lineage
+from barloom.session import attach_row, cut_lineage, stored
 from barloom.sources import bars as SRC
 
 FEATURES = ("mom", "vol10", "amount", "vol", "prob")
@@ -64,18 +67,36 @@ def label_race_two_labels(spark, sf_dir):
     )
 
 
-RACE_LABELS = {"lab": 0.0, "gain5": 0.05, "gain10": 0.1}
-RACE_GRID = tuple(K.TreeParams(max_rounds=2, depth=depth, step=step) for depth in (2, 3) for step in (0.1, 0.2))
+RACE_GAINS = {"lab": 0.0, "gain5": 0.05, "gain10": 0.1}
+# Leaves (2 ** depth for 15, 31, 63), rows of a leaf, step, share of the features; rounds end by the validation error.
+RACE_ROUNDS = 1000
+RACE_GRID = tuple(
+    K.TreeParams(max_rounds=RACE_ROUNDS, depth=depth, step=step, min_rows=rows, share=share)
+    for depth in (4, 5, 6) for rows in (50, 100, 200) for step in (0.05, 0.1) for share in (0.6, 0.8)
+)
+
+
+# The labels raced: a sniper hit, the signs of two families of returns over nine horizons, three gains of the scored panel.
+RACE_LABELS = ("hit_n20_k2", *[f"{family}_h{h}" for family in ("cur", "open_exec") for h in L.HORIZONS], *RACE_GAINS)
 
 
 @query("label_race_grid", "K5 K2 T4 T5")
 def label_race_grid(spark, sf_dir):
-    """Three labels in four settings over five folds, all from one table of binned features, ranked on validation."""
-    known = scored(spark, sf_dir).where("lab is not null")  # stored by ``scored``
-    labelled = known.select("sym", "d", "seg", *FEATURES, *[(F.col("fwd") > level).cast("double").alias(name) for name, level in RACE_LABELS.items()])
+    """Every label in every setting of the grid over five folds, all from one table of binned features, ranked on validation.
+
+    A label without a known value in validation has no metrics and comes last.
+    """
+    panel = scored(spark, sf_dir)  # stored by ``scored``
+    bars = Q.add_recursions(SRC.adjust(SRC.bars_supp_month(spark, sf_dir)), [Q.atr("high", "low", "close", 14, "atr14")])
+    signs = {"hit_n20_k2": L.sniper_hit(20, 2.0)} | L.sign_labels()
+    later = bars.select("sym", "d", *[c.alias(n) for n, c in signs.items()])
+    gains = [F.when(F.col("fwd").isNotNull(), (F.col("fwd") > level).cast("double")).alias(name) for name, level in RACE_GAINS.items()]
+    labelled = stored(shuffled_join(panel.select("sym", "d", "seg", *FEATURES, *gains), later, ["sym", "d"]), "race-labels")
     binned, val = K.shared_bins(labelled.where("seg = 'train'"), [labelled.where("seg = 'val'")], FEATURES)
-    rows = cut_lineage(race_on_codes(binned, val, FEATURES, list(RACE_LABELS), RACE_GRID, 5, ["sym"]).where("seg = 'val'"))
-    place = F.row_number().over(Window.partitionBy("seg").orderBy(F.desc("precision_day"), F.desc("ap"), "candidate", "config_id"))  # one row per candidate
+    rows = cut_lineage(race_on_codes(binned, val, FEATURES, list(RACE_LABELS), RACE_GRID, 5, ["sym"], segments=["val"]))
+    entered = spark.createDataFrame([(y, i) for y in RACE_LABELS for i in range(len(RACE_GRID))], "candidate string, config_id int")
+    rows = entered.join(rows, ["candidate", "config_id"], "left")
+    place = F.row_number().over(Window.orderBy(F.desc("precision_day"), F.desc("ap"), "candidate", "config_id"))  # one row per candidate
     return rows.select("candidate", F.col("config_id").cast("long").alias("config_id"), rnd("precision_day").alias("precision_day"), rnd("ap").alias("ap"), place.cast("long").alias("place"))
 
 
